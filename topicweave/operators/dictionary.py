@@ -103,12 +103,11 @@ def topic_vectors(dims: DataFrame) -> DataFrame:
 
 def dense_topic_vectors(dictionary: Dictionary) -> DataFrame:
     """The same as full 0/1 arrays over all dimensions."""
-    length = dictionary.dimensions.agg(F.count("*").alias("length"))
-    zeros = lambda n: F.array_repeat(F.lit(0), n.cast("int"))
-    ones = F.array_repeat(F.lit(1), F.col("n_dims").cast("int"))
-    return dictionary.topic_vectors.join(F.broadcast(length)).select("topic_id", F.concat(
-        zeros(F.col("first_dim")), ones,
-        zeros(F.col("length") - F.col("first_dim") - F.col("n_dims"))).alias("vector"))
+    length = dictionary.dimensions.count()
+    block = lambda bit, n: F.array_repeat(F.lit(bit), n.cast("int"))
+    before, own = F.col("first_dim"), F.col("n_dims")
+    return dictionary.topic_vectors.select("topic_id", F.concat(
+        block(0, before), block(1, own), block(0, F.lit(length) - before - own)).alias("vector"))
 
 
 def document_elements(docs: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -149,10 +148,10 @@ def graph_contains(parent_edges: DataFrame, parent_vertices: DataFrame, parent_k
 def dense_document_vectors(docs: DataFrame, doc_dims: DataFrame, dictionary: Dictionary,
                            key: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Full 0/1 arrays, one per document, also for documents without a match."""
-    length = dictionary.dimensions.agg(F.count("*").cast("int").alias("length"))
-    hits = doc_dims.groupBy(*key).agg(F.sort_array(F.collect_list("dim_id")).alias("hits"))
-    bits = F.transform(F.filter(F.sequence(F.lit(0), F.col("length")), lambda d: d < F.col("length")),
+    length = dictionary.dimensions.count()
+    hits = doc_dims.groupBy(*key).agg(F.collect_list("dim_id").alias("hits"))
+    zero = F.array_repeat(F.lit(0), F.lit(length))
+    ones = F.transform(F.sequence(F.lit(0), F.lit(max(length - 1, 0))),
                        lambda d: F.array_contains("hits", d.cast("long")).cast("int"))
-    return (docs.select(*key).join(hits, [*key], "left").join(F.broadcast(length))
-            .withColumn("hits", F.coalesce("hits", F.array().cast("array<bigint>")))
-            .select(*key, bits.alias("vector")))
+    return docs.select(*key).join(hits, [*key], "left").select(
+        *key, F.when(F.col("hits").isNull(), zero).otherwise(ones).alias("vector"))

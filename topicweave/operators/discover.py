@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicweave.operators.dictionary import Dictionary, document_dimensions
+from topicweave.plans.tables import materialise
 
 
 def vector_distance(n_topic: Column, n_doc: Column, n_shared: Column) -> Column:
@@ -40,21 +41,19 @@ def nearest_topics(docs: DataFrame, doc_dims: DataFrame, dictionary: Dictionary,
     left with its best sharing topics, or the smallest topics where these are not
     farther. Without any topic vector there is no prediction.
     """
-    shared = doc_dims.groupBy(*key, "topic_id").agg(F.count("*").alias("n_shared"))
+    least = dictionary.topic_vectors.agg(F.min("n_dims")).first()[0]
+    if least is None:
+        return docs.select(*key, F.lit(0).cast("long").alias("topic_id")).where(F.lit(False))
     sizes = dictionary.topic_vectors.select("topic_id", F.col("n_dims").alias("n_topic"))
-    excess = F.col("n_topic") - 2 * F.col("n_shared")
-    scored = shared.join(sizes, "topic_id").withColumn("excess", excess)
-    best = scored.withColumn("best", F.min("excess").over(Window.partitionBy(*key))).where(F.col("excess") == F.col("best"))
-    least = sizes.agg(F.min("n_topic").alias("least"))
-    smallest = sizes.join(F.broadcast(least), F.col("n_topic") == F.col("least")).select(
-        F.col("topic_id").alias("smallest_id"), "least")
-
-    sharing = best.join(F.broadcast(least)).where(F.col("best") <= F.col("least")).select(*key, "topic_id")
-    near = best.groupBy(*key).agg(F.min("best").alias("best"))
-    rest = (docs.select(*key).join(near, [*key], "left").join(F.broadcast(least))
-            .where(F.col("best").isNull() | (F.col("best") >= F.col("least"))).select(*key, "least"))
-    ties = rest.join(smallest, "least").select(*key, F.col("smallest_id").alias("topic_id"))
-    return sharing.unionByName(ties)
+    shared = doc_dims.groupBy(*key, "topic_id").agg(F.count("*").alias("n_shared"))
+    scored = shared.join(sizes, "topic_id").withColumn("excess", F.col("n_topic") - 2 * F.col("n_shared"))
+    lowest = F.min("excess").over(Window.partitionBy(*key))
+    best = materialise(scored.withColumn("lowest", lowest).where(F.col("excess") == F.col("lowest"))
+                       .where(F.col("excess") <= least).select(*key, "topic_id", "excess"), "best_topics")
+    settled = best.where(F.col("excess") < least).select(*key).distinct()
+    smallest = sizes.where(F.col("n_topic") == least).select("n_topic", F.col("topic_id"))
+    rest = docs.select(*key, F.lit(least).alias("n_topic")).join(settled, [*key], "left_anti")
+    return best.select(*key, "topic_id").unionByName(rest.join(smallest, "n_topic").select(*key, "topic_id"))
 
 
 def discover_topics(docs: DataFrame, dictionary: Dictionary, key: Sequence[str] = ("doc_id",)) -> DataFrame:

@@ -5,54 +5,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicweave.functions.graph import edge, edge_source, edge_target
 from topicweave.sources.files import _file_path
 
 
 def read_graph_transactions(spark: SparkSession, path: str) -> DataFrame:
-    """One row per graph: ``(path, graph_id, vertices, edges)``.
+    """One row per item: ``(path, graph_id, kind, item)``, ``item`` the words of a line.
 
     The graph header is the record separator, so a file of any size is split
-    between tasks and each record is one graph. A file ends at ``t # -1``:
-    records behind that marker are dropped by their place in the file. Vertices
-    are known by their labels, so equal labels are one vertex; edge labels are
-    ignored and repeated edges count once. Graph ids must be unique in a file and
-    vertex ids in a graph.
+    between tasks and each record is one graph. A file ends at ``t # -1``: records
+    behind that marker are dropped by their place in the file. Graph ids must be
+    unique in a file and vertex ids in a graph.
     """
     chunks = spark.read.option("lineSep", "\nt # ").text(path).select(
         _file_path().alias("path"),
         F.struct(F.col("_metadata.file_block_start").alias("block"),
                  F.monotonically_increasing_id().alias("row")).alias("place"),
-        F.split(F.regexp_replace("value", r"\At # ", ""), r"\r?\n").alias("lines"))
-    graphs = chunks.withColumn("graph_id", F.trim(F.get("lines", 0)))
+        F.regexp_replace("value", r"\At # ", "").alias("value"))
+    graphs = chunks.withColumn("graph_id", F.regexp_extract("value", r"\A\s*(\S+)", 1))
     ends = (graphs.where(F.col("graph_id") == "-1")
             .groupBy("path").agg(F.min("place").alias("end_place")))
     graphs = (graphs.join(ends, "path", "left")
               .where(F.col("end_place").isNull() | (F.col("place") < F.col("end_place"))))
-    items = F.transform("lines", lambda line: F.split(F.trim(line), " "))
-    of_kind = lambda kind: F.filter(items, lambda item: F.get(item, 0) == kind)
-    vertex_rows, edge_rows = of_kind("v"), of_kind("e")
-    parsed = graphs.select(
-        "path", "graph_id", edge_rows.alias("edge_rows"),
-        F.map_from_arrays(F.transform(vertex_rows, lambda v: F.get(v, 1)),
-                          F.transform(vertex_rows, lambda v: F.get(v, 2))).alias("label"))
-    return parsed.select(
-        "path", "graph_id",
-        F.array_distinct(F.map_values("label")).alias("vertices"),
-        F.array_distinct(F.transform(
-            "edge_rows",
-            lambda e: edge(F.element_at("label", F.get(e, 1)), F.element_at("label", F.get(e, 2))))).alias("edges"))
-
-
-def transaction_edges(graphs: DataFrame) -> DataFrame:
-    """Long edge table ``(topic, doc_id, src, dst)``; the file is the topic."""
-    pairs = graphs.select(F.col("path").alias("topic"), F.col("graph_id").alias("doc_id"),
-                          F.explode("edges").alias("pair"))
-    return pairs.select("topic", "doc_id", edge_source(F.col("pair")).alias("src"),
-                        edge_target(F.col("pair")).alias("dst"))
-
-
-def transaction_vertices(graphs: DataFrame) -> DataFrame:
-    """Long vertex table ``(topic, doc_id, v)``, isolated vertices included."""
-    return graphs.select(F.col("path").alias("topic"), F.col("graph_id").alias("doc_id"),
-                         F.explode("vertices").alias("v"))
+    lines = graphs.select("path", "graph_id", F.explode(F.split("value", r"\r?\n")).alias("line"))
+    items = lines.select("path", "graph_id", F.split("line", " ").alias("item"))
+    return items.select("path", "graph_id", F.get("item", 0).alias("kind"), "item").where(
+        F.col("kind").isin("v", "e"))
+
+
+def _labels(items: DataFrame) -> DataFrame:
+    return items.where(F.col("kind") == "v").select(
+        "path", "graph_id", F.get("item", 1).alias("id"), F.get("item", 2).alias("v"))
+
+
+def transaction_vertices(items: DataFrame) -> DataFrame:
+    """Vertex table ``(topic, doc_id, v)``; the file is the topic, the graph the document.
+
+    Vertices are known by their labels: equal labels are one vertex.
+    """
+    return _labels(items).select(F.col("path").alias("topic"), F.col("graph_id").alias("doc_id"), "v").distinct()
+
+
+def transaction_edges(items: DataFrame) -> DataFrame:
+    """Edge table ``(topic, doc_id, src, dst)``; edge labels are ignored."""
+    arcs = items.where(F.col("kind") == "e").select(
+        "path", "graph_id", F.get("item", 1).alias("from_id"), F.get("item", 2).alias("to_id"))
+    labels, graph = _labels(items), ["path", "graph_id"]
+    src = labels.withColumnsRenamed({"id": "from_id", "v": "src"})
+    dst = labels.withColumnsRenamed({"id": "to_id", "v": "dst"})
+    return (arcs.join(src, [*graph, "from_id"]).join(dst, [*graph, "to_id"])
+            .select(F.col("path").alias("topic"), F.col("graph_id").alias("doc_id"), "src", "dst").distinct())
