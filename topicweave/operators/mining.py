@@ -108,12 +108,14 @@ def pattern_extensions(level: DataFrame, frequent: DataFrame) -> DataFrame:
 def extension_documents(docs: DataFrame, extensions: DataFrame, doc_edges: DataFrame) -> DataFrame:
     """Documents of a pattern that also hold an edge extending it.
 
-    A pattern's documents meet its few candidates first; the lookup in the edges
-    is then by full key ``(topic, doc_id, a, b)``, which spreads evenly.
+    A pattern's documents meet its few candidates first, and the edges are cut
+    down to those some candidate adds. The lookup in the edges is then by full key
+    ``(topic, doc_id, a, b)``, which spreads evenly.
     """
     steps = extensions.select("topic", "parent", *_STEP)
     wanted = docs.withColumnRenamed("pid", "parent").join(steps, ["topic", "parent"])
-    return wanted.join(doc_edges, ["topic", "doc_id", "a", "b"]).select("topic", "parent", *_STEP, "doc_id")
+    useful = doc_edges.join(steps.select("topic", "a", "b"), ["topic", "a", "b"], "left_semi")
+    return wanted.join(useful, ["topic", "doc_id", "a", "b"]).select("topic", "parent", *_STEP, "doc_id")
 
 
 def extension_support(extension_docs: DataFrame) -> DataFrame:
