@@ -19,6 +19,7 @@ from topicweave.operators.graphs import graph_size
 from topicweave.plans.tables import materialise
 
 PATTERN = ["topic", "pattern_id"]
+PAIR = ["topic_x", "pattern_x", "topic_y", "pattern_y"]
 
 
 def unique_words(vertices: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ def max_common_subgraph_size(pairs: DataFrame, vertices: DataFrame, edges: DataF
     once; labels also jump to the label of their label, so the number of rounds
     follows the logarithm of the longest chain.
     """
-    key = ["topic_x", "pattern_x", "topic_y", "pattern_y"]
+    key = PAIR
     pairs = materialise(pairs.select(*key).distinct(), "pairs")
 
     def of(graph: DataFrame, side: str) -> DataFrame:
@@ -95,7 +96,8 @@ def graph_distance(pairs: DataFrame, vertices: DataFrame, edges: DataFrame) -> D
     x = sizes.toDF("topic_x", "pattern_x", "size_x")
     y = sizes.toDF("topic_y", "pattern_y", "size_y")
     return (found.join(x, ["topic_x", "pattern_x"]).join(y, ["topic_y", "pattern_y"])
-            .withColumn("distance", distance(F.col("mcs_size"), F.col("size_x"), F.col("size_y"))))
+            .select(*PAIR, "size_x", "size_y", "mcs_size",
+                    distance(F.col("mcs_size"), F.col("size_x"), F.col("size_y")).alias("distance")))
 
 
 # --- nearest pattern of any other topic -----------------------------------------------------

@@ -76,14 +76,15 @@ def build_dictionary(words: DataFrame, graphs: DataFrame, graph_vertices: DataFr
                      topics: DataFrame, max_dimension: int = -1) -> Dictionary:
     """Dictionary of the characteristic words and graphs of all topics.
 
-    A document matches a word by its vertex, a graph by all its edges (their ends
-    follow), and a graph without edges by its vertex.
+    A document matches a word by its vertex, and a graph by all its edges (their
+    ends follow) and its vertices without an edge.
     """
     ids = materialise(topic_ids(topics), "topics")
     dims = materialise(dimensions(word_budget(words, graphs, max_dimension), graphs, ids), "dimensions")
     graph_dims = dims.where(F.col("kind") == GRAPH).select("dim_id", "topic", F.col("label").alias("pattern_id"))
     key = ["topic", "pattern_id"]
-    lone = graph_vertices.join(graph_edges.select(*key).distinct(), key, "left_anti")
+    ends = graph_edges.select(*key, F.col("src").alias("v")).unionByName(graph_edges.select(*key, F.col("dst").alias("v")))
+    lone = graph_vertices.join(ends, [*key, "v"], "left_anti")
     parts = (dims.where(F.col("kind") == WORD).select("dim_id", F.col("label").alias("element"))
              .unionByName(graph_dims.join(graph_edges, key).select(
                  "dim_id", G.edge(F.col("src"), F.col("dst")).alias("element")))

@@ -22,8 +22,8 @@ def _path_part(path: Column, from_end: int) -> Column:
 
 def _whole_files(spark: SparkSession, folder: str, depth: int | None = None) -> DataFrame:
     """``(path, text)`` of the files below a folder, at one depth if given."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-    files = reader.text(folder).select(_file_path().alias("path"), F.col("value").alias("text"))
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(
+        _file_path().alias("path"), F.col("value").alias("text"))
     if depth is None:
         return files
     name = folder.rstrip("/").rsplit("/", 1)[-1]
