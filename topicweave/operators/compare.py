@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from topicweave.functions.graph import edge
 from topicweave.operators.graphs import graph_size
-from topicweave.plans.tables import materialise
+from topicweave.plans.tables import materialise, materialise_counting
 
 PATTERN = ["topic", "pattern_id"]
 PAIR = ["topic_x", "pattern_x", "topic_y", "pattern_y"]
@@ -74,11 +74,12 @@ def max_common_subgraph_size(pairs: DataFrame, vertices: DataFrame, edges: DataF
         jumped = labels.join(labels.select(*key, F.col("v").alias("label"), F.col("label").alias("offer")),
                              [*key, "label"]).select(*key, "v", "offer")
         best = offered.unionByName(jumped).groupBy(*key, "v").agg(F.min("offer").alias("offer"))
-        moved = materialise(labels.join(best, [*key, "v"]).select(
-            *key, "v", F.least("label", "offer").alias("label"),
-            (F.col("offer") < F.col("label")).alias("changed")), "labels")
+        moved = labels.join(best, [*key, "v"])
+        moved, any_moved = materialise_counting(
+            moved.select(*key, "v", F.least("label", "offer").alias("label"),
+                         (F.col("offer") < F.col("label")).alias("changed")), "labels", F.col("changed"))
         labels = moved.drop("changed")
-        if moved.where("changed").isEmpty():
+        if not any_moved:
             break
     part_edges = shared_edges.join(labels.withColumnRenamed("v", "src"), [*key, "src"]).groupBy(*key, "label").agg(
         F.count("*").alias("n_edges"))
@@ -116,11 +117,11 @@ def connected_parts(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     levels = [grown]
     while True:
         touching = F.array_contains("ends", F.col("src")) | F.array_contains("ends", F.col("dst"))
-        grown = materialise(
+        grown, any_grown = materialise_counting(
             grown.join(listed, PATTERN).where(touching & ~F.array_contains("part", F.col("pair")))
             .select(*PATTERN, F.array_sort(F.array_append("part", F.col("pair"))).alias("part"),
                     F.array_sort(F.array_union("ends", F.array("src", "dst"))).alias("ends")).distinct(), "parts")
-        if grown.isEmpty():
+        if not any_grown:
             break
         levels.append(grown)
     of_edges = reduce(DataFrame.unionByName, levels).select(

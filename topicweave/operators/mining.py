@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from topicweave.operators import ranking
 from topicweave.operators.graphs import document_edges
-from topicweave.plans.tables import materialise
+from topicweave.plans.tables import materialise, materialise_counting
 
 _CODE = "array<struct<i:int,j:int,a:int,b:int>>"
 _PATH = "array<struct<i:int,lbl:int>>"
@@ -187,8 +187,8 @@ def mine_frequent_subgraphs(corpus: DataFrame, min_support: float, max_edges: in
             break
         extensions = materialise(pattern_extensions(level, frequent), "extensions")
         found = materialise(extension_documents(docs, extensions, doc_edges), "extension_docs")
-        grown = materialise(grow_patterns(extensions, extension_support(found)), "level")
-        if grown.isEmpty():
+        grown, any_grown = materialise_counting(grow_patterns(extensions, extension_support(found)), "level")
+        if not any_grown:
             break
         docs = found.join(grown.select("topic", "parent", *_STEP, "pid"), ["topic", "parent", *_STEP]).select(
             "topic", "pid", "doc_id")

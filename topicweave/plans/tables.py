@@ -13,7 +13,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -43,6 +43,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_counting(df: DataFrame, name: str, condition: Column | None = None) -> tuple[DataFrame, bool]:
+    """Write ``df``; also tell whether any row (meeting the condition) was written.
+
+    The rows are counted by the writing job itself, so a loop needs no second job
+    to see whether it is done.
+    """
+    seen = Observation()
+    counted = F.lit(1) if condition is None else F.when(condition, 1)
+    table = materialise(df.observe(seen, F.count(counted).alias("rows")), name)
+    return table, seen.get["rows"] > 0
+
+
 def spread_scan(df: DataFrame) -> DataFrame:
     """Give a scan of a few small files one task per core.
 
