@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from catalog.settings import Settings
 from topicweave.functions import text as T
 from topicweave.operators import compare, corpus, dictionary, discover, graphs, mining, ranking
-from topicweave.plans import pipeline
+from topicweave.plans import jobs
 from topicweave.plans.tables import materialise, new_path, spread_scan
 from topicweave.sources import files, reports, store, transactions
 
@@ -102,12 +102,12 @@ class Workspace:
             F.col("near_topic").alias("topic_y"), F.col("near_pattern_id").alias("pattern_y"))
 
     @cached_property
-    def characteristics(self) -> pipeline.Characteristics:
-        return pipeline.extract_characteristics(self.mined, self.settings.min_distance)
+    def characteristics(self) -> jobs.Characteristics:
+        return jobs.extract_characteristics(self.mined, self.settings.min_distance)
 
     @cached_property
     def dictionary(self) -> dictionary.Dictionary:
-        return pipeline.create_dictionary(self.characteristics, self.settings.max_dimension)
+        return jobs.create_dictionary(self.characteristics, self.settings.max_dimension)
 
     @cached_property
     def doc_dims(self) -> DataFrame:
@@ -480,14 +480,14 @@ def characteristics(w: Workspace) -> DataFrame:
 def store_vertices(w: Workspace) -> DataFrame:
     """Vertices of the graph store, written and read back."""
     folder = w.new_path("graph_store")
-    pipeline.store_characteristics(w.characteristics, folder)
+    jobs.store_characteristics(w.characteristics, folder)
     return longs(store.read_graph(w.spark, f"{folder}/graph_vertices"), "frequency")
 
 
 @query
 def store_edges(w: Workspace) -> DataFrame:
     folder = w.new_path("graph_store")
-    pipeline.store_characteristics(w.characteristics, folder)
+    jobs.store_characteristics(w.characteristics, folder)
     return store.read_graph(w.spark, f"{folder}/graph_edges")
 
 
@@ -583,4 +583,4 @@ def discovered_topics(w: Workspace) -> DataFrame:
 def prediction_lines(w: Workspace) -> DataFrame:
     """``file :: topic`` lines of raw texts that the dictionary has not seen."""
     raw = spread_scan(w.table("benchmark").select(F.col("item_id").alias("doc_id"), "text"))
-    return store.prediction_lines(pipeline.discover_texts(raw, w.settings.stopwords, w.dictionary))
+    return store.prediction_lines(jobs.discover_texts(raw, w.settings.stopwords, w.dictionary))

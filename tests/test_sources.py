@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from topicweave.operators.mining import mine_frequent_subgraphs
-from topicweave.plans import pipeline, tables
+from topicweave.plans import jobs, tables
 from topicweave.sources import files, reports, store, transactions
 
 
@@ -67,7 +67,7 @@ def test_mine_graph_transactions(spark, tmp_path):
 
 def test_stored_corpus_keeps_topic_names_and_prunes(spark, root, tmp_path):
     path = str(tmp_path / "store")
-    corpus = pipeline.tokenised_corpus(files.read_labelled_corpus(spark, str(root)))
+    corpus = jobs.tokenised_corpus(files.read_labelled_corpus(spark, str(root)))
     store.write_corpus(corpus.where("topic = '007'"), path)
     store.write_corpus(corpus.where("topic <> '007'"), path)
     stored = store.read_corpus(spark, path)
@@ -78,8 +78,8 @@ def test_stored_corpus_keeps_topic_names_and_prunes(spark, root, tmp_path):
 
 
 def test_folder_jobs(spark, root, tmp_path):
-    folders = pipeline.mine_folders(spark, str(root), 0.6)
-    one = pipeline.mine_folder(spark, f"{root}/oil & gas+1", 0.6)
+    folders = jobs.mine_folders(spark, str(root), 0.6)
+    one = jobs.mine_folder(spark, f"{root}/oil & gas+1", 0.6)
     strip = lambda df: sorted((r["pattern_id"], r["support"]) for r in df.collect())
     assert strip(one.patterns) == strip(folders.patterns.where("topic <> '007'")) == [
         ("0-1:0>1", 3), ("0-1:0>1,1-2:1>2", 2), ("0-1:1>2", 2)]
@@ -90,7 +90,7 @@ def test_folder_jobs(spark, root, tmp_path):
         reports.GRAPH_TITLE % 0, "a ==> b", reports.SUPPORT % 3,
         reports.GRAPH_TITLE % 1, "a ==> b ==> c", reports.SUPPORT % 2,
         reports.GRAPH_TITLE % 2, "b ==> c", reports.SUPPORT % 2]
-    pipeline.write_mining_report(folders, str(tmp_path / "report"))
+    jobs.write_mining_report(folders, str(tmp_path / "report"))
     parts = sorted((tmp_path / "report" / "topic=007").glob("part-*"))
     text = "".join(p.read_text(encoding="utf-8") for p in parts)
     assert text.splitlines()[0] == reports.TOTAL % 3 and "x ==> y" in text
@@ -109,31 +109,31 @@ def test_whole_pipeline(spark, tmp_path):
         for i, text in enumerate(docs):
             (raw / topic / f"{i}.txt").write_text(text)
     (tmp_path / "stop.txt").write_text("the\n")
-    corpus = pipeline.prepare_corpus(spark, str(raw), str(tmp_path / "stop.txt"), str(tmp_path / "corpus"), min_tokens=2)
-    found = pipeline.topic_model(corpus, 0.9, 0.5)
+    corpus = jobs.prepare_corpus(spark, str(raw), str(tmp_path / "stop.txt"), str(tmp_path / "corpus"), min_tokens=2)
+    found = jobs.topic_model(corpus, 0.9, 0.5)
     assert {(r["topic"], r["v"]) for r in found.words.collect()} == {
         ("oil", "crude"), ("oil", "oil"), ("oil", "prices"), ("corn", "corn"), ("corn", "meal")}
-    pipeline.store_characteristics(found, str(tmp_path / "graphs"))
+    jobs.store_characteristics(found, str(tmp_path / "graphs"))
     edges = store.read_graph(spark, str(tmp_path / "graphs" / "graph_edges")).collect()
     assert {(r["topic"], r["src"], r["dst"]) for r in edges} == {
         ("oil", "crude", "oil"), ("oil", "oil", "prices"), ("corn", "corn", "meal")}
-    pipeline.write_characteristic_report(found, str(tmp_path / "report"))
-    dictionary = pipeline.create_dictionary(found)
+    jobs.write_characteristic_report(found, str(tmp_path / "report"))
+    dictionary = jobs.create_dictionary(found)
     new = tmp_path / "new"
     new.mkdir()
     (new / "a.txt").write_text("crude\noil\nprices\n")
     (new / "b.txt").write_text("corn\nmeal\n")
-    predicted = pipeline.discover_files(spark, str(new), dictionary)
+    predicted = jobs.discover_files(spark, str(new), dictionary)
     assert {tuple(r) for r in predicted.collect()} == {("a.txt", "oil"), ("b.txt", "corn")}
     raw_texts = spark.createDataFrame([(1, "Oil: crude oil prices!"), (2, "CORN MEAL.")], "doc_id long, text string")
-    assert {tuple(r) for r in pipeline.discover_texts(raw_texts, ["the"], dictionary).collect()} == {(1, "oil"), (2, "corn")}
+    assert {tuple(r) for r in jobs.discover_texts(raw_texts, ["the"], dictionary).collect()} == {(1, "oil"), (2, "corn")}
     store.write_predictions(predicted, str(tmp_path / "predictions"))
 
 
 def test_patternless_topics(spark, make_corpus):
     corpus = make_corpus({"t": ["a b", "a b"], "single": ["a c"]})
-    kept = pipeline.topic_model(corpus, 1.0, 0.5, drop_patternless_topics=False)
-    dropped = pipeline.topic_model(corpus, 1.0, 0.5)
+    kept = jobs.topic_model(corpus, 1.0, 0.5, drop_patternless_topics=False)
+    dropped = jobs.topic_model(corpus, 1.0, 0.5)
     assert {tuple(r) for r in kept.words.select("topic", "v").collect()} == {("t", "b"), ("single", "c")}
     assert {tuple(r) for r in dropped.words.select("topic", "v").collect()} == {("t", "a"), ("t", "b")}
 

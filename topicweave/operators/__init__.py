@@ -1 +1 @@
-"""Relational operators of the mining pipeline."""
+"""Relational operators."""

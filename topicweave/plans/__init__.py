@@ -1 +1 @@
-"""Helpers that decide where intermediate results live, and whole pipelines."""
+"""Helpers that decide where intermediate results live, and whole jobs."""
