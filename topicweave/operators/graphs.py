@@ -27,11 +27,13 @@ def document_edges(corpus: DataFrame, key: Sequence[str] = DOCUMENT) -> DataFram
     """Distinct directed edges per document. Narrow: documents are whole rows.
 
     The outer generator keeps the optimizer from adding a non-empty filter below
-    it, which would build every graph twice.
+    it, which would build every graph twice. The ends are marked as never null for
+    the like reason: a join on them would cut each pair again to test for null.
     """
     pairs = corpus.select(*key, F.explode_outer(G.graph_edges(F.col("tokens"))).alias("pair"))
+    never_null = lambda end: F.coalesce(end, F.lit(""))
     return pairs.where(F.col("pair").isNotNull()).select(
-        *key, G.edge_source(F.col("pair")).alias("src"), G.edge_target(F.col("pair")).alias("dst"))
+        *key, never_null(G.edge_source(F.col("pair"))).alias("src"), never_null(G.edge_target(F.col("pair"))).alias("dst"))
 
 
 def document_vertices(corpus: DataFrame, key: Sequence[str] = DOCUMENT) -> DataFrame:
