@@ -9,7 +9,6 @@ package carries a broadcast hint on data that grows.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -20,15 +19,13 @@ _CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables, as named by the session."""
-    folder = spark.conf.get(_CHECKPOINT_DIR, None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
-        raise ValueError(f"set {_CHECKPOINT_DIR} to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="topicweave-")
-    spark.conf.set(_CHECKPOINT_DIR, folder)
-    return folder
+    """Shared folder for intermediate tables, as named by the session.
+
+    Without ``spark.checkpoint.dir`` it lies in the session's warehouse, the other
+    folder that every executor reaches.
+    """
+    folder = spark.conf.get(_CHECKPOINT_DIR, None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
+    return folder.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
