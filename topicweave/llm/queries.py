@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from topicweave.llm import language, pack_genetic, simhash
+from topicweave.llm import language, lm, pack_genetic, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +25,11 @@ def op7_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_genetic.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op9_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_simhash, op7_genetic_packing)}
+    f.__name__: f for f in (op1_language_id, op2_simhash, op7_genetic_packing, op9_deleted_interpolation)}
 
 ORACLES: dict[str, str] = {}
