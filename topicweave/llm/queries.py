@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from topicweave.llm import language, lm, pack_genetic, simhash
+from topicweave.llm import decontaminate, language, lm, pack_genetic, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +29,12 @@ def op9_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_simhash, op7_genetic_packing, op9_deleted_interpolation)}
+    f.__name__: f for f in (op1_language_id, op2_simhash, op7_genetic_packing, op9_deleted_interpolation,
+                               op10_decontamination)}
 
 ORACLES: dict[str, str] = {}
