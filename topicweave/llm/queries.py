@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from topicweave.llm import decontaminate, hamming, language, licenses, lm, pack_bfd, pack_genetic, simhash, warc
+from topicweave.llm import decontaminate, hamming, language, licenses, line_dedup, lm, pack_bfd, pack_genetic, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_packed_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_bfd.digests(pack_bfd.pack_matrices(_table(spark, sf_dir, "documents")))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.label_documents(_table(spark, sf_dir, "documents"))
+
+
 def op6_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(_table(spark, sf_dir, "pages"))
 
@@ -51,7 +55,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_language_id, op2_simhash, op3_license_scan, op4_packed_matrices, op6_warc_salvage,
+        op1_language_id, op2_simhash, op3_license_scan, op4_packed_matrices, op5_line_dedup, op6_warc_salvage,
         op7_genetic_packing, op8_hamming_search,
         op9_deleted_interpolation, op10_decontamination)}
 
