@@ -38,8 +38,9 @@ from topicweave.plans.tables import materialise
 
 #: Longest n-grams.
 ORDER = 2
-#: Tokens of a chunk, and n-grams of a bucket, in about this number.
-CHUNK = 2_000_000
+#: Tokens of a chunk and of the corpus for each bucket; they bound the memory of a task.
+CHUNK = 1_000_000
+BUCKET = 2_000_000
 ADDED = 0.1
 #: Classes of histories: none seen, then by powers of two.
 CLASSES = 48
@@ -125,7 +126,6 @@ class _Grams:
         self.counts: dict[int, np.ndarray] = {}
         self.at: dict[int, np.ndarray] = {}
         self.history: dict[int, np.ndarray] = {}
-        place = np.arange(len(tokens)) - np.repeat(starts, np.diff(np.concatenate([[0], self.ends])))
         sorted_words = np.argsort(hashes, kind="stable")
         rank = np.empty(len(hashes), dtype=np.int64)
         rank[sorted_words] = np.arange(len(hashes))
@@ -137,10 +137,9 @@ class _Grams:
         for n in range(2, order + 1):
             before = np.empty(len(tokens), dtype=np.int64)
             before[1:] = self.at[n - 1][:-1]
-            if n == 2:
-                before[place == 0] = rank[0]
-            else:
-                before[place < n - 2] = -1
+            before[starts] = rank[0] if n == 2 else -1
+            if n > 3:
+                before[_within(starts, self.ends, n - 2)] = -1
             self.history[n] = before
             pair = (before + 1) * len(hashes) + rank[tokens]
             distinct, position = np.unique(pair, return_inverse=True)
@@ -156,6 +155,12 @@ class _Grams:
             self.keys[n] = mixed[by_key]
             self.at[n] = moved[position]
             self.counts[n] = np.bincount(self.at[n], minlength=len(by_key))
+            del pair, distinct, position, head, tail, older, mixed, by_key, moved
+
+
+def _within(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Places of the first ``n`` tokens of each text."""
+    return np.concatenate([np.minimum(starts + i, ends - 1) for i in range(n)])
 
 
 def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -282,7 +287,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """Score every text of ``docs``: see ``op9`` for the columns."""
     table = materialise(chunks(docs), "chunks")
     total = table.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    answers = materialise(_answers(_asked(table, order, max(1, total // CHUNK)), order), "answers")
+    answers = materialise(_answers(_asked(table, order, max(1, total // BUCKET)), order), "answers")
     fitted, tuned, types = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("fitted", "tuned", "types"))).first()
     weights: dict[int, np.ndarray] = {}
     for n in range(2, order + 1):
