@@ -8,8 +8,25 @@ by transitive closure, classification from all pairs of documents and topics.
 from __future__ import annotations
 
 from catalog.settings import Settings
-from topicweave.functions.text import MIN_TOKENS, SPECIAL_TOKENS
-from topicweave.sources import reports
+
+# What a normalised document leaves out and needs, and the wording of the
+# reports. Written out here so that a wrong constant in the engine shows.
+MIN_TOKENS = 20
+SPECIAL_TOKENS = [
+    " ", ";", "/", ".", ",", '"', "\t", "#", "\u00a0", "(", ")", "[", "]", "!", "?",
+    "'", ":", "&", "=", "-", "<", ">", "–", "{", "}", "\\", "...", "*", "+", "$", "@",
+    "\u00a9", "\u00d7", "\u00ae", "\u00ad", "\u2028", "\u0323", "\u0300", "\u0301",
+    "\u0302", "\u0303", "\u0309", "”", "“", '",', '":', ":/", '">', '=""', '="">',
+    '="', '".', '?"', "=”", "=“", "”,", "”.", "“,", "“.", "〞,", "〞.", "〝,", "〝.",
+    "?”.", "://", "_", "…", "’", "--",
+]
+REPORT_TOTAL = "%d đồ thị con phổ biến."
+REPORT_N_VERTICES = "Trong đó có %d đỉnh phổ biến."
+REPORT_N_GRAPHS = "Và %d đồ thị con phổ biến được tạo thành từ ít nhất một cạnh."
+REPORT_VERTICES_TITLE = "Các đỉnh phổ biến là:"
+REPORT_GRAPHS_TITLE = "Các đồ thị con phổ biến là:"
+REPORT_GRAPH_TITLE = "Đồ thị con số %d:"
+REPORT_SUPPORT = "Với độ phổ biến là: %d"
 
 
 def _string(s: str) -> str:
@@ -157,7 +174,7 @@ def oracles(s: Settings = Settings()) -> dict[str, str]:
     part("folder_src", "SELECT source AS topic, doc_id, text FROM documents")
     normalisation("folder_", "folder_src")
     corpus_of("folder_", MIN_TOKENS)
-    mining_of("folder_", s.folder_support)
+    mining_of("folder_", s.min_support)
     part("new_src", "SELECT '' AS topic, item_id AS doc_id, text FROM benchmark")
     normalisation("new_", "new_src")
     corpus_of("new_", 0)
@@ -218,13 +235,13 @@ def oracles(s: Settings = Settings()) -> dict[str, str]:
         SELECT u.topic, u.v, u.df, u.rank FROM uniq u
         LEFT JOIN (SELECT topic, count(*) AS n_g FROM keptg GROUP BY topic) USING (topic)
         QUALIFY row_number() OVER (PARTITION BY u.topic ORDER BY df DESC, v)
-                <= greatest(0, {s.max_dimension} - coalesce(n_g, 0))""", "uniq", "keptg")
+                <= greatest(0, {s.word_budget} - coalesce(n_g, 0))""", "uniq", "keptg")
     part("dims", """
         SELECT row_number() OVER (ORDER BY topic_id, kind DESC, rank, graph_no) - 1 AS dim_id, topic_id, topic, kind, label
-        FROM (SELECT topic, 'word' AS kind, v AS label, rank, 0 AS graph_no FROM budget
+        FROM (SELECT topic, 'word' AS kind, v AS label, rank, 0 AS graph_no FROM uniq
               UNION ALL
               SELECT k.topic, 'graph', k.pattern_id, 0, p.graph_no
-              FROM keptg k JOIN pat p USING (topic, pattern_id)) JOIN tids USING (topic)""", "budget", "keptg", "pat", "tids")
+              FROM keptg k JOIN pat p USING (topic, pattern_id)) JOIN tids USING (topic)""", "uniq", "keptg", "pat", "tids")
     part("els", """
         SELECT dim_id, topic_id, label AS x, NULL AS y FROM dims WHERE kind = 'word'
         UNION ALL
@@ -282,14 +299,14 @@ def oracles(s: Settings = Settings()) -> dict[str, str]:
         return f"""
         SELECT topic, section::BIGINT AS section, place::BIGINT AS place, part::BIGINT AS part, line FROM (
           SELECT topic, 0 AS section, unnest(range(len(head))) AS place, 0 AS part, unnest(head) AS line FROM (
-            SELECT topic, list_filter([{fmt(reports.TOTAL, 'n_w + n_p')},
-              CASE WHEN {full} THEN {fmt(reports.N_VERTICES, 'n_w')} END,
-              CASE WHEN {full} AND {with_graphs} THEN {fmt(reports.N_GRAPHS, 'n_p')} END,
-              CASE WHEN {full} THEN {_string(reports.VERTICES_TITLE)} END], lambda x: x IS NOT NULL) AS head
+            SELECT topic, list_filter([{fmt(REPORT_TOTAL, 'n_w + n_p')},
+              CASE WHEN {full} THEN {fmt(REPORT_N_VERTICES, 'n_w')} END,
+              CASE WHEN {full} AND {with_graphs} THEN {fmt(REPORT_N_GRAPHS, 'n_p')} END,
+              CASE WHEN {full} THEN {_string(REPORT_VERTICES_TITLE)} END], lambda x: x IS NOT NULL) AS head
             FROM {totals})
           UNION ALL SELECT topic, 1, rank, 0, v || ' :: ' || df FROM {words}
-          UNION ALL SELECT topic, 2, 0, 0, {_string(reports.GRAPHS_TITLE)} FROM {totals} WHERE n_p > 0
-          UNION ALL SELECT topic, 3, graph_no, 0, {fmt(reports.GRAPH_TITLE, 'graph_no')} FROM {graphs}
+          UNION ALL SELECT topic, 2, 0, 0, {_string(REPORT_GRAPHS_TITLE)} FROM {totals} WHERE n_p > 0
+          UNION ALL SELECT topic, 3, graph_no, 0, {fmt(REPORT_GRAPH_TITLE, 'graph_no')} FROM {graphs}
           UNION ALL {bodies})"""
 
     part("totals", """
@@ -306,6 +323,9 @@ def oracles(s: Settings = Settings()) -> dict[str, str]:
         FROM pmatrix m JOIN cgraphs g USING (topic, pattern_id)""", "pmatrix", "cgraphs")
 
     token_counts = "SELECT topic, tok AS token, count(*) AS n FROM kept GROUP BY ALL"
+    file_hashes = """
+        SELECT topic, content_hash, max(n_tokens) AS n_tokens, count(*) AS n FROM (
+          SELECT topic, doc_id, md5(string_agg(tok, chr(10) ORDER BY pos)) AS content_hash, count(*) AS n_tokens"""
     patterns_sql = "SELECT topic, pattern_id, n_edges::BIGINT AS n_edges, support::BIGINT AS support FROM {p}pat"
     vec = lambda body, sep: f"array_to_string(list_transform(range({body[0]}), lambda d: {body[1]}), '{sep}')"
 
@@ -332,11 +352,24 @@ def oracles(s: Settings = Settings()) -> dict[str, str]:
             SELECT topic, doc_id, 'documents/' || doc_id AS orgpath, count(*) AS n_tokens,
                    string_agg(tok, chr(10) ORDER BY pos) AS content FROM toks GROUP BY ALL""", "toks"),
         "content_tokens": build("SELECT topic, doc_id, pos, tok AS token FROM toks", "toks"),
-        "labelled_corpus": build(token_counts, "kept"),
-        "document_folders": build("SELECT topic, count(*) AS n_tokens FROM toks GROUP BY topic", "toks"),
+        "labelled_corpus": build(f"{file_hashes} FROM kept GROUP BY topic, doc_id) GROUP BY ALL", "kept"),
+        "document_folders": build(f"{file_hashes} FROM toks GROUP BY topic, doc_id) GROUP BY ALL", "toks"),
         "document_files": build(f"""
-            SELECT 'deep' AS scan, count(*) AS n_tokens FROM toks
-            UNION ALL SELECT 'flat', count(*) FROM toks WHERE topic = {_string(s.one_topic)}""", "toks"),
+            {file_hashes} FROM toks WHERE topic = {_string(s.one_topic)} GROUP BY topic, doc_id) GROUP BY ALL""", "toks"),
+        "mined_folder_files": build(
+            patterns_sql.format(p="") + f" WHERE topic = {_string(s.one_topic)}", "pat"),
+        "mined_folders_files": build(patterns_sql.format(p=""), "pat"),
+        "discovered_files": build(f"""
+            SELECT content_hash, topic, count(*) AS n FROM (
+              SELECT doc_id, md5(string_agg(tok, chr(10) ORDER BY pos)) AS content_hash FROM toks
+              WHERE topic = {_string(s.one_topic)} GROUP BY doc_id)
+            JOIN best USING (doc_id) JOIN tids USING (topic_id) GROUP BY ALL""", "toks", "best", "tids"),
+        "transaction_graphs": build("SELECT doc_id FROM src", "src"),
+        "stored_characteristics": build("""
+            SELECT topic, 'word' AS kind, v AS label, df AS frequency FROM uniq
+            UNION ALL SELECT topic, 'graph', pattern_id, support FROM keptg""", "uniq", "keptg"),
+        "stored_dictionary": build(
+            "SELECT dim_id, topic_id, kind, label, n_elements FROM dims JOIN nels USING (dim_id, topic_id)", "dims", "nels"),
         "document_lines": build("SELECT tok AS token, count(*) AS n FROM toks GROUP BY tok", "toks"),
         "graph_transactions": build("SELECT doc_id, src, dst FROM e", "e"),
         "bigrams": build("SELECT topic, src, dst, count(*) AS n FROM pairs WHERE dst IS NOT NULL GROUP BY ALL", "pairs"),
@@ -405,7 +438,7 @@ def oracles(s: Settings = Settings()) -> dict[str, str]:
         "pattern_report": build(report(
             "totals", "ranks", "pat", "n_w > 0", "true",
             f"""SELECT topic, 3, graph_no, 1, path FROM pat JOIN paths USING (topic, pattern_id)
-                UNION ALL SELECT topic, 3, graph_no, 2, {fmt(reports.SUPPORT, 'support')} FROM pat"""),
+                UNION ALL SELECT topic, 3, graph_no, 2, {fmt(REPORT_SUPPORT, 'support')} FROM pat"""),
             "totals", "paths", "ranks", "pat"),
         "characteristic_report": build(report(
             "ctotals", "uniq", "cgraphs", "true", "n_p > 0",

@@ -16,7 +16,7 @@ from catalog.settings import Settings
 from topicweave.functions import text as T
 from topicweave.operators import compare, corpus, dictionary, discover, graphs, mining, ranking
 from topicweave.plans import jobs
-from topicweave.plans.tables import materialise, new_path, spread_scan
+from topicweave.plans.tables import materialise, new_path
 from topicweave.sources import files, reports, store, transactions
 
 KEY = ["topic", "pattern_id"]
@@ -43,9 +43,8 @@ class Workspace:
         return new_path(self.spark, name)
 
     def documents(self, topic: str) -> DataFrame:
-        scan = self.table("documents").select(
+        return self.table("documents").select(
             F.col(topic).alias("topic"), "doc_id", F.format_string("documents/%d", "doc_id").alias("path"), "text")
-        return spread_scan(scan)
 
     @cached_property
     def stopword_table(self) -> DataFrame:
@@ -105,9 +104,15 @@ class Workspace:
     def characteristics(self) -> jobs.Characteristics:
         return jobs.extract_characteristics(self.mined, self.settings.min_distance)
 
+    @cached_property
+    def stored_characteristics(self) -> jobs.Characteristics:
+        folder = self.new_path("characteristics")
+        store.write_characteristics(self.characteristics, folder)
+        return jobs.Characteristics(*store.read_characteristics(self.spark, folder))
+
     @cached_property
     def dictionary(self) -> dictionary.Dictionary:
-        return jobs.create_dictionary(self.characteristics, self.settings.max_dimension)
+        return jobs.create_dictionary(self.characteristics)
 
     @cached_property
     def doc_dims(self) -> DataFrame:
@@ -115,16 +120,17 @@ class Workspace:
 
     @cached_property
     def text_folder(self) -> str:
-        """The documents as text files, one folder per language."""
+        """The documents as text files, one folder per language and one file per document."""
         folder = self.new_path("texts")
-        self.texts.select("topic", "text").write.partitionBy("topic").text(folder)
+        self.texts.select("topic", "text").write.partitionBy("topic").option("maxRecordsPerFile", 1).text(folder)
         return folder
 
     @cached_property
     def token_folder(self) -> str:
-        """The normalised documents as text, one token per line, one folder per language."""
+        """The normalised documents, one file each with one token per line, one folder per language."""
         folder = self.new_path("token_files")
-        self.corpus.select("topic", T.token_content(F.col("tokens")).alias("content")).write.partitionBy("topic").text(folder)
+        (self.corpus.select("topic", T.token_content(F.col("tokens")).alias("content"))
+         .write.partitionBy("topic").option("maxRecordsPerFile", 1).text(folder))
         return folder
 
 
@@ -176,7 +182,7 @@ def stopword_file(w: Workspace) -> DataFrame:
     path = w.new_path("stopwords")
     w.stopword_table.write.text(path)
     listed = files.read_stopwords(w.spark, path)
-    return trimmed_words(w).where(F.col("word").isin(listed)).select("topic", "word", "n")
+    return trimmed_words(w).join(listed, "word", "left_semi").select("topic", "word", "n")
 
 
 @query
@@ -228,32 +234,33 @@ def content_tokens(w: Workspace) -> DataFrame:
     return longs(parts, "pos")
 
 
+def _by_content(files_found: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """Files by topic and content, so that a wrong, missing or merged file shows."""
+    content = F.md5(F.array_join(tokens, "\n").cast("binary"))
+    topic = F.regexp_replace("topic", "^topic=", "")
+    return (files_found.where(F.size(tokens) > 0)
+            .groupBy(topic.alias("topic"), content.alias("content_hash"))
+            .agg(F.max(F.size(tokens)).cast("long").alias("n_tokens"), F.count("*").alias("n")))
+
+
 @query
 def labelled_corpus(w: Workspace) -> DataFrame:
-    """Topics and tokens of a two-level text folder."""
+    """Files of a two-level text folder, normalised."""
     raw = files.read_labelled_corpus(w.spark, w.text_folder)
-    found = corpus.normalise_corpus(raw, w.settings.stopwords, min_tokens=0)
-    topic = F.regexp_replace("topic", "^topic=", "")
-    return found.select(topic.alias("topic"), F.explode("tokens").alias("token")).groupBy("topic", "token").agg(
-        F.count("*").alias("n"))
+    return _by_content(corpus.normalise_corpus(raw, w.settings.stopwords, min_tokens=0))
 
 
 @query
 def document_folders(w: Workspace) -> DataFrame:
-    """Lines per sub-folder, each sub-folder being a document set."""
-    found = files.read_document_folders(w.spark, w.token_folder)
-    lines = F.size(T.content_tokens(F.col("text"))).cast("long")
-    return found.groupBy(F.regexp_replace("topic", "^topic=", "").alias("topic")).agg(F.sum(lines).alias("n_tokens"))
+    """Token files of every sub-folder, each sub-folder being a document set."""
+    return _by_content(corpus.tokenised_corpus(files.read_document_folders(w.spark, w.token_folder)))
 
 
 @query
 def document_files(w: Workspace) -> DataFrame:
-    """Tokens of the files directly inside one folder, and of all files below it."""
-    folder = f"{w.token_folder}/topic={w.settings.one_topic}"
-    lines = F.size(T.content_tokens(F.col("text"))).cast("long")
-    flat = files.read_document_files(w.spark, folder).select(F.lit("flat").alias("scan"), lines.alias("n"))
-    deep = files.read_documents(w.spark, w.token_folder).select(F.lit("deep").alias("scan"), lines.alias("n"))
-    return flat.unionByName(deep).groupBy("scan").agg(F.sum("n").alias("n_tokens"))
+    """Token files directly inside one folder."""
+    found = files.read_document_files(w.spark, f"{w.token_folder}/topic={w.settings.one_topic}")
+    return _by_content(corpus.tokenised_corpus(found.withColumn("topic", F.lit(w.settings.one_topic))))
 
 
 @query
@@ -271,13 +278,20 @@ def _transaction_folder(w: Workspace) -> str:
     lines = ids.select(*graph, F.lit(0).alias("part"), F.format_string("v %d %s", "id", "v").alias("line")).unionByName(
         arcs.select(*graph, F.lit(1).alias("part"), F.format_string("e %d %d 0", "from_id", "to_id").alias("line")))
     body = F.array_join(F.sort_array(F.collect_list(F.struct("part", "line")))["line"], "\n")
-    text = lines.groupBy(*graph).agg(body.alias("body")).select(
-        F.concat(F.lit("t # "), F.col("doc_id").cast("string"), F.lit("\n"), F.col("body")))
+    bodies = lines.groupBy(*graph).agg(body.alias("body"))
+    text = w.texts.select(*graph).join(bodies, graph, "left").select(
+        F.concat(F.lit("t # "), F.col("doc_id").cast("string"), F.coalesce(F.concat(F.lit("\n"), F.col("body")), F.lit(""))))
     folder = w.new_path("transactions")
     text.write.text(folder)
     return folder
 
 
+@query
+def transaction_graphs(w: Workspace) -> DataFrame:
+    """All graphs of transaction files, those without vertices included."""
+    return transactions.transaction_graphs(w.spark, _transaction_folder(w)).select(F.col("doc_id").cast("long").alias("doc_id"))
+
+
 @query
 def graph_transactions(w: Workspace) -> DataFrame:
     """Document graphs written as graph transactions and read back."""
@@ -430,7 +444,21 @@ def pattern_order(w: Workspace) -> DataFrame:
 def patterns_by_folder(w: Workspace) -> DataFrame:
     """The same with the document source as the folder."""
     found = materialise(corpus.normalise_corpus(w.documents("source"), w.settings.stopwords), "corpus")
-    return _patterns(mining.mine_frequent_subgraphs(found, w.settings.folder_support))
+    return _patterns(mining.mine_frequent_subgraphs(found, w.settings.min_support))
+
+
+@query
+def mined_folder_files(w: Workspace) -> DataFrame:
+    """Patterns of the token files of one folder."""
+    found = jobs.mine_folder(w.spark, f"{w.token_folder}/topic={w.settings.one_topic}", w.settings.min_support)
+    return _patterns(found).withColumn("topic", F.lit(w.settings.one_topic))
+
+
+@query
+def mined_folders_files(w: Workspace) -> DataFrame:
+    """Patterns of the token files of every sub-folder."""
+    found = jobs.mine_folders(w.spark, w.token_folder, w.settings.min_support)
+    return _patterns(found).withColumn("topic", F.regexp_replace("topic", "^topic=", ""))
 
 
 # --- comparison across topics ---------------------------------------------------------------
@@ -463,16 +491,19 @@ def characteristic_graphs(w: Workspace) -> DataFrame:
     return compare.characteristic_patterns(w.nearest, w.settings.min_distance)
 
 
-@query
-def characteristics(w: Workspace) -> DataFrame:
-    """Characteristic words and graphs of each topic with their frequency."""
-    found = w.characteristics
+def _characteristic_rows(found: jobs.Characteristics) -> DataFrame:
     kept = found.words.select("topic", F.lit("word").alias("kind"), F.col("v").alias("label"), F.col("df").alias("frequency"))
     kept = kept.unionByName(found.patterns.select(
         "topic", F.lit("graph").alias("kind"), F.col("pattern_id").alias("label"), F.col("support").alias("frequency")))
     return longs(kept, "frequency")
 
 
+@query
+def characteristics(w: Workspace) -> DataFrame:
+    """Characteristic words and graphs of each topic with their frequency."""
+    return _characteristic_rows(w.characteristics)
+
+
 # --- stored results and reports -------------------------------------------------------------
 
 
@@ -510,6 +541,18 @@ def characteristic_report(w: Workspace) -> DataFrame:
     return longs(reports.characteristic_report(c.topics, c.words, c.patterns, c.vertices, c.edges), "section")
 
 
+@query
+def stored_characteristics(w: Workspace) -> DataFrame:
+    """Characteristics written and read back."""
+    return _characteristic_rows(w.stored_characteristics)
+
+
+@query
+def stored_dictionary(w: Workspace) -> DataFrame:
+    """Dimensions of a dictionary built from stored characteristics."""
+    return longs(jobs.create_dictionary(w.stored_characteristics).dimensions, "n_elements")
+
+
 # --- dictionary and discovery ---------------------------------------------------------------
 
 
@@ -521,7 +564,7 @@ def topic_ids(w: Workspace) -> DataFrame:
 @query
 def word_budget(w: Workspace) -> DataFrame:
     c = w.characteristics
-    return longs(dictionary.word_budget(c.words, c.patterns, w.settings.max_dimension), "df", "rank")
+    return longs(dictionary.word_budget(c.words, c.patterns, w.settings.word_budget), "df", "rank")
 
 
 @query
@@ -582,5 +625,15 @@ def discovered_topics(w: Workspace) -> DataFrame:
 @query
 def prediction_lines(w: Workspace) -> DataFrame:
     """``file :: topic`` lines of raw texts that the dictionary has not seen."""
-    raw = spread_scan(w.table("benchmark").select(F.col("item_id").alias("doc_id"), "text"))
+    raw = w.table("benchmark").select(F.col("item_id").alias("doc_id"), "text")
     return store.prediction_lines(jobs.discover_texts(raw, w.settings.stopwords, w.dictionary))
+
+
+@query
+def discovered_files(w: Workspace) -> DataFrame:
+    """Topics of the token files of one folder, by content."""
+    folder = f"{w.token_folder}/topic={w.settings.one_topic}"
+    found = jobs.discover_files(w.spark, folder, w.dictionary)
+    content = F.md5(F.array_join(T.content_tokens(F.col("text")), "\n").cast("binary"))
+    named = files.read_document_files(w.spark, folder).select("doc_id", content.alias("content_hash"))
+    return found.join(named, "doc_id").groupBy("content_hash", "topic").agg(F.count("*").alias("n"))

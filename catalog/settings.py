@@ -17,8 +17,7 @@ STOPWORDS = (
 @dataclass(frozen=True)
 class Settings:
     min_support: float = 0.1
-    folder_support: float = 0.2
     min_distance: float = 0.5
-    max_dimension: int = 100
+    word_budget: int = 100
     stopwords: tuple[str, ...] = tuple(STOPWORDS)
     one_topic: str = "de"

@@ -52,7 +52,7 @@ def main() -> None:
     from catalog.settings import Settings
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
-    settings = Settings(min_support=0.3, folder_support=0.6) if sf == "0.001" else Settings()
+    settings = Settings()
     spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
              .config("spark.driver.memory", "12g").config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false")

@@ -90,3 +90,25 @@ def test_mined_patterns(make_corpus):
         key = r["topic"], r["pattern_id"]
         assert r["distance"] == min(
             [1.0] + [brute.graph_distance(plain[key], g) for other, g in plain.items() if other[0] != key[0]])
+
+
+def test_stars_that_share_nothing_are_not_grown(spark):
+    rows = [(topic, "p", "hub" + topic, f"{topic}{i}") for topic in "ab" for i in range(13)]
+    edges = spark.createDataFrame(rows, "topic string, pattern_id string, src string, dst string")
+    ends = edges.select("topic", "pattern_id", "src").union(edges.select("topic", "pattern_id", "dst"))
+    vertices = ends.distinct().toDF("topic", "pattern_id", "v")
+    assert compare.connected_parts(vertices, edges).isEmpty()
+    assert {r["distance"] for r in compare.nearest_foreign_pattern(vertices, edges).collect()} == {1.0}
+
+
+def test_common_size_of_all_pairs_with_a_common_edge(spark, as_tables):
+    rng = random.Random(5)
+    graphs = {("ab"[i % 2], f"p{i}"): sorted({rng.choice("uvwx") + rng.choice("uvwxy") for _ in range(5)}) for i in range(6)}
+    vertices, edges = as_tables(graphs)
+    x, y = (edges.toDF(f"topic_{side}", f"pattern_{side}", "src", "dst") for side in "xy")
+    pairs = x.join(y, ["src", "dst"]).where("topic_x < topic_y").drop("src", "dst").distinct()
+    found = compare.max_common_subgraph_size(pairs, vertices, edges).collect()
+    assert found
+    for r in found:
+        one, two = (brute.graph_of(graphs[key]) for key in ((r["topic_x"], r["pattern_x"]), (r["topic_y"], r["pattern_y"])))
+        assert r["mcs_size"] == brute.common_size(one, two)

@@ -114,3 +114,16 @@ def test_graph_containment(spark):
     found = graph_contains(*tables(parents, "parent"), ["parent"], *tables(children, "child"), ["child"])
     assert {tuple(r) for r in found.collect()} == {
         ("p", "one"), ("p", "two"), ("q", "one"), ("p", "vertex"), ("r", "vertex")}
+
+
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_ties_are_not_a_product_of_tables(spark, broadcast):
+    dictionary = make_dictionary(spark, WORDS, GRAPHS)
+    docs = spark.createDataFrame([("d", ["foo", "bar"])], "doc_id string, tokens array<string>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        plan = discover_topics(docs, dictionary)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan

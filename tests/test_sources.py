@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from topicweave.operators.corpus import normalise_corpus
 from topicweave.operators.mining import mine_frequent_subgraphs
 from topicweave.plans import jobs, tables
 from topicweave.sources import files, reports, store, transactions
@@ -29,19 +30,57 @@ def test_folders(spark, root):
         ("007", "doc 0.txt", "x\ny\n"), ("007", "doc 1.txt", "x\ny\nz\n"),
         ("oil & gas+1", "doc 0.txt", "a\nb\nc\n"), ("oil & gas+1", "doc 1.txt", "a\nb\nc\n"),
         ("oil & gas+1", "doc 2.txt", "a\nb\nd\n")]
-    assert files.read_documents(spark, str(root)).count() == 6
+    assert files.read_documents(spark, str(root)).count() == 0
+    assert files.read_documents(spark, f"{root}/007").count() == 2
     assert {r["doc_id"] for r in files.read_document_files(spark, f"{root}/007").collect()} == {"doc 0.txt", "doc 1.txt"}
     lines = files.read_lines(spark, f"{root}/007/doc 1.txt").collect()
     assert [r["line"] for r in lines] == ["x", "y", "z"] and lines[0]["path"].endswith("/007/doc 1.txt")
 
 
-def test_stopwords_file(spark, tmp_path, monkeypatch):
+def _write(folder, texts):
+    for name, text in texts.items():
+        path = folder / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text)
+
+
+def test_folder_depth_is_counted_from_the_root(spark, tmp_path, monkeypatch):
+    _write(tmp_path, {"news/a.txt": "1", "news/tech/b.txt": "2", "news/tech/news/d.txt": "3", "news/tech/news/2020/e.txt": "4",
+                      "news/year=9/f[1].txt": "5", "other/g.txt": "6", "news/.hidden/h.txt": "7"})
+    labelled = {(r["topic"], r["text"]) for r in files.read_labelled_corpus(spark, f"{tmp_path}/news").collect()}
+    assert labelled == {("tech", "2"), ("year=9", "5")}
+    assert [r["doc_id"] for r in files.read_document_files(spark, f"{tmp_path}/news/").collect()] == ["a.txt"]
+    assert files.read_document_files(spark, f"{tmp_path}/news/year=9").first()["doc_id"] == "f[1].txt"
+    several = files.read_document_files(spark, f"{tmp_path}/{{news,other}}").collect()
+    assert sorted(r["text"] for r in several) == ["1", "6"] and all("/" in r["doc_id"] for r in several)
+    assert {r["topic"] for r in files.read_labelled_corpus(spark, f"{tmp_path}/*").collect()} == {"tech", "year=9"}
+    with pytest.raises(FileNotFoundError):
+        files.read_documents(spark, f"{tmp_path}/nothing*")
+    assert files.read_document_files(spark, ".").schema == several_schema()
+
+
+def several_schema():
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    return StructType([StructField(name, StringType()) for name in ("doc_id", "path", "text")])
+
+
+def test_stopwords_file(spark, tmp_path):
     (tmp_path / "stop.txt").write_text("the\n'tis\nthe\nof\n", encoding="utf-8")
-    assert files.read_stopwords(spark, str(tmp_path / "stop.txt")) == ["'tis", "of", "the"]
-    monkeypatch.setattr(files, "INLINE_STOPWORDS", 2)
     assert sorted(r["word"] for r in files.read_stopwords(spark, str(tmp_path / "stop.txt")).collect()) == ["'tis", "of", "the"]
 
 
+def test_stopword_table_and_list_give_the_same(spark):
+    rows = [("t", 1, "p", "one stop two"), ("t", 1, "p", "three four stop"), ("t", 1, "p", "one stop two"),
+            ("t", None, None, None), ("t", 2, "q", "stop stop")]
+    docs = spark.createDataFrame(rows, "topic string, doc_id long, path string, text string")
+    table = spark.createDataFrame([("stop",), ("stop",), ("unused",)], "word string")
+    listed = normalise_corpus(docs, ["stop", "unused"], min_tokens=0).collect()
+    joined = normalise_corpus(docs, table, min_tokens=0).collect()
+    assert sorted(map(repr, listed)) == sorted(map(repr, joined))
+    assert [list(r["tokens"]) for r in joined].count(["one", "two"]) == 2
+
+
 def test_graph_transactions(spark, tmp_path):
     (tmp_path / "g1").write_text(
         "t # 0\nv 0 a\nv 1 b\nv 2 a\ne 0 1 9\ne 2 1 9\ne 1 2 9\nt # 1\nv 0 z\nt # -1\nt # 2\nv 0 lost\n")
@@ -60,11 +99,19 @@ def test_mine_graph_transactions(spark, tmp_path):
     (tmp_path / "g").write_text(f"t # 0\n{graph}t # 1\n{graph}t # 2\nv 0 a\nt # -1\n")
     items = tables.materialise(transactions.read_graph_transactions(spark, str(tmp_path)), "items")
     vertices = transactions.transaction_vertices(items)
-    listed = vertices.select("topic", "doc_id").distinct()
+    listed = transactions.transaction_graphs(spark, str(tmp_path))
     result = mine_frequent_subgraphs(listed, 0.6, None, transactions.transaction_edges(items), vertices)
     assert sorted((r["n_edges"], r["support"]) for r in result.patterns.collect()) == [(1, 2), (1, 2), (2, 2)]
 
 
+def test_empty_graphs_count(spark, tmp_path):
+    (tmp_path / "g").write_text("t # 0\nv 0 a\nv 1 b\ne 0 1 0\nt # 1\nt # 2\nv 0 a\nt # -1\nt # 9\n")
+    graphs = transactions.transaction_graphs(spark, str(tmp_path)).collect()
+    assert [r["doc_id"] for r in graphs] == ["0", "1", "2"]
+    counts = jobs.mine_transactions(spark, str(tmp_path), 0.5).counts.first()
+    assert (counts["n_graphs"], counts["min_sup"]) == (3, 2)
+
+
 def test_stored_corpus_keeps_topic_names_and_prunes(spark, root, tmp_path):
     path = str(tmp_path / "store")
     corpus = jobs.tokenised_corpus(files.read_labelled_corpus(spark, str(root)))
@@ -144,18 +191,14 @@ def test_positions_follow_the_order(spark):
     assert placed.where("x <> position").isEmpty() and placed.count() == 5000
 
 
-def test_scratch_folder_must_be_shared(spark, monkeypatch):
+def test_scratch_folder_is_shared(spark):
     assert tables.scratch_folder(spark) == spark.conf.get("spark.checkpoint.dir")
 
     class Conf:
-        def __init__(self, values):
-            self.values = values
-
         def get(self, name, default=None):
-            return self.values.get(name, default)
+            return {"spark.sql.warehouse.dir": "hdfs:/warehouse"}.get(name, default)
 
     class Session:
-        conf = Conf({"spark.master": "yarn"})
+        conf = Conf()
 
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        tables.scratch_folder(Session())
+    assert tables.scratch_folder(Session()) == "hdfs:/warehouse/scratch"

@@ -104,25 +104,34 @@ def graph_distance(pairs: DataFrame, vertices: DataFrame, edges: DataFrame) -> D
 # --- nearest pattern of any other topic -----------------------------------------------------
 
 
+def _shared(parts: DataFrame) -> DataFrame:
+    """The parts that patterns of two or more topics have."""
+    held = parts.groupBy("part").agg(F.min("topic").alias("first"), F.max("topic").alias("last")).where("first <> last")
+    return parts.join(held.select("part"), "part", "left_semi")
+
+
 def connected_parts(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """Every connected part of every pattern: ``(topic, pattern_id, part, part_size)``.
+    """Connected parts that two topics share: ``(topic, pattern_id, part, part_size)``.
 
     A part is a vertex, or a sorted array of edges. Parts grow by one adjacent
-    edge of their own pattern per round, so the rounds are as many as the edges of
-    the largest pattern and a join group is one pattern.
+    edge of their own pattern per round, found by an end that both have. A part that
+    two topics share is grown from a smaller one that they share, so only those are
+    kept, and patterns that share nothing take part in the first round only.
     """
-    listed = materialise(edges.select(*PATTERN, edge(F.col("src"), F.col("dst")).alias("pair"), "src", "dst"), "edges")
-    single = vertices.select(*PATTERN, F.array("v").alias("part"), F.lit(1).alias("part_size"))
-    grown = listed.select(*PATTERN, F.array("pair").alias("part"), F.array_distinct(F.array("src", "dst")).alias("ends"))
+    listed = edges.select(*PATTERN, edge(F.col("src"), F.col("dst")).alias("pair"),
+                          F.array_distinct(F.array("src", "dst")).alias("pair_ends"))
+    single = _shared(vertices.select(*PATTERN, F.array("v").alias("part"), F.lit(1).alias("part_size")))
+    first = listed.select(*PATTERN, F.array("pair").alias("part"), F.col("pair_ends").alias("ends"))
+    grown, any_grown = materialise_counting(_shared(materialise(first, "parts")), "shared_parts")
+    ends = materialise(listed.join(grown.select(*PATTERN).distinct(), PATTERN, "left_semi")
+                       .select(*PATTERN, "pair", "pair_ends", F.explode("pair_ends").alias("end")), "ends")
     levels = [grown]
-    while True:
-        touching = F.array_contains("ends", F.col("src")) | F.array_contains("ends", F.col("dst"))
-        grown, any_grown = materialise_counting(
-            grown.join(listed, PATTERN).where(touching & ~F.array_contains("part", F.col("pair")))
-            .select(*PATTERN, F.array_sort(F.array_append("part", F.col("pair"))).alias("part"),
-                    F.array_sort(F.array_union("ends", F.array("src", "dst"))).alias("ends")).distinct(), "parts")
-        if not any_grown:
-            break
+    while any_grown:
+        reached = (grown.select("*", F.explode("ends").alias("end")).join(ends, [*PATTERN, "end"])
+                   .where(~F.array_contains("part", F.col("pair")))
+                   .select(*PATTERN, F.array_sort(F.array_append("part", F.col("pair"))).alias("part"),
+                           F.array_sort(F.array_union("ends", "pair_ends")).alias("ends")).distinct())
+        grown, any_grown = materialise_counting(_shared(materialise(reached, "parts")), "shared_parts")
         levels.append(grown)
     of_edges = reduce(DataFrame.unionByName, levels).select(
         *PATTERN, "part", (F.size("part") + F.size("ends")).alias("part_size"))

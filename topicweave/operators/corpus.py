@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicweave.functions import text as T
+from topicweave.plans.tables import materialise
 
 _KEY = ["topic", "doc_id", "orgpath"]
 
@@ -17,8 +18,8 @@ def normalise_corpus(docs: DataFrame, stopwords: Sequence[str] | DataFrame,
     """``(topic, doc_id, path, text)`` to ``(topic, doc_id, orgpath, tokens, n_tokens)``.
 
     With a stopword list this is one narrow projection over the scan. A stopword
-    table too long to inline is joined on the exploded tokens instead; each
-    document is then put together again from its own tokens.
+    table ``word`` of any length is joined instead, with the same result: every
+    row of ``docs`` stays a document of its own.
     """
     if isinstance(stopwords, DataFrame):
         tokens = _tokens_without(docs, stopwords)
@@ -39,14 +40,19 @@ def _generated(docs: DataFrame, tokens) -> DataFrame:
 
 
 def _tokens_without(docs: DataFrame, stopwords: DataFrame) -> DataFrame:
-    listed = stopwords.select(F.col("word").alias("token"), F.lit(True).alias("is_stopword")).distinct()
-    occurrences = docs.select(
-        "topic", "doc_id", F.col("path").alias("orgpath"),
-        F.posexplode_outer(T.text_tokens(F.coalesce("text", F.lit("")))).alias("pos", "token"))
-    kept = F.when(F.col("token").isNotNull() & F.col("is_stopword").isNull(), F.struct("pos", "token"))
-    return (occurrences.join(listed, "token", "left")
-            .groupBy(*_KEY).agg(F.sort_array(F.collect_list(kept)).alias("placed"))
-            .select(*_KEY, F.col("placed.token").alias("tokens")))
+    """Tokens but for those in a table.
+
+    The tokens are written once with a number for each row. A row then asks for its
+    distinct tokens only and gets back those that are stopwords, so what is
+    collected for a row is bounded by its own text.
+    """
+    plain = _generated(docs, T.text_tokens(F.coalesce("text", F.lit(""))))
+    rows = materialise(plain.withColumn("row", F.monotonically_increasing_id()), "plain_tokens")
+    asked = rows.select("row", F.explode(F.array_distinct("tokens")).alias("token"))
+    listed = stopwords.select(F.col("word").alias("token")).distinct()
+    dropped = asked.join(listed, "token").groupBy("row").agg(F.collect_list("token").alias("dropped"))
+    kept = F.filter("tokens", lambda token: ~F.array_contains(F.coalesce("dropped", F.array().cast("array<string>")), token))
+    return rows.join(dropped, "row", "left").select(*_KEY, kept.alias("tokens"))
 
 
 def tokenised_corpus(docs: DataFrame) -> DataFrame:

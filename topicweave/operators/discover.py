@@ -39,7 +39,9 @@ def nearest_topics(docs: DataFrame, doc_dims: DataFrame, dictionary: Dictionary,
     that shares nothing it is ``n_topic``, at best that of the smallest topics;
     and a smallest topic that does share something beats them. So each document is
     left with its best sharing topics, or the smallest topics where these are not
-    farther. Without any topic vector there is no prediction.
+    farther. The list of the smallest topics is one value, bounded by the number of
+    topics, that is looked up and not joined. Without any topic vector there is no
+    prediction.
     """
     least = dictionary.topic_vectors.agg(F.min("n_dims")).first()[0]
     if least is None:
@@ -51,9 +53,10 @@ def nearest_topics(docs: DataFrame, doc_dims: DataFrame, dictionary: Dictionary,
     best = materialise(scored.withColumn("lowest", lowest).where(F.col("excess") == F.col("lowest"))
                        .where(F.col("excess") <= least).select(*key, "topic_id", "excess"), "best_topics")
     settled = best.where(F.col("excess") < least).select(*key).distinct()
-    smallest = sizes.where(F.col("n_topic") == least).select("n_topic", F.col("topic_id"))
-    rest = docs.select(*key, F.lit(least).alias("n_topic")).join(settled, [*key], "left_anti")
-    return best.select(*key, "topic_id").unionByName(rest.join(smallest, "n_topic").select(*key, "topic_id"))
+    smallest = sizes.where(F.col("n_topic") == least).agg(F.sort_array(F.collect_list("topic_id")).alias("tied"))
+    rest = docs.select(*key).join(settled, [*key], "left_anti")
+    tied = rest.select(*key, F.explode(smallest.scalar()).alias("topic_id"))
+    return best.select(*key, "topic_id").unionByName(tied)
 
 
 def discover_topics(docs: DataFrame, dictionary: Dictionary, key: Sequence[str] = ("doc_id",)) -> DataFrame:

@@ -108,14 +108,17 @@ def pattern_extensions(level: DataFrame, frequent: DataFrame) -> DataFrame:
 def extension_documents(docs: DataFrame, extensions: DataFrame, doc_edges: DataFrame) -> DataFrame:
     """Documents of a pattern that also hold an edge extending it.
 
-    A pattern's documents meet its few candidates first, and the edges are cut
-    down to those some candidate adds. The lookup in the edges is then by full key
-    ``(topic, doc_id, a, b)``, which spreads evenly.
+    A pattern's documents meet the real edges that leave the vertices it can be
+    extended from, by ``(topic, doc_id, a)``, which spreads evenly; these then meet
+    the small table of candidates. No row is made for a candidate that a document
+    does not hold.
     """
     steps = extensions.select("topic", "parent", *_STEP)
-    wanted = docs.withColumnRenamed("pid", "parent").join(steps, ["topic", "parent"])
     useful = doc_edges.join(steps.select("topic", "a", "b"), ["topic", "a", "b"], "left_semi")
-    return wanted.join(useful, ["topic", "doc_id", "a", "b"]).select("topic", "parent", *_STEP, "doc_id")
+    leaving = steps.select("topic", F.col("parent").alias("pid"), "a").distinct()
+    at = docs.join(leaving, ["topic", "pid"]).withColumnRenamed("pid", "parent")
+    real = at.join(useful, ["topic", "doc_id", "a"])
+    return real.join(steps, ["topic", "parent", "a", "b"]).select("topic", "parent", *_STEP, "doc_id")
 
 
 def extension_support(extension_docs: DataFrame) -> DataFrame:

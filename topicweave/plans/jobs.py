@@ -15,7 +15,7 @@ from topicweave.operators.dictionary import Dictionary, build_dictionary
 from topicweave.operators.discover import discover_topics
 from topicweave.operators.mining import MiningResult, mine_frequent_subgraphs
 from topicweave.plans.tables import materialise
-from topicweave.sources import files, reports, store
+from topicweave.sources import files, reports, store, transactions
 
 
 @dataclass(frozen=True)
@@ -55,6 +55,14 @@ def mine_folders(spark: SparkSession, root: str, min_support: float, max_edges:
     return mine_frequent_subgraphs(materialise(tokenised_corpus(docs), "corpus"), min_support, max_edges)
 
 
+def mine_transactions(spark: SparkSession, path: str, min_support: float, max_edges: int | None = None) -> MiningResult:
+    """Mine graph transaction files, each as one document set; graphs without vertices count."""
+    items = materialise(transactions.read_graph_transactions(spark, path), "transactions")
+    graphs = materialise(transactions.transaction_graphs(spark, path), "transaction_graphs")
+    return mine_frequent_subgraphs(graphs, min_support, max_edges, transactions.transaction_edges(items),
+                                   transactions.transaction_vertices(items))
+
+
 def extract_characteristics(result: MiningResult, min_distance: float,
                             drop_patternless_topics: bool = False) -> Characteristics:
     """Words frequent in one topic only, and patterns far from all other topics'.
@@ -118,6 +126,6 @@ def discover_texts(docs: DataFrame, stopwords: Sequence[str] | DataFrame, dictio
 
 __all__ = [
     "Characteristics", "create_dictionary", "discover_files", "discover_texts", "extract_characteristics",
-    "list_topics", "mine_folder", "mine_folders", "prepare_corpus", "store_characteristics", "topic_model",
+    "list_topics", "mine_folder", "mine_folders", "mine_transactions", "prepare_corpus", "store_characteristics", "topic_model",
     "write_characteristic_report", "write_mining_report",
 ]

@@ -52,17 +52,6 @@ def materialise_counting(df: DataFrame, name: str, condition: Column | None = No
     return table, seen.get["rows"] > 0
 
 
-def spread_scan(df: DataFrame) -> DataFrame:
-    """Give a scan of a few small files one task per core.
-
-    A scan that already has that many tasks, as on any large input, is returned
-    as it is and not shuffled. For plain scans only: asking for the number of
-    tasks would run the stages below a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def with_position(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
     """Add ``name``: the 0-based position of each row in a total order.
 

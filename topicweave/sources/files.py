@@ -1,15 +1,14 @@
-"""Text folders as DataFrames. Any Hadoop URI works, ``file://`` included."""
+"""Text folders as DataFrames. Any Hadoop URI works, ``file://`` included.
 
-from __future__ import annotations
+A folder may be relative or a glob; one that matches nothing raises. Only the levels
+asked for are listed: files directly in a folder, or directly in its sub-folders.
+"""
 
-import re
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Stopword lists up to this length are inlined as a constant set.
-INLINE_STOPWORDS = 20_000
-
 
 def _file_path() -> Column:
     """Path of the row's file; the metadata column holds it URI-encoded."""
@@ -20,25 +19,62 @@ def _path_part(path: Column, from_end: int) -> Column:
     return F.element_at(F.split(path, "/"), -from_end)
 
 
-def _whole_files(spark: SparkSession, folder: str, depth: int | None = None) -> DataFrame:
-    """``(path, text)`` of the files below a folder, at one depth if given."""
-    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(
-        _file_path().alias("path"), F.col("value").alias("text"))
-    if depth is None:
-        return files
-    name = folder.rstrip("/").rsplit("/", 1)[-1]
-    return files.where(F.col("path").rlike(f"/{re.escape(name)}(/[^/]+){{{depth}}}$"))
+def _matches(spark: SparkSession, folder: str) -> list:
+    """File system entries that a path or glob matches, hidden ones left out."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [entry for entry in found or [] if not entry.getPath().getName().startswith(("_", "."))]
+
+
+def _children(spark: SparkSession, folder) -> list:
+    entries = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    return [entry for entry in entries if not entry.getPath().getName().startswith(("_", "."))]
+
+
+def _folders(spark: SparkSession, folder: str) -> list:
+    found = [entry.getPath() for entry in _matches(spark, folder.rstrip("/") or "/") if entry.isDirectory()]
+    if not found:
+        raise FileNotFoundError(f"no folder matches {folder}")
+    return found
+
+
+def _escaped(path) -> str:
+    """A path as Spark's readers take it: they would read it as a glob."""
+    return "".join(f"\\{c}" if c in "{}[]*?\\" else c for c in path.toString())
+
+
+def _files_of(spark: SparkSession, folders: list) -> DataFrame:
+    """``(path, text)`` of the files directly inside some folders.
+
+    A folder without sub-folders is handed to Spark as it is. Of one that has some
+    only the files are, since Spark would list what is below it.
+    """
+    paths = []
+    for folder in folders:
+        entries = _children(spark, folder)
+        if any(entry.isDirectory() for entry in entries):
+            paths += [_escaped(entry.getPath()) for entry in entries if not entry.isDirectory()]
+        elif entries:
+            paths.append(_escaped(folder))
+    if not paths:
+        return spark.createDataFrame([], "path string, text string")
+    return spark.read.text(paths, wholetext=True).select(_file_path().alias("path"), F.col("value").alias("text"))
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """One row ``(path, text)`` per file."""
-    return _whole_files(spark, folder)
+    """One row ``(path, text)`` for each file directly inside a folder."""
+    return _files_of(spark, _folders(spark, folder))
 
 
 def read_document_files(spark: SparkSession, folder: str) -> DataFrame:
-    """The files directly inside a folder: ``(doc_id, path, text)``, ``doc_id`` = file name."""
-    files = _whole_files(spark, folder, depth=1)
-    return files.select(_path_part(F.col("path"), 1).alias("doc_id"), "path", "text")
+    """The files directly inside a folder: ``(doc_id, path, text)``.
+
+    ``doc_id`` is the file name; where a glob matches several folders it is the path,
+    since names may repeat.
+    """
+    folders = _folders(spark, folder)
+    name = _path_part(F.col("path"), 1) if len(folders) == 1 else F.col("path")
+    return _files_of(spark, folders).select(name.alias("doc_id"), "path", "text")
 
 
 def read_labelled_corpus(spark: SparkSession, root: str) -> DataFrame:
@@ -46,7 +82,9 @@ def read_labelled_corpus(spark: SparkSession, root: str) -> DataFrame:
 
     Returns ``(topic, doc_id, path, text)``; the path identifies the document.
     """
-    files = _whole_files(spark, root, depth=2)
+    topics = [entry.getPath() for folder in _folders(spark, root)
+              for entry in _children(spark, folder) if entry.isDirectory()]
+    files = _files_of(spark, topics)
     return files.select(_path_part(F.col("path"), 2).alias("topic"), F.col("path").alias("doc_id"), "path", "text")
 
 
@@ -63,12 +101,6 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(_file_path().alias("path"), F.col("value").alias("line"))
 
 
-def read_stopwords(spark: SparkSession, path: str) -> list[str] | DataFrame:
-    """Stopwords, one per line and exact.
-
-    A list short enough to be a constant comes back as a list; a longer one stays
-    a distributed table, which the normaliser joins.
-    """
-    entries = spark.read.text(path).select(F.col("value").alias("word")).distinct()
-    head = entries.limit(INLINE_STOPWORDS + 1).collect()
-    return entries if len(head) > INLINE_STOPWORDS else sorted(row["word"] for row in head)
+def read_stopwords(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct stopwords ``word``, one per line and exact."""
+    return spark.read.text(path).select(F.col("value").alias("word")).distinct()

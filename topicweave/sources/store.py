@@ -14,6 +14,7 @@ from pyspark.sql import types as t
 from topicweave.operators.dictionary import Dictionary
 from topicweave.operators.mining import MiningResult
 
+_CHARACTERISTIC_TABLES = ["topics", "words", "patterns", "vertices", "edges"]
 _DICTIONARY_TABLES = ["topics", "dimensions", "elements", "topic_vectors"]
 _MINING_TABLES = ["counts", "vertices", "patterns", "pattern_docs"]
 
@@ -76,6 +77,17 @@ def read_mining_result(spark: SparkSession, folder: str) -> MiningResult:
     return MiningResult(*(read_by_topic(spark, f"{folder}/{name}") for name in _MINING_TABLES))
 
 
+def write_characteristics(found, folder: str) -> None:
+    """Write what is characteristic of the topics as tables, for use in another session."""
+    for name in _CHARACTERISTIC_TABLES:
+        getattr(found, name).write.parquet(f"{folder}/{name}")
+
+
+def read_characteristics(spark: SparkSession, folder: str) -> list[DataFrame]:
+    """The stored tables, in the order of the fields of ``Characteristics``."""
+    return [spark.read.parquet(f"{folder}/{name}") for name in _CHARACTERISTIC_TABLES]
+
+
 def write_dictionary(dictionary: Dictionary, folder: str) -> None:
     for name in _DICTIONARY_TABLES:
         getattr(dictionary, name).write.parquet(f"{folder}/{name}")

@@ -8,25 +8,35 @@ from pyspark.sql import functions as F
 from topicweave.sources.files import _file_path
 
 
-def read_graph_transactions(spark: SparkSession, path: str) -> DataFrame:
-    """One row per item: ``(path, graph_id, kind, item)``, ``item`` the words of a line.
-
-    The graph header is the record separator, so a file of any size is split
-    between tasks and each record is one graph. A file ends at ``t # -1``: records
-    behind that marker are dropped by their place in the file. Graph ids must be
-    unique in a file and vertex ids in a graph.
-    """
+def _graphs(spark: SparkSession, path: str) -> DataFrame:
+    """One row per graph before the end mark of its file: ``(path, graph_id, value)``."""
     chunks = spark.read.option("lineSep", "\nt # ").text(path).select(
         _file_path().alias("path"),
         F.struct(F.col("_metadata.file_block_start").alias("block"),
                  F.monotonically_increasing_id().alias("row")).alias("place"),
         F.regexp_replace("value", r"\At # ", "").alias("value"))
-    graphs = chunks.withColumn("graph_id", F.regexp_extract("value", r"\A\s*(\S+)", 1))
+    graphs = chunks.withColumn("graph_id", F.regexp_extract("value", r"\A\s*(\S+)", 1)).where("graph_id <> ''")
     ends = (graphs.where(F.col("graph_id") == "-1")
             .groupBy("path").agg(F.min("place").alias("end_place")))
-    graphs = (graphs.join(ends, "path", "left")
-              .where(F.col("end_place").isNull() | (F.col("place") < F.col("end_place"))))
-    lines = graphs.select("path", "graph_id", F.explode(F.split("value", r"\r?\n")).alias("line"))
+    return (graphs.join(ends, "path", "left")
+            .where(F.col("end_place").isNull() | (F.col("place") < F.col("end_place"))))
+
+
+def transaction_graphs(spark: SparkSession, path: str) -> DataFrame:
+    """Every graph, also one without a line of its own: ``(topic, doc_id)``."""
+    return _graphs(spark, path).select(F.col("path").alias("topic"), F.col("graph_id").alias("doc_id"))
+
+
+def read_graph_transactions(spark: SparkSession, path: str) -> DataFrame:
+    """One row per item: ``(path, graph_id, kind, item)``, ``item`` the words of a line.
+
+    The graph header is the record separator, so a file of any size is split
+    between tasks and each record is one graph. A file ends at ``t # -1``: records
+    behind that marker are dropped by their place in the file. Graph ids must be
+    unique in a file and vertex ids in a graph. Graphs without items have no row
+    here; ``transaction_graphs`` lists them.
+    """
+    lines = _graphs(spark, path).select("path", "graph_id", F.explode(F.split("value", r"\r?\n")).alias("line"))
     items = lines.select("path", "graph_id", F.split("line", " ").alias("item"))
     return items.select("path", "graph_id", F.get("item", 0).alias("kind"), "item").where(
         F.col("kind").isin("v", "e"))
