@@ -51,7 +51,7 @@ def lines(docs: DataFrame) -> DataFrame:
 def word_ranks(docs: DataFrame) -> DataFrame:
     """One row with ``ranks``: a level of frequency for each slot of word hashes."""
     counted = (docs.select(F.explode(_words(F.col("text"))).alias("word"))
-               .groupBy(F.pmod(F.xxhash64("word"), F.lit(SLOTS)).alias("slot")).agg(F.count("*").alias("n")))
+               .groupBy(F.xxhash64("word").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).agg(F.count("*").alias("n")))
     every = docs.sparkSession.range(SLOTS).select(F.col("id").alias("slot"), F.lit(0).cast("long").alias("n"))
     level = F.least(F.lit(127), F.floor(4 * F.log2(F.sum("n") + 1))).cast("tinyint")
     levels = materialise(counted.unionByName(every).groupBy("slot").agg(level.alias("level")), "word_levels")
@@ -74,19 +74,18 @@ def classes(docs: DataFrame) -> DataFrame:
     ``first`` (its first place), ``copies``, ``n`` (its distinct words), ``low`` and
     ``high`` (smallest and largest word hash), two bitmaps and ``prefix``.
     """
-    hashed = lines(docs).select(
-        "class", "doc_id", "line_no", F.array(word_ranks(docs).scalar()).alias("tables"),
-        F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("hashes")).where("size(hashes) > 0")
-    keyed = hashed.select(
-        "class", "doc_id", "line_no", "hashes",
-        F.expr(f"""sort_array(flatten(transform(tables, ranks -> transform(hashes, h ->
-            shiftleft(cast(ranks[cast(pmod(h, {SLOTS}L) as int)] as bigint), 56) | (h & {(1 << 56) - 1}L)))))""").alias("sorted"))
-    n = F.size("hashes")
+    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
+    # A generated column is computed once, whatever filters and columns use it. The table of
+    # ranks is looked up in the one expression that uses it, so that no row carries it.
+    hashed = lines(docs).select("class", "doc_id", "line_no", F.explode_outer(F.array(hashes)).alias("hashes")).where("size(hashes) > 0")
+    ranked = hashed.withColumn("tables", F.array(word_ranks(docs).scalar()))
     flip = "aggregate(hashes, 0L, (bits, h) -> bits ^ if((h & 1) = {half}, shiftleft(1L, cast(shiftrightunsigned(h, 58) as int)), 0L))"
-    shown = keyed.select(
-        "class", "doc_id", "line_no", n.alias("n"), F.array_min("hashes").alias("low"), F.array_max("hashes").alias("high"),
+    shown = ranked.select(
+        "class", "doc_id", "line_no", F.size("hashes").alias("n"), F.array_min("hashes").alias("low"), F.array_max("hashes").alias("high"),
         F.expr(flip.format(half=0)).alias("even_bits"), F.expr(flip.format(half=1)).alias("odd_bits"),
-        F.expr(f"transform(slice(sorted, 1, size(hashes) - (4 * size(hashes) + 4) div 5 + 1), k -> k & {(1 << 48) - 1}L)").alias("prefix"))
+        F.expr(f"""transform(slice(sort_array(flatten(transform(tables, ranks -> transform(hashes, h ->
+            shiftleft(cast(ranks[cast(h & {SLOTS - 1}L as int)] as bigint), 56) | (h & {(1 << 56) - 1}L))))),
+            1, size(hashes) - (4 * size(hashes) + 4) div 5 + 1), k -> k & {(1 << 48) - 1}L)""").alias("prefix"))
     same = [F.first(c).alias(c) for c in ("n", "low", "high", "even_bits", "odd_bits", "prefix")]
     return materialise(shown.groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("first"),
                                                   F.count("*").alias("copies"), *same), "line_classes")
