@@ -5,7 +5,8 @@ decomposition of the weighted passages gives a space of few dimensions. A passag
 document is a candidate for a benchmark item when their cosine there is high, and is
 verified by the longest common subsequence of their words and by a look for the item's
 answer. An item is in a document when most of its words are there in order, or when a
-good part of them and of its answer is.
+good part of them and of its answer is; by weight too, so that common words alone are
+not enough.
 
 Which passages are looked at: a passage with a share of an item's words has at least
 one of the item's rarest words, as many as may be missing and one more. Each occurrence
@@ -23,7 +24,7 @@ counted over all documents; the decomposition is fitted on a bounded sample.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,6 +48,8 @@ LEAST_COSINE = 0.4
 #: Least share of an item's words in order, with its answer and without.
 LEAST_WITH_ANSWER = 0.6
 LEAST = 0.75
+#: Least share of an item's words by weight, in any order.
+LEAST_WEIGHT = 0.6
 #: Least share of the answer's words in order.
 LEAST_ANSWER = 0.6
 #: Words more than the item's that a passage has on either side, as share.
@@ -117,12 +120,14 @@ class Detector:
     benchmark: Benchmark
     space: np.ndarray
     frequency: np.ndarray
+    weight: np.ndarray
 
     def __post_init__(self) -> None:
         self.rare: defaultdict[int, list[tuple[int, int]]] = defaultdict(list)
         self.masks = [(_masks(item.words), _masks(item.answer)) for item in self.benchmark.items]
         vectors = np.stack([self.space[item.words].sum(axis=0) for item in self.benchmark.items])
         self.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+        self.counts = [Counter(item.words) for item in self.benchmark.items]
         for number, item in enumerate(self.benchmark.items):
             spared = int((1 - LEAST_WITH_ANSWER) * len(item.words) + 1e-9)
             places = sorted(range(len(item.words)), key=lambda i: (self.frequency[item.words[i]], item.words[i], i))
@@ -145,6 +150,12 @@ class Detector:
                 found[number] = best
         return found
 
+    def _weighty(self, number: int, passage: list[int]) -> bool:
+        """Whether the passage has enough of the item's words by weight."""
+        wanted, there = self.counts[number], Counter(passage)
+        common = sum(self.weight[word] * min(n, there[word]) for word, n in wanted.items())
+        return common >= LEAST_WEIGHT * sum(self.weight[word] * n for word, n in wanted.items())
+
     def _cosine(self, number: int, passage: np.ndarray) -> float:
         """Cosine of an item and a passage in the space; unknown words are its last row."""
         vector = self.space[passage].sum(axis=0)
@@ -165,7 +176,7 @@ class Detector:
             known = known.tolist()
             share = common_subsequence(self.masks[number][0], n, known) / n
             answer = common_subsequence(self.masks[number][1], len(item.answer), known) >= LEAST_ANSWER * len(item.answer)
-            if (share >= LEAST or share >= LEAST_WITH_ANSWER and answer) and (best is None or (share, cosine) > (best[1], best[0])):
+            if (share >= LEAST or share >= LEAST_WITH_ANSWER and answer) and self._weighty(number, known) and (best is None or (share, cosine) > (best[1], best[0])):
                 best = (cosine, share, answer)
         return best
 
@@ -233,7 +244,7 @@ def _fit(docs: DataFrame, benchmark: Benchmark) -> Detector:
     left, _, _ = np.linalg.svd(product + 1e-9 * basis, full_matrices=False)
     space = np.zeros((size + 1, min(RANK, left.shape[1])), dtype=np.float32)
     space[:-1] = weight[:, None] * left[:, :space.shape[1]]
-    return Detector(benchmark, space, frequency)
+    return Detector(benchmark, space, frequency, weight)
 
 
 def detectors(docs: DataFrame, items: DataFrame) -> Iterator[Detector]:
