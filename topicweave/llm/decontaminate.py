@@ -8,10 +8,10 @@ answer. An item is in a document when most of its words are there in order, or w
 good part of them and of its answer is; by weight too, so that common words alone are
 not enough.
 
-Which passages are looked at: a passage with a share of an item's words has at least
-one of the item's rarest words, as many as may be missing and one more. Each occurrence
-of such a word is laid against its place in the item, and the passage of the item's
-length around it is compared. So every place that can pass is looked at.
+Which passages are looked at: of an item's rarest words, ``ANCHORS`` more than may be
+missing, a passage that can pass has at least ``ANCHORS``. Each occurrence of such a word is
+laid against its place in the item, and the passage of the item's length around it is
+compared when it has that many of them. So every place that can pass is looked at.
 
 The benchmark is the query set, taken in blocks of bounded size. Document frequencies are
 counted over all documents; the decomposition is fitted on a bounded sample.
@@ -43,6 +43,8 @@ OVERSAMPLED = 8
 #: Documents that the space is fitted on, as expected size of a sample by hash, and the words of their passages.
 FITTED_ROWS = 20_000
 PASSAGE = 64
+#: Rare words of an item that a passage has to have, where the item is long enough.
+ANCHORS = 3
 #: Least cosine of a candidate.
 LEAST_COSINE = 0.4
 #: Least share of an item's words in order, with its answer and without.
@@ -123,33 +125,49 @@ class Detector:
     weight: np.ndarray
 
     def __post_init__(self) -> None:
-        self.rare: defaultdict[int, list[tuple[int, int]]] = defaultdict(list)
         self.masks = [(_masks(item.words), _masks(item.answer)) for item in self.benchmark.items]
+        self.counts = [Counter(item.words) for item in self.benchmark.items]
         vectors = np.stack([self.space[item.words].sum(axis=0) for item in self.benchmark.items])
         self.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-        self.counts = [Counter(item.words) for item in self.benchmark.items]
-        for number, item in enumerate(self.benchmark.items):
-            spared = int((1 - LEAST_WITH_ANSWER) * len(item.words) + 1e-9)
-            places = sorted(range(len(item.words)), key=lambda i: (self.frequency[item.words[i]], item.words[i], i))
-            for place in places[:spared + 1]:
-                self.rare[item.words[place]].append((number, place))
-        self.is_rare = np.zeros(len(self.space), dtype=bool)
-        self.is_rare[list(self.rare)] = True
+        self.lengths = np.array([len(item.words) for item in self.benchmark.items])
+        spared = ((1 - LEAST_WITH_ANSWER) * self.lengths + 1e-9).astype(int)
+        taken = np.minimum(self.lengths, spared + ANCHORS)
+        self.needed = taken - spared
+        self.widths = np.array([item_length + 2 * self._slack(number) for number, item_length in enumerate(self.lengths.tolist())])
+        anchors = sorted(
+            (item.words[place], number, place) for number, item in enumerate(self.benchmark.items)
+            for place in sorted(range(len(item.words)), key=lambda i, w=item.words: (self.frequency[w[i]], w[i], i))[:taken[number]])
+        words, self.numbers, self.places = np.array(anchors, dtype=np.int64).T
+        self.first = np.searchsorted(words, np.arange(len(self.space) + 1))
 
     def find(self, text: str | None) -> dict[int, tuple[float, float, bool]]:
         """Numbers of the items in a text, each with cosine, share of its words and whether its answer is there."""
         ids = self.benchmark.ids(text)
-        starts: defaultdict[int, set[int]] = defaultdict(set)
-        for at in np.flatnonzero(self.is_rare[ids]).tolist():
-            for number, place in self.rare[int(ids[at])]:
-                starts[number].add(at - place)
+        at = np.flatnonzero(ids >= 0)
+        begin, n = self.first[ids[at]], np.diff(self.first)[ids[at]]
+        at, begin, n = at[n > 0], begin[n > 0], n[n > 0]
+        entry = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+        at, numbers = np.repeat(at, n), self.numbers[entry]
+        order = np.lexsort((at, numbers))
+        at, numbers, starts = at[order], numbers[order], (at - self.places[entry])[order]
+        last = np.arange(len(at)) + self.needed[numbers] - 1
+        first = np.flatnonzero(last < len(at))
+        last = last[first]
+        close = (numbers[last] == numbers[first]) & (at[last] - at[first] < self.widths[numbers[first]])
         found = {}
-        for number, places in starts.items():
-            best = self._verify(number, sorted(places), ids)
+        for number in np.unique(numbers[first[close]]).tolist():
+            own = slice(*np.searchsorted(numbers, [number, number + 1]))
+            hits, candidates = np.unique(at[own]), np.unique(starts[own])
+            length, slack = int(self.lengths[number]), self._slack(number)
+            inside = np.searchsorted(hits, candidates + length + slack) - np.searchsorted(hits, candidates - slack)
+            best = self._verify(number, candidates[inside >= self.needed[number]].tolist(), ids)
             if best:
                 found[number] = best
         return found
 
+    def _slack(self, number: int) -> int:
+        return int(SLACK * self.lengths[number]) + 1
+
     def _weighty(self, number: int, passage: list[int]) -> bool:
         """Whether the passage has enough of the item's words by weight."""
         wanted, there = self.counts[number], Counter(passage)
@@ -163,7 +181,7 @@ class Detector:
 
     def _verify(self, number: int, places: list[int], ids: np.ndarray) -> tuple[float, float, bool] | None:
         item = self.benchmark.items[number]
-        n, slack = len(item.words), int(SLACK * len(item.words)) + 1
+        n, slack = len(item.words), self._slack(number)
         best = None
         for start in places:
             passage = ids[max(0, start - slack):start + n + slack]
