@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import zlib
 from collections import defaultdict
+from functools import cache
 
 import numpy as np
 import pytest
@@ -16,10 +17,15 @@ def paths():
     return tokens.vocabulary()
 
 
-def ids_of(text, paths):
+@cache
+def tokenizer(path):
     from tokenizers import Tokenizer
 
-    return [*Tokenizer.from_file(paths[0]).encode(text or "", add_special_tokens=False).ids, 2]
+    return Tokenizer.from_file(path)
+
+
+def ids_of(text, paths):
+    return [*tokenizer(paths[0]).encode(text or "", add_special_tokens=False).ids, 2]
 
 
 def texts():
