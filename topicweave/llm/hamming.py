@@ -95,7 +95,9 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     todo = materialise(asked.select("query", "code", F.lit(0).alias("done"), F.lit(2 * len(segments)).alias("goal")), "queries")
     best, more = None, n_rows > 0
     while more:
-        met = _probes(todo, segments).join(entries, ["segment", "value"])
+        # Written first: a few queries make very many probes, and their true size decides the join.
+        probes = materialise(_probes(todo.repartition("query"), segments), "probes")
+        met = probes.join(entries, ["segment", "value"])
         differs = F.col("query_code").bitwiseXOR(F.col("code"))
         earliest = F.least(*(F.bit_count(F.shiftrightunsigned(differs, shift).bitwiseAND(F.lit((1 << width) - 1).cast("long")))
                              * len(segments) + i for i, (shift, width) in enumerate(segments)))
