@@ -175,12 +175,13 @@ def drop_lines(docs: DataFrame) -> DataFrame:
     All columns stay, and ``n_chars`` is the new length where there is such a column.
     """
     gone = materialise(removed_lines(docs), "removed_lines").select(F.col("doc_id").alias("gone_id"), "removed")
-    joined = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("removed", i)), "\n")
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)
-    left = joined.withColumn("text", text).where("removed IS NULL OR text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
+    whole = docs.select(F.struct(*docs.columns).alias("doc"))
+    joined = whole.join(gone, F.col("doc.doc_id") == F.col("gone_id"), "left")
+    whole_text, intact = F.col("doc.text"), F.col("removed").isNull()
+    kept = F.array_join(F.filter(F.split(whole_text, "\n"), lambda line, i: ~F.array_contains("removed", i)), "\n")
+    shown = joined.withColumn("kept", F.when(intact, whole_text).otherwise(kept)).where(intact | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+    new = {"text": F.col("kept")}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        left = left.withColumn("n_chars", F.when(F.col("removed").isNull(), F.col("n_chars"))
-                               .otherwise(F.char_length("text").cast(kind)))
-    return left.select(*docs.columns)
+        length = F.char_length("kept").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(intact, F.col("doc.n_chars")).otherwise(length)
+    return shown.select(*(new.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns))
