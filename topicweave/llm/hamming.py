@@ -37,8 +37,11 @@ def sign_bits(vector: str) -> Column:
 
 
 def _segments(n: int) -> list[tuple[int, int]]:
-    """Shift and width of each segment; about as many bits as it takes to number the codes."""
-    count = min(16, max(2, round(BITS / max(math.log2(max(n, 2)), 1))))
+    """Shift and width of each segment; not wider than the bits that it takes to number the codes.
+
+    Wider ones have fewer codes for each value but far more values within a radius.
+    """
+    count = min(16, max(2, math.ceil(BITS / max(math.log2(max(n, 2)), 1))))
     edges = [round(i * BITS / count) for i in range(count + 1)]
     return [(BITS - b, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
