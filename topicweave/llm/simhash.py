@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicweave.llm.components import components
+from topicweave.llm.shingle_join import later_copies
 from topicweave.llm.words import texts, words
 from topicweave.plans.tables import materialise
 
@@ -123,12 +124,10 @@ def label_documents(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component: that with the smallest id. All columns stay.
+    """One document of each group of near copies: that with the smallest id. All columns stay.
 
-    Five-word shingles, as for near duplicates in general. Of repeated rows with one
-    id all stay or go together, and rows with a null id stay when nothing with an id
-    is like them.
+    Fingerprints of copies with a Jaccard similarity of 0.8 can differ in any number of
+    bits, so the groups come from the exact join of ``shingle_join``. Of repeated rows with one
+    id all stay or go together, and rows with a null id stay.
     """
-    found = near_duplicates(docs, shingle=5)
-    gone = materialise(found.where("doc_id != component_id").select("doc_id").distinct(), "near_copies")
-    return docs.join(gone, "doc_id", "left_anti")
+    return docs.join(later_copies(docs), "doc_id", "left_anti")
