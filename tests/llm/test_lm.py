@@ -127,3 +127,20 @@ def test_odd_rows(odd_docs, no_docs):
     assert {r["n_tokens"] for r in found if r["doc_id"] in (1, 2, 3)} == {1}
     assert [r["held_out"] for r in found if r["doc_id"] is None] == [False]
     assert lm.score(no_docs).count() == 0
+
+
+def test_query_scores_with_two_words_of_context(make_docs):
+    docs = corpus(60)
+    default, three, two = ({r["doc_id"]: r["score"] for r in lm.score(make_docs(docs), *order).collect()} for order in ((), (3,), (2,)))
+    assert default == pytest.approx(three, rel=1e-12) and default != pytest.approx(two, rel=1e-6)
+
+
+def test_packed_keys_and_counts_come_back():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 200_000):
+        keys = np.sort(rng.integers(0, 2**64, n, dtype=np.uint64))
+        assert (lm._unpack_keys(lm._pack_keys(keys)) == keys).all()
+        for top in (2, 300, 2**40):
+            counts = rng.integers(0, top, n)
+            assert (lm._unpack_counts(lm._pack_counts(counts)) == counts).all()
+    assert len(lm._pack_keys(keys)) < 0.85 * keys.nbytes

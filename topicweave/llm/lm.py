@@ -37,7 +37,7 @@ from topicweave.llm.words import id_remainder, texts, words
 from topicweave.plans.tables import materialise
 
 #: Longest n-grams.
-ORDER = 2
+ORDER = 3
 #: Tokens of a chunk and of the corpus for each bucket; they bound the memory of a task.
 CHUNK = 1_000_000
 BUCKET = 2_000_000
@@ -61,6 +61,27 @@ def _unpack(octets: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(octets), dtype=kind)
 
 
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte by byte of their rank: the high bytes of the differences are mostly zero."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    return zstandard.ZstdCompressor(level=1).compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _unpack_keys(octets: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(octets), dtype=np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """Counts in the narrowest type that holds them, which is named by the first byte."""
+    width = np.min_scalar_type(int(counts.max(initial=0))).itemsize
+    return bytes([width]) + _pack(counts.astype(f"<u{width}"))
+
+
+def _unpack_counts(octets: bytes) -> np.ndarray:
+    return _unpack(octets[1:], f"<u{octets[0]}").astype(np.int64)
+
+
 class _Chunk:
     """Texts of one kind that a task has not written yet."""
 
@@ -179,8 +200,8 @@ def _asked(table: DataFrame, order: int, buckets: int) -> DataFrame:
                 cuts = {n: _cuts(keys, buckets) for n, keys in grams.keys.items()}
                 yield pd.DataFrame({
                     "bucket": range(buckets), "chunk": row.chunk, "kind": row.kind,
-                    "keys": [[grams.keys[n][cuts[n][b]:cuts[n][b + 1]].tobytes() for n in cuts] for b in range(buckets)],
-                    "counts": [[_pack(grams.counts[n][cuts[n][b]:cuts[n][b + 1]].astype("<i8")) for n in cuts]
+                    "keys": [[_pack_keys(grams.keys[n][cuts[n][b]:cuts[n][b + 1]]) for n in cuts] for b in range(buckets)],
+                    "counts": [[_pack_counts(grams.counts[n][cuts[n][b]:cuts[n][b + 1]]) for n in cuts]
                                for b in range(buckets)]})
 
     return table.mapInPandas(ask, "bucket int, chunk long, kind int, keys array<binary>, counts array<binary>")
@@ -195,14 +216,14 @@ def _answers(asked: DataFrame, order: int) -> DataFrame:
         totals = [[] for _ in range(len(rows))]
         fitted = tuned = types = 0
         for n in range(order):
-            keys = [np.frombuffer(of_row[n], dtype="<u8") for of_row in rows["keys"]]
-            counts = np.concatenate([_unpack(of_row[n], "<i8") for of_row in rows["counts"]])
+            keys = [_unpack_keys(of_row[n]) for of_row in rows["keys"]]
+            counts = np.concatenate([_unpack_counts(of_row[n]) for of_row in rows["counts"]])
             sizes = [len(k) for k in keys]
             distinct, position = np.unique(np.concatenate(keys), return_inverse=True)
             of_kind = np.repeat(kinds, sizes)
             fit, tune = (np.bincount(position, counts * (of_kind == kind), len(distinct)).astype(np.int64) for kind in (FIT, TUNE))
             for i, part in enumerate(np.split(position, np.cumsum(sizes)[:-1])):
-                totals[i] += [_pack(fit[part]), _pack(tune[part])]
+                totals[i] += [_pack_counts(fit[part]), _pack_counts(tune[part])]
             if n == 0:
                 token = distinct != start
                 fitted, tuned, types = fit[token].sum(), tune[token].sum(), ((fit + tune > 0) & token).sum()
@@ -222,8 +243,8 @@ class _Model:
         self.totals = {}
         rows = answers.sort_values("bucket")["totals"].tolist()
         for n in grams.keys:
-            fit = np.concatenate([_unpack(row[2 * n - 2], "<i8") for row in rows])
-            tune = np.concatenate([_unpack(row[2 * n - 1], "<i8") for row in rows]) if with_tuning else 0
+            fit = np.concatenate([_unpack_counts(row[2 * n - 2]) for row in rows])
+            tune = np.concatenate([_unpack_counts(row[2 * n - 1]) for row in rows]) if with_tuning else 0
             self.totals[n] = fit + tune
         self.known = self.totals[1][grams.at[1]]
         self.base = (self.known + ADDED) / (tokens + ADDED * (types + 1))
