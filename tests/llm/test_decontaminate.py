@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -87,3 +88,24 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert decontaminate.find_items(no_docs, items).count() == 0
     assert decontaminate.find_items(odd_docs, items.limit(0)).count() == 0
     assert decontaminate.keep_clean(odd_docs, items.limit(0)).count() == 11
+
+
+def test_space_is_fitted_on_all_documents(make_docs, monkeypatch):
+    docs, items, _ = world()
+    benchmark = decontaminate.Benchmark.of(pd.DataFrame({"item_id": list(items), "text": list(items.values())}))
+    weight = np.random.default_rng(0).random(len(benchmark.vocabulary)) + 0.5
+    basis = np.random.default_rng(1).standard_normal((len(weight), 5))
+    monkeypatch.setattr(decontaminate, "PASSAGES", 7)
+    rows = []
+    for text in docs.values():
+        ids = benchmark.ids(text)
+        for start in range(0, len(ids), decontaminate.PASSAGE):
+            part = ids[start:start + decontaminate.PASSAGE]
+            rows.append(np.bincount(part[part >= 0], minlength=len(weight)) * weight)
+    wanted = np.array(rows).T @ (np.array(rows) @ basis)
+    assert decontaminate._gram_product(make_docs(docs), benchmark, weight, basis) == pytest.approx(wanted, rel=1e-9, abs=1e-9)
+    monkeypatch.setattr(decontaminate, "FITTED_ROWS", 5, raising=False)
+    fitted = []
+    monkeypatch.setattr(decontaminate, "_gram_product", lambda docs, *rest: fitted.append(docs.count()) or np.ones(rest[2].shape))
+    decontaminate._fit(make_docs(docs), benchmark)
+    assert fitted == [len(docs)]

@@ -14,7 +14,7 @@ laid against its place in the item, and the passage of the item's length around
 compared when it has that many of them. So every place that can pass is looked at.
 
 The benchmark is the query set, taken in blocks of bounded size. Document frequencies are
-counted over all documents; the decomposition is fitted on a bounded sample.
+counted over all documents, and the decomposition is fitted on the passages of all of them.
 
 * A null or empty text holds no item; a null or empty item is in no document.
 * Repeated rows are judged one by one. Items with equal texts are all reported.
@@ -40,9 +40,11 @@ from topicweave.llm.words import texts
 BLOCK = 10_000
 RANK = 64
 OVERSAMPLED = 8
-#: Documents that the space is fitted on, as expected size of a sample by hash, and the words of their passages.
-FITTED_ROWS = 20_000
+#: Words of a passage that the space is fitted on.
 PASSAGE = 64
+#: Texts and passages that are multiplied at once.
+TEXTS = 256
+PASSAGES = 1024
 #: Rare words of an item that a passage has to have, where the item is long enough.
 ANCHORS = 3
 #: Least cosine of a candidate.
@@ -226,17 +228,28 @@ def _gram_product(docs: DataFrame, benchmark: Benchmark, weight: np.ndarray, bas
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         benchmark, weight, basis = shared.value
         total = np.zeros(basis.shape)
+        size = len(basis)
+        weighted = weight[:, None] * basis
         for batch in batches:
-            for text in batch["text"]:
-                ids = benchmark.ids(text)
-                place = np.flatnonzero(ids >= 0)
-                if not len(place):
+            for first in range(0, len(batch), TEXTS):
+                found = [benchmark.ids(text) for text in batch["text"].iloc[first:first + TEXTS]]
+                new = np.concatenate([np.arange(len(ids)) % PASSAGE == 0 for ids in found])
+                passages, ids = np.cumsum(new) - 1, np.concatenate(found)
+                known = ids >= 0
+                pair, times = np.unique(passages[known] * size + ids[known], return_counts=True)
+                if not len(pair):
                     continue
-                ids, passage = ids[place], place // PASSAGE
-                first = np.flatnonzero(np.diff(passage, prepend=-1))
-                projected = np.add.reduceat(weight[ids, None] * basis[ids], first, axis=0)
-                back = weight[ids, None] * np.repeat(projected, np.diff([*first, len(ids)]), axis=0)
-                np.add.at(total, ids, back)
+                passage, word = pair // size, pair % size
+                starts = np.flatnonzero(np.diff(passage, prepend=-1))
+                for low in range(0, len(starts), PASSAGES):
+                    cut = starts[low:low + PASSAGES]
+                    part = slice(cut[0], starts[low + PASSAGES] if low + PASSAGES < len(starts) else len(pair))
+                    projected = np.add.reduceat(times[part, None] * weighted[word[part]], cut - cut[0], axis=0)
+                    back = times[part, None] * np.repeat(projected, np.diff([*cut, part.stop]), axis=0)
+                    order = np.argsort(word[part], kind="stable")
+                    by_word = word[part][order]
+                    heads = np.flatnonzero(np.diff(by_word, prepend=-1))
+                    total[by_word[heads]] += weight[by_word[heads], None] * np.add.reduceat(back[order], heads, axis=0)
         some = np.flatnonzero(total.any(axis=1))
         if len(some):
             yield pd.DataFrame({"word": some, "row": total[some].tolist()})
@@ -252,13 +265,10 @@ def _fit(docs: DataFrame, benchmark: Benchmark) -> Detector:
     """Weights, the space of the leading right singular vectors, and the detector made of them."""
     frequency, n = _frequencies(docs, benchmark)
     weight = np.log((n + 1) / (frequency + 1)) + 1e-3
-    sample = docs
-    if n > FITTED_ROWS:
-        sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("space")), F.lit(1 << 32)) < int(FITTED_ROWS / n * (1 << 32)))
     rng = np.random.default_rng(42)
     size = len(weight)
     basis = np.linalg.qr(rng.standard_normal((size, min(RANK + OVERSAMPLED, size))))[0]
-    product = _gram_product(sample, benchmark, weight, basis)
+    product = _gram_product(docs, benchmark, weight, basis)
     left, _, _ = np.linalg.svd(product + 1e-9 * basis, full_matrices=False)
     space = np.zeros((size + 1, min(RANK, left.shape[1])), dtype=np.float32)
     space[:-1] = weight[:, None] * left[:, :space.shape[1]]
