@@ -109,3 +109,26 @@ def test_space_is_fitted_on_all_documents(make_docs, monkeypatch):
     monkeypatch.setattr(decontaminate, "_gram_product", lambda docs, *rest: fitted.append(docs.count()) or np.ones(rest[2].shape))
     decontaminate._fit(make_docs(docs), benchmark)
     assert fitted == [len(docs)]
+
+
+def test_reordered_and_reworded_items_are_found(spark, make_docs):
+    docs, items, planted = {}, {}, set()
+    rng = random.Random(8)
+    words = [f"v{k}" for k in range(1500)]
+    for i in range(300, 600):
+        docs[i] = " ".join(rng.choices(words, k=100))
+    for i in range(20):
+        first = rng.sample(words, 14)
+        items[100 + i] = " ".join(first) + ". " + " ".join(rng.sample(words, 14)) + "."
+        docs[1000 + i] = " ".join(rng.choices(words, k=50 + i) + items[100 + i].split(". ")[1].split() + first + rng.choices(words, k=40))
+        planted.add((1000 + i, 100 + i))
+        question, answer = rng.sample(words, 20), rng.sample(words, 8)
+        items[200 + i] = " ".join(question) + ". " + " ".join(answer) + "."
+        for at in rng.sample(range(20), 10):
+            question[at] = f"new{rng.randrange(900)}"
+        docs[2000 + i] = " ".join(rng.choices(words, k=30 + i) + question + answer + rng.choices(words, k=60))
+        planted.add((2000 + i, 200 + i))
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_items(make_docs(docs), as_items(spark, items)).collect()}
+    assert found <= planted
+    assert {p for p in planted if p[0] < 2000} <= found
+    assert len([p for p in found if p[0] >= 2000]) >= 18

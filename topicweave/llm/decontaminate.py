@@ -13,6 +13,11 @@ missing, a passage that can pass has at least ``ANCHORS``. Each occurrence of su
 laid against its place in the item, and the passage of the item's length around it is
 compared when it has that many of them. So every place that can pass is looked at.
 
+Passages near an item by cosine are looked at too, whatever words they share and in which order:
+windows of about the item's length over the whole text. They are verified sentence by
+sentence, so that sentences may change places, or by the item's answer, word for word, and a
+smaller part of the other words.
+
 The benchmark is the query set, taken in blocks of bounded size. Document frequencies are
 counted over all documents, and the decomposition is fitted on the passages of all of them.
 
@@ -49,6 +54,16 @@ PASSAGES = 1024
 ANCHORS = 3
 #: Least cosine of a candidate.
 LEAST_COSINE = 0.4
+#: Least cosine of a window that is a candidate by it alone; ratio of the lengths of items that share windows.
+NEAR_COSINE = 0.6
+RATIO = 1.4
+#: Least share of an item's words, in number and by weight, where its sentences have any order.
+LEAST_REORDERED = 0.85
+#: Least share of an item's words, in number and by weight, where its answer is there word for word, and that answer's words.
+LEAST_REWORDED = 0.4
+LONG_ANSWER = 4
+#: Words of a text whose windows are compared at once.
+STRETCH = 8192
 #: Least share of an item's words in order, with its answer and without.
 LEAST_WITH_ANSWER = 0.6
 LEAST = 0.75
@@ -73,6 +88,7 @@ class Item:
     item_id: object
     words: list[int]
     answer: list[int]
+    sentences: list[list[int]]
 
 
 @dataclass
@@ -91,7 +107,9 @@ class Benchmark:
             if found:
                 ends = [m.end() for m in _SENTENCE_END.finditer(text.strip())]
                 tail = len(plain_words(text.strip()[ends[-1]:])) if ends else len(found) // 3
-                items.append(Item(item_id, found, found[len(found) - max(tail, 1):]))
+                cuts = [0, *ends, len(text.strip())]
+                parts = [plain_words(text.strip()[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+                items.append(Item(item_id, found, found[len(found) - max(tail, 1):], [[vocabulary[w] for w in part] for part in parts if part]))
         return cls(vocabulary, items)
 
     def ids(self, text: str | None) -> np.ndarray:
@@ -117,6 +135,12 @@ def _masks(found: list[int]) -> dict[int, int]:
     return dict(masks)
 
 
+def _holds(passage: np.ndarray, wanted: list[int]) -> bool:
+    """Whether the words ``wanted`` follow each other in the passage."""
+    at = np.flatnonzero(passage[:len(passage) - len(wanted) + 1] == wanted[0]) if len(passage) >= len(wanted) else []
+    return any(passage[i:i + len(wanted)].tolist() == wanted for i in at)
+
+
 @dataclass
 class Detector:
     """Finds the items of a block in a text. ``space`` has a row for each word and a last one of zeros."""
@@ -128,10 +152,13 @@ class Detector:
 
     def __post_init__(self) -> None:
         self.masks = [(_masks(item.words), _masks(item.answer)) for item in self.benchmark.items]
+        self.parts = [[(_masks(part), len(part)) for part in item.sentences] for item in self.benchmark.items]
         self.counts = [Counter(item.words) for item in self.benchmark.items]
         vectors = np.stack([self.space[item.words].sum(axis=0) for item in self.benchmark.items])
-        self.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+        self.vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)).astype(np.float32)
         self.lengths = np.array([len(item.words) for item in self.benchmark.items])
+        scale = np.round(np.log(self.lengths) / np.log(RATIO)).astype(int)
+        self.scales = [self._scale(int(round(RATIO**k)), np.flatnonzero(scale == k)) for k in np.unique(scale).tolist()]
         spared = ((1 - LEAST_WITH_ANSWER) * self.lengths + 1e-9).astype(int)
         taken = np.minimum(self.lengths, spared + ANCHORS)
         self.needed = taken - spared
@@ -142,6 +169,12 @@ class Detector:
         words, self.numbers, self.places = np.array(anchors, dtype=np.int64).T
         self.first = np.searchsorted(words, np.arange(len(self.space) + 1))
 
+    def _scale(self, width: int, numbers: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Items whose windows have one width: which items each word is in, and the least weight of each item."""
+        word, column = np.array(sorted((w, i) for i, number in enumerate(numbers) for w in self.counts[number]), dtype=np.int64).T
+        least = [LEAST_REWORDED * sum(self.weight[w] * n for w, n in self.counts[number].items()) for number in numbers]
+        return width, numbers, np.searchsorted(word, np.arange(len(self.space) + 1)), column, np.array(least) - 1e-9
+
     def find(self, text: str | None) -> dict[int, tuple[float, float, bool]]:
         """Numbers of the items in a text, each with cosine, share of its words and whether its answer is there."""
         ids = self.benchmark.ids(text)
@@ -165,16 +198,66 @@ class Detector:
             best = self._verify(number, candidates[inside >= self.needed[number]].tolist(), ids)
             if best:
                 found[number] = best
+        for number, start, width in self._near(ids):
+            if number not in found:
+                best = self._verify_near(number, start, width, ids)
+                if best:
+                    found[number] = best
         return found
 
+    def _near(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Items and windows (start, width) of a text that are near each other in the space.
+
+        Cosines are taken where the words around a window can have the least weight that
+        ``_verify_near`` asks for: the weights of all of them are summed up by steps of the window.
+        """
+        pad = 3 * max(width for width, *_ in self.scales)
+        for low in range(0, len(ids), STRETCH):
+            offset = max(0, low - pad)
+            part = ids[offset:low + STRETCH + pad]
+            at = np.flatnonzero(part >= 0)
+            for width, numbers, first, columns, least in self.scales:
+                step, k = max(1, width // 4), len(numbers)
+                begin, n = first[part[at]], first[part[at] + 1] - first[part[at]]
+                column = columns[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                steps = -(-len(part) // step)
+                weights = np.bincount(np.repeat(at // step, n) * k + column, np.repeat(self.weight[part[at]], n), steps * k)
+                sums = np.zeros((steps + 1, k))
+                np.cumsum(weights.reshape(steps, k), axis=0, out=sums[1:])
+                longest = int(self.lengths[numbers].max())
+                around = int(SLACK * longest) + 1 + width // 4
+                places = np.arange(steps)
+                inside = (sums[np.minimum(places + -(-(max(width, longest) + around) // step), steps)]
+                          - sums[np.maximum(places - -(-around // step), 0)])
+                for place, number in zip(*(found.tolist() for found in np.nonzero(inside >= least)), strict=True):
+                    start = offset + place * step
+                    if self._cosine(int(numbers[number]), ids[start:start + width]) >= NEAR_COSINE:
+                        yield int(numbers[number]), start, width
+
+    def _verify_near(self, number: int, start: int, width: int, ids: np.ndarray) -> tuple[float, float, bool] | None:
+        """As ``_verify``, for a window near the item: each sentence has an order of its own."""
+        item = self.benchmark.items[number]
+        n, around = len(item.words), self._slack(number) + width // 4
+        passage = ids[max(0, start - around):start + max(width, n) + around]
+        known = passage[passage >= 0].tolist()
+        if len(known) < LEAST_REWORDED * n or not self._weighty(number, known, LEAST_REWORDED):
+            return None
+        share = sum(common_subsequence(masks, length, known) for masks, length in self.parts[number]) / n
+        if share < LEAST_REWORDED:
+            return None
+        answer = common_subsequence(self.masks[number][1], len(item.answer), known) >= LEAST_ANSWER * len(item.answer)
+        if share >= LEAST_REORDERED and self._weighty(number, known, LEAST_REORDERED) or len(item.answer) >= LONG_ANSWER and _holds(passage, item.answer):
+            return self._cosine(number, ids[start:start + width]), share, answer
+        return None
+
     def _slack(self, number: int) -> int:
         return int(SLACK * self.lengths[number]) + 1
 
-    def _weighty(self, number: int, passage: list[int]) -> bool:
+    def _weighty(self, number: int, passage: list[int], least: float = LEAST_WEIGHT) -> bool:
         """Whether the passage has enough of the item's words by weight."""
         wanted, there = self.counts[number], Counter(passage)
         common = sum(self.weight[word] * min(n, there[word]) for word, n in wanted.items())
-        return common >= LEAST_WEIGHT * sum(self.weight[word] * n for word, n in wanted.items())
+        return common >= least * sum(self.weight[word] * n for word, n in wanted.items())
 
     def _cosine(self, number: int, passage: np.ndarray) -> float:
         """Cosine of an item and a passage in the space; unknown words are its last row."""
