@@ -89,3 +89,20 @@ def test_gaps_at_the_ends_and_false_starts():
     assert list(warc.salvage(b"")) == [] and gaps(b"WARC/1.1\r\n") == [(0, 10)]
     assert gaps(gzip.compress(good)[:-3]) == [(0, len(gzip.compress(good)) - 3)]
     assert blocks(gzip.compress(good + good) + good) == [good.split(b"\r\n\r\n", 1)[1][:-4]] * 3
+
+
+@pytest.mark.parametrize("level", [0, 6])
+def test_whole_records_of_a_damaged_member_are_kept(level):
+    rng = random.Random(6)
+    whole = [record(f"{i} " + "".join(rng.choices("abcdefghij ", k=3000))) for i in range(60)]
+    texts = [r.split(b"\r\n\r\n", 1)[1][:-4] for r in whole]
+    packed = gzip.compress(b"".join(whole), level)
+    cut = packed[:len(packed) * 3 // 4]
+    found = blocks(cut)
+    assert 40 <= len(found) < 60 and found == texts[:len(found)] and gaps(cut) == [(0, len(cut))]
+    assert blocks(cut + whole[0])[:len(found)] == found
+    bad = bytearray(whole[5])
+    bad[-20] ^= 1
+    member = gzip.compress(b"".join([*whole[:5], bytes(bad), *whole[6:]]), level)
+    assert blocks(member) == texts[:5] + texts[6:]
+    assert gaps(member) == [(0, 0)]

@@ -40,6 +40,7 @@ LEAST_PAYLOAD = 0
 _URN = "urn:page:"
 _BREAK = b"\r\n\r\n"
 _START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
+_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _FIELD = re.compile(rb"([!#$%&'*+.^_`|~0-9A-Za-z-]+):[ \t]*([^\r\n]*)")
 _STEP = 1 << 16
 
@@ -132,52 +133,91 @@ def _plain(data: bytes, at: int) -> tuple[int, dict[str, str], bytes] | str:
     return end + 4, fields, block
 
 
-def _member(data: bytes, at: int) -> tuple[int, list[tuple[dict[str, str], bytes]]] | str:
-    """The records of the gzip member at ``at`` and where it ends; or what is wrong with it."""
+def _inflated(data: bytes, at: int) -> tuple[bytes, int | None, str | None]:
+    """What could be inflated of the gzip member at ``at``; where it ends, or what is wrong with it."""
     inflate = zlib.decompressobj(wbits=31)
-    parts = []
-    try:
-        pos = at
-        while not inflate.eof:
-            if pos >= len(data):
-                return "member without end"
+    parts, pos = [], at
+    while not inflate.eof:
+        if pos >= len(data):
+            return b"".join(parts), None, "member without end"
+        before = inflate.copy()
+        try:
             parts.append(inflate.decompress(data[pos:pos + _STEP]))
-            pos += _STEP
-    except zlib.error:
-        return "bad gzip member"
-    end = min(pos, len(data)) - len(inflate.unused_data)
-    content, found, inner = b"".join(parts), [], 0
-    while inner < len(content):
-        record = _plain(content, inner)
+        except zlib.error:
+            try:
+                for i in range(pos, min(pos + _STEP, len(data))):
+                    parts.append(before.decompress(data[i:i + 1]))
+            except zlib.error:
+                pass
+            return b"".join(parts), None, "bad gzip member"
+        pos += _STEP
+    return b"".join(parts), min(pos, len(data)) - len(inflate.unused_data), None
+
+
+def _inner(content: bytes) -> tuple[list[tuple[dict[str, str], bytes]], list[tuple[int, int, str]]]:
+    """Whole records of an inflated member, and the gaps between them: start, length, what is wrong."""
+    at, gap, reason, found, gaps = 0, None, "", [], []
+    while at < len(content):
+        record = _plain(content, at)
         if isinstance(record, str):
-            return f"{record} in a gzip member"
-        inner = record[0]
+            if gap is None:
+                gap, reason = at, record
+            following = _VERSION.search(content, at + 1)
+            at = following.start() if following else len(content)
+            continue
+        if gap is not None:
+            gaps.append((gap, at - gap, reason))
+            gap = None
+        at = record[0]
         found.append(record[1:])
-    return end, found
+    if gap is not None:
+        gaps.append((gap, len(content) - gap, reason))
+    return found, gaps
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes | None, str | None]]:
-    """Records and gaps of an archive in order: start, length, fields, block, and what was wrong with a gap."""
+    """Records and gaps of an archive in order: start, length, fields, block, and what was wrong with a gap.
+
+    Whole records of a damaged gzip member start at the member and have length 0, since its bytes are
+    a gap. A gap inside a whole member has length 0 too and says where it is in the inflated bytes.
+    """
     at, gap, reason = 0, None, None
+    taken: list[bytes] = []
     while at < len(data):
+        found, inner, wrong = [], [], None
         if data[at:at + 3] == b"\x1f\x8b\x08":
-            got = _member(data, at)
-            found = got if isinstance(got, str) else (got[0], got[1])
+            content, end, wrong = _inflated(data, at)
+            found, inner = _inner(content)
+            if wrong is None and content and not found:
+                wrong = f"{inner[0][2]} in a gzip member"
         else:
             got = _plain(data, at)
-            found = got if isinstance(got, str) else (got[0], [got[1:]])
-        if isinstance(found, str):
+            if isinstance(got, str):
+                wrong = got
+            else:
+                end, found = got[0], [got[1:]]
+        if wrong is not None:
             if gap is None:
-                gap, reason = at, found
+                gap, reason = at, wrong
+            for fields, block in found:
+                taken.append(block)
+                yield at, 0, fields, block, None
             following = _START.search(data, at + 1)
             at = following.start() if following else len(data)
             continue
+        if data[at:at + 1] == b"W" and gap is not None and found[0][1] in taken:
+            # a stored block of the damaged member, whose record has been returned
+            taken.remove(found[0][1])
+            at = end
+            continue
         if gap is not None:
             yield gap, at - gap, None, None, reason
-            gap = None
-        for fields, block in found[1]:
-            yield at, found[0] - at, fields, block, None
-        at = found[0]
+            gap, taken = None, []
+        for fields, block in found:
+            yield at, end - at, fields, block, None
+        for start, length, what in inner:
+            yield at, 0, None, None, f"{what}, {length} bytes at {start} in a gzip member"
+        at = end
     if gap is not None:
         yield gap, len(data) - gap, None, None, reason
 
