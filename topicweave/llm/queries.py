@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from topicweave.llm import decontaminate, hamming, language, licenses, line_dedup, lm, pack_bfd, pack_genetic, simhash, warc
+from topicweave.llm import decontaminate, hamming, language, licenses, line_dedup, lm, merkle, pack_bfd, pack_genetic, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,11 +53,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_language_id, op2_simhash, op3_license_scan, op4_packed_matrices, op5_line_dedup, op6_warc_salvage,
         op7_genetic_packing, op8_hamming_search,
-        op9_deleted_interpolation, op10_decontamination)}
+        op9_deleted_interpolation, op10_decontamination, op12_merkle_manifest)}
 
 ORACLES: dict[str, str] = {
     "op3_license_scan": licenses.oracle_sql(),
@@ -87,4 +91,5 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, vec_id, distance, rank FROM ranked WHERE rank <= 10
     """,
+    "op12_merkle_manifest": merkle.oracle_sql(),
 }
