@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from topicweave.llm import decontaminate, hamming, language, licenses, line_dedup, lm, merkle, pack_bfd, pack_genetic, sentencepieces, simhash, warc
+from topicweave.llm import (
+    decontaminate,
+    hamming,
+    language,
+    licenses,
+    line_dedup,
+    lm,
+    merkle,
+    pack_bfd,
+    pack_genetic,
+    sentencepieces,
+    simhash,
+    token_links,
+    warc,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,12 +75,16 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"))
 
 
+def op13_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_links.align(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_language_id, op2_simhash, op3_license_scan, op4_packed_matrices, op5_line_dedup, op6_warc_salvage,
         op7_genetic_packing, op8_hamming_search,
         op9_deleted_interpolation, op10_decontamination, op11_sentencepiece,
-        op12_merkle_manifest)}
+        op12_merkle_manifest, op13_token_links)}
 
 ORACLES: dict[str, str] = {
     "op3_license_scan": licenses.oracle_sql(),

@@ -58,3 +58,27 @@ def encode(text: str | None, paths: tuple[str, str], end: int) -> np.ndarray:
     out[:-1] = ids
     out[-1] = end
     return out
+
+
+@cache
+def _slow_plain(path: str):
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path)
+    found.encode_special_tokens = True
+    return found
+
+
+def encode_plain(text: str, paths: tuple[str, str]) -> list[int]:
+    """Ids of a text in which the strings of special tokens are ordinary text."""
+    if _PLAIN.fullmatch(text) and not _RUN.search(text):
+        return _fast(paths[1]).encode_ordinary(text)
+    return _slow_plain(paths[0]).encode(text, add_special_tokens=False).ids
+
+
+@cache
+def token_bytes(path: str) -> list[bytes]:
+    """Bytes of each id of a file of ranks."""
+    with open(path, "rb") as lines:
+        ranks = {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, lines)}
+    return [ranks.get(i, b"") for i in range(max(ranks) + 1)]
