@@ -106,3 +106,35 @@ def test_whole_records_of_a_damaged_member_are_kept(level):
     member = gzip.compress(b"".join([*whole[:5], bytes(bad), *whole[6:]]), level)
     assert blocks(member) == texts[:5] + texts[6:]
     assert gaps(member) == [(0, 0)]
+
+
+def revisit(i):
+    return (f"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:page:{i}>\r\nWARC-Refers-To: <urn:page:0>\r\n"
+            "Content-Length: 0\r\n\r\n\r\n\r\n").encode()
+
+
+def ids(data):
+    return [f["warc-record-id"] for _, _, f, _, _ in warc.salvage(data) if f is not None]
+
+
+@pytest.mark.parametrize("level", [0, 6])
+@pytest.mark.parametrize("spoilt", [1, 8, 30])
+def test_records_behind_a_damaged_member_with_equal_blocks_are_kept(level, spoilt):
+    member = bytearray(gzip.compress(revisit(1) + record("two", **{"WARC-Record-ID": "<urn:page:2>"}), level))
+    member[-spoilt if spoilt < 30 else -1:] = b""
+    if spoilt < 30:
+        member += b"\xff" * spoilt
+    plain = revisit(3) + revisit(4) + record("five", **{"WARC-Record-ID": "<urn:page:5>"})
+    data = bytes(member) + plain
+    found = ids(data)
+    kept = ids(bytes(member))
+    assert kept[0] == "<urn:page:1>" and found == kept + ids(plain)
+    assert sum(n for _, n in gaps(data)) == len(member)
+
+
+def test_records_that_are_stored_twice_are_returned_twice():
+    one = revisit(1)
+    member = bytearray(gzip.compress(one + one, 0))
+    member[-1] ^= 1
+    assert ids(bytes(member) + one) == ["<urn:page:1>"] * 3
+    assert ids(bytes(member)) == ["<urn:page:1>"] * 2

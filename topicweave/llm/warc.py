@@ -133,29 +133,38 @@ def _plain(data: bytes, at: int) -> tuple[int, dict[str, str], bytes] | str:
     return end + 4, fields, block
 
 
-def _inflated(data: bytes, at: int) -> tuple[bytes, int | None, str | None]:
-    """What could be inflated of the gzip member at ``at``; where it ends, or what is wrong with it."""
+def _inflated(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """What could be inflated of the gzip member at ``at``, where the inflater stopped, and what is wrong with the member."""
     inflate = zlib.decompressobj(wbits=31)
     parts, pos = [], at
     while not inflate.eof:
         if pos >= len(data):
-            return b"".join(parts), None, "member without end"
+            return b"".join(parts), len(data), "member without end"
         before = inflate.copy()
         try:
             parts.append(inflate.decompress(data[pos:pos + _STEP]))
         except zlib.error:
+            i = pos
             try:
-                for i in range(pos, min(pos + _STEP, len(data))):
+                while True:
                     parts.append(before.decompress(data[i:i + 1]))
+                    i += 1
             except zlib.error:
-                pass
-            return b"".join(parts), None, "bad gzip member"
+                return b"".join(parts), i + 1, "bad gzip member"
         pos += _STEP
     return b"".join(parts), min(pos, len(data)) - len(inflate.unused_data), None
 
 
-def _inner(content: bytes) -> tuple[list[tuple[dict[str, str], bytes]], list[tuple[int, int, str]]]:
-    """Whole records of an inflated member, and the gaps between them: start, length, what is wrong."""
+def _stored_as(octets: bytes, record: bytes) -> bool:
+    """Whether ``octets`` are a record, or one with the five bytes that begin a stored block of deflate in its header."""
+    if octets == record:
+        return True
+    same = next((i for i, (a, b) in enumerate(zip(octets, record, strict=False)) if a != b), len(record))
+    return len(octets) == len(record) + 5 and any(octets[:i] + octets[i + 5:] == record for i in range(max(0, same - 5), same + 1))
+
+
+def _inner(content: bytes) -> tuple[list[tuple[dict[str, str], bytes, bytes]], list[tuple[int, int, str]]]:
+    """Whole records of an inflated member (fields, block, all bytes), and the gaps between them: start, length, what is wrong."""
     at, gap, reason, found, gaps = 0, None, "", [], []
     while at < len(content):
         record = _plain(content, at)
@@ -168,8 +177,8 @@ def _inner(content: bytes) -> tuple[list[tuple[dict[str, str], bytes]], list[tup
         if gap is not None:
             gaps.append((gap, at - gap, reason))
             gap = None
+        found.append((*record[1:], content[at:record[0]]))
         at = record[0]
-        found.append(record[1:])
     if gap is not None:
         gaps.append((gap, len(content) - gap, reason))
     return found, gaps
@@ -180,11 +189,14 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
 
     Whole records of a damaged gzip member start at the member and have length 0, since its bytes are
     a gap. A gap inside a whole member has length 0 too and says where it is in the inflated bytes.
+
+    A member that was stored and not packed shows its records in the archive's bytes too. Such a record is not returned
+    twice: it begins where the inflater has read, and its bytes are those of a record that came out of there.
     """
     at, gap, reason = 0, None, None
-    taken: list[bytes] = []
+    taken, read_to = [], 0
     while at < len(data):
-        found, inner, wrong = [], [], None
+        found, inner, wrong, end = [], [], None, at
         if data[at:at + 3] == b"\x1f\x8b\x08":
             content, end, wrong = _inflated(data, at)
             found, inner = _inner(content)
@@ -195,25 +207,30 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
             if isinstance(got, str):
                 wrong = got
             else:
-                end, found = got[0], [got[1:]]
+                end, found = got[0], [(*got[1:], data[at:got[0]])]
         if wrong is not None:
             if gap is None:
                 gap, reason = at, wrong
-            for fields, block in found:
-                taken.append(block)
+            if end > read_to:
+                read_to = end
+            for fields, block, octets in found:
+                taken.append(octets)
                 yield at, 0, fields, block, None
             following = _START.search(data, at + 1)
             at = following.start() if following else len(data)
             continue
-        if data[at:at + 1] == b"W" and gap is not None and found[0][1] in taken:
-            # a stored block of the damaged member, whose record has been returned
-            taken.remove(found[0][1])
-            at = end
-            continue
+        if data[at:at + 1] == b"W" and at < read_to:
+            twin = next((i for i, record in enumerate(taken) if _stored_as(found[0][2], record)), None)
+            if twin is not None:
+                del taken[twin]
+                at = end
+                continue
         if gap is not None:
             yield gap, at - gap, None, None, reason
-            gap, taken = None, []
-        for fields, block in found:
+            gap = None
+        if at >= read_to:
+            taken = []
+        for fields, block, _ in found:
             yield at, end - at, fields, block, None
         for start, length, what in inner:
             yield at, 0, None, None, f"{what}, {length} bytes at {start} in a gzip member"
