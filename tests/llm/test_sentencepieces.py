@@ -28,7 +28,9 @@ def found(docs, keep=False):
 
 
 @pytest.mark.parametrize("bounds", [(1 << 19, 32 << 20), (5, 1 << 20), (1 << 19, 40), (0, 0)])
-def test_equals_the_library(make_docs, monkeypatch, bounds):
+@pytest.mark.parametrize("part", [1, 200, 1 << 20])
+def test_equals_the_library(make_docs, monkeypatch, bounds, part):
+    monkeypatch.setattr(sentencepieces, "PART", part)
     monkeypatch.setattr(sentencepieces, "TABLE_CHUNKS", bounds[0])
     monkeypatch.setattr(sentencepieces, "TABLE_BYTES", bounds[1])
     rng = np.random.default_rng(1)
@@ -56,11 +58,31 @@ def test_empty_table(no_docs):
 
 def test_each_distinct_chunk_is_segmented_once(make_docs, monkeypatch):
     monkeypatch.setattr(sentencepieces, "TABLE_CHUNKS", 0)
-    docs = sentencepieces._keyed(make_docs({i: "a b c\nd e" for i in range(50)}))
+    monkeypatch.setattr(sentencepieces, "PART", 12)
+    docs = make_docs({i: "a b c\nd e" for i in range(50)}).repartition(3)
     table = sentencepieces._table(docs, MODEL)
     assert not table.value.number
-    fills = sentencepieces._fills(docs, table, MODEL).collect()
-    assert len(fills) == 50 and all(sorted(f["at"] for f in r["fills"]) == [0, 1, 2, 3, 4] for r in fills)
+    parts = sentencepieces.materialise(sentencepieces.outlines(docs, table), "parts")
+    n = parts.count()
+    cut = sentencepieces.rest_ids(parts, n, MODEL).collect()
+    lists = [sentencepieces._unpack_all(r["rest"]) for r in parts.collect()]
+    assert n >= 50 * 5 // 15 and all(sorted(x) == [b"\nd", b"a", b"b", b"c", b"e"] for x in lists)
+    by_part = {}
+    for r in sorted(cut, key=lambda r: r["start"]):
+        by_part.setdefault(r["part"], []).extend(sentencepieces._unpack_all(r["ids"]))
+    want = {c: library(c)[3][4:-4] for c in "abce"}
+    assert len(by_part) == n and all(by_part[r["part"]][x.index(c.encode())] == want[c] for r, x in zip(parts.collect(), lists, strict=True) for c in "abce")
+
+
+def test_outlines_are_joined_without_a_shuffle_of_them(spark, make_docs):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = sentencepieces.encode(make_docs({i: f"a b {i}" for i in range(50)}).repartition(8))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    outlines = plan[plan.index("SortMergeJoin"):plan.index("SelectedBucketsCount")]
+    assert "Exchange" not in outlines
 
 
 def test_chunks_join_to_the_text():

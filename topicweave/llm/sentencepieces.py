@@ -7,42 +7,51 @@ segmented once, by the library, and the ids are joined back by position. The sam
 
 1. *Counts*: every task counts the chunks of its texts and reports those that it saw often enough. The
    most frequent ones, bounded in number and in bytes (``TABLE_CHUNKS``, ``TABLE_BYTES``), are the table that each task holds.
-2. *The rest* are rows ``(key, at, chunk)``. They are partitioned by chunk, each distinct one is segmented once, and
-   their ids are collected by document. A frequent chunk is in the table, so no partition is hot.
-3. *Join*: a document is the compressed numbers of its chunks with holes, which the rows of the rest fill.
+2. *Outlines*: texts are taken in parts of about ``PART`` chunks. A part is written as the numbers of its chunks, and
+   as the list of its distinct chunks that are not in the table, in the order of their hashes.
+3. *The rest*: the lists are cut into ranges of hashes, so that a chunk of any part is in one range, and in each range each distinct
+   chunk is segmented once. No range is hot: a part names a chunk once, and frequent chunks are in the table.
+4. *Join*: the ids go back to the parts they came from. Outlines are stored in buckets by part, so only
+   ids are shuffled.
 
 Which chunks are in the table has no influence on the result.
 
 * A null or empty text has no chunks: begin and end alone, decoded as an empty text.
 * Long texts are split whole; a text without a space or line break is one chunk.
-* Rows with one id and text share their row of ids, and ties in counts are together in the table or out of it.
+* Repeated rows are encoded one by one; ties in counts are together in the table or out of it.
 * An empty table has no rows. Other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from dataclasses import dataclass
+from functools import cache, cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicweave.plans.tables import materialise
+from topicweave.plans.tables import materialise, new_path
 
 MARK = "▁"
 #: Bounds of the table of frequent chunks.
-TABLE_CHUNKS = 1 << 19
-TABLE_BYTES = 32 << 20
-#: Chunks that a task counts at once; it reports those with a share of 2^-21 of its chunks, and two at least.
+TABLE_CHUNKS = 1 << 18
+TABLE_BYTES = 16 << 20
+#: Distinct chunks that a task counts at once; it reports those with a share of 2^-20 of its chunks, and three at least.
 COUNTED = 1 << 21
-LEAST_REPORTED = 2
+LEAST_REPORTED = 3
+#: Chunks of a part, and parts whose lists meet in a range of hashes, as expected size.
+PART = 1 << 20
+PARTS = 4
 
 
 def model() -> str:
@@ -117,7 +126,7 @@ def frequent_chunks(docs: DataFrame) -> DataFrame:
         total, n = Counter(), 0
 
         def reported() -> pd.DataFrame:
-            least = max(LEAST_REPORTED, n >> 21)
+            least = max(LEAST_REPORTED, n >> 20)
             kept = [(chunk, k) for chunk, k in total.items() if k >= least]
             return pd.DataFrame(kept, columns=["chunk", "n"])
 
@@ -144,60 +153,140 @@ def frequent_chunks(docs: DataFrame) -> DataFrame:
     return counted.where(level >= least)
 
 
+@dataclass
 class _Table:
-    """The frequent chunks in a task: their numbers, ids and texts."""
+    """The frequent chunks by number, with their ids."""
 
-    def __init__(self, rows: pd.DataFrame):
-        self.number = {chunk: i for i, chunk in enumerate(rows["chunk"])}
-        self.ids = rows["ids"].tolist()
-        self.text = rows["shown"].tolist()
+    chunks: list[str]
+    ids: list[bytes]
+    path: str
+
+    @cached_property
+    def number(self) -> dict[str, int]:
+        return {chunk: i for i, chunk in enumerate(self.chunks)}
+
+    @cached_property
+    def texts(self) -> list[str]:
+        return shown(self.ids, self.path)
 
 
 def _table(docs: DataFrame, path: str) -> Broadcast:
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids = segment(batch["chunk"].tolist(), path)
-            yield batch.assign(ids=ids, shown=shown(ids, path))
+            yield batch.assign(ids=segment(batch["chunk"].tolist(), path))
 
-    found = frequent_chunks(docs).mapInPandas(look, "chunk string, n long, ids binary, shown string").toPandas()
-    return docs.sparkSession.sparkContext.broadcast(_Table(found.sort_values(["n", "chunk"], ascending=[False, True], ignore_index=True)))
+    found = frequent_chunks(docs).mapInPandas(look, "chunk string, n long, ids binary").toArrow()
+    found = found.sort_by([("n", "descending"), ("chunk", "ascending")])
+    return docs.sparkSession.sparkContext.broadcast(_Table(found["chunk"].to_pylist(), found["ids"].to_pylist(), path))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Two hashes of id and text stand for a row, so that its parts find each other in any scan."""
-    rest = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", rest).alias("key"), F.xxhash64(rest, F.lit(1), "doc_id").alias("check"))
+def _pack(values: np.ndarray) -> bytes:
+    """32-bit numbers with their bytes of one order of magnitude next to each other, which pack better."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values, dtype="<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
-def _fills(docs: DataFrame, table: Broadcast, path: str) -> DataFrame:
-    """``key``, ``check`` and ``fills``, the places and ids of the chunks that are not in the table."""
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+
+def _pack_all(values: list[bytes]) -> bytes:
+    """Byte strings one after the other, behind their sizes."""
+    sizes = _pack(np.array([len(v) for v in values]))
+    return len(sizes).to_bytes(8, "little") + sizes + zstandard.ZstdCompressor(level=1).compress(b"".join(values))
+
+
+def _unpack_all(packed: bytes) -> list[bytes]:
+    start = 8 + int.from_bytes(packed[:8], "little")
+    ends = np.cumsum(_unpack(packed[8:start]).astype(np.int64)).tolist()
+    joined = zstandard.ZstdDecompressor().decompress(packed[start:])
+    return [joined[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+
+def _place(chunk: bytes) -> int:
+    return xxhash.xxh32_intdigest(chunk)
+
+
+def outlines(docs: DataFrame, table: Broadcast) -> DataFrame:
+    """A row for each part: ``part``, ``doc_ids``, ``sizes``, ``numbers`` and ``rest``.
+
+    Numbers beyond the table's are places in the part's list ``rest``.
+    """
+
+    def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = table.value.number
+        known = len(number)
+        made = 0
+        doc_ids, of_docs, total = [], [], 0
+        rest: dict[str, int] = {}
+
+        def part() -> pa.RecordBatch:
+            nonlocal made, doc_ids, of_docs, total, rest
+            listed = [chunk.encode() for chunk in rest]
+            order = np.argsort(np.array([_place(chunk) for chunk in listed], dtype=np.uint32), kind="stable")
+            final = np.arange(known + len(listed), dtype=np.uint32)
+            final[known + order] = known + np.arange(len(listed), dtype=np.uint32)
+            numbers = np.concatenate([np.zeros(0, dtype=np.uint32), *of_docs])
+            made += 1
+            listed_ids = pa.concat_arrays(doc_ids)
+            row = [pa.array([TaskContext.get().partitionId() << 32 | made], pa.int64()), pa.ListArray.from_arrays([0, len(listed_ids)], listed_ids),
+                   pa.array([_pack(np.array([len(x) for x in of_docs]))], pa.binary()), pa.array([_pack(final[numbers])], pa.binary()),
+                   pa.array([_pack_all([listed[i] for i in order.tolist()])], pa.binary())]
+            doc_ids, of_docs, total, rest = [], [], 0, {}
+            return pa.RecordBatch.from_arrays(row, names=["part", "doc_ids", "sizes", "numbers", "rest"])
 
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = table.value.number
-        for batch in batches:
-            keys, checks, places, found = [], [], [], []
-            for key, check, text in zip(*(batch.column(c).to_pylist() for c in ("key", "check", "text")), strict=True):
-                own = [(i, chunk) for i, chunk in enumerate(chunks(text)) if chunk not in known]
-                keys += [key] * len(own)
-                checks += [check] * len(own)
-                places += [i for i, _ in own]
-                found += [chunk for _, chunk in own]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(checks, pa.int64()), pa.array(places, pa.int32()),
-                                              pa.array(found, pa.string())], names=["key", "check", "at", "chunk"])
-
-    def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids: dict[str, bytes] = {}
         for batch in batches:
-            found = batch["chunk"].tolist()
-            new = [chunk for chunk in dict.fromkeys(found) if chunk not in ids]
-            ids |= dict(zip(new, segment(new, path), strict=True))
-            yield batch[["key", "check", "at"]].assign(ids=[ids[chunk] for chunk in found])
-            # in order of chunks, only the last one can go on in the next batch
-            ids = {found[-1]: ids[found[-1]]} if found else ids
+            ids, first = batch.column("doc_id"), 0
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                own = chunks(text)
+                found = [number.get(chunk) for chunk in own]
+                if None in found:
+                    found = [known + rest.setdefault(chunk, len(rest)) if n is None else n for n, chunk in zip(found, own, strict=True)]
+                of_docs.append(np.array(found, dtype=np.uint32))
+                total += len(found)
+                if total >= PART:
+                    doc_ids.append(ids.slice(first, i + 1 - first))
+                    first = i + 1
+                    yield part()
+            doc_ids.append(ids.slice(first))
+        if of_docs:
+            yield part()
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(outline, f"part long, doc_ids array<{kind}>, sizes binary, numbers binary, rest binary")
 
-    rows = docs.select("key", "check", "text").mapInArrow(rest, "key long, check long, at int, chunk string")
-    rows = rows.repartition("chunk").sortWithinPartitions("chunk").mapInPandas(once, "key long, check long, at int, ids binary")
-    return rows.groupBy("key", "check").agg(F.collect_set(F.struct("at", "ids")).alias("fills"))
+
+def rest_ids(parts: DataFrame, n_parts: int, path: str) -> DataFrame:
+    """``part``, ``start`` and ``ids``: ids of the chunks of a part's list from place ``start`` on, packed."""
+    ranges = -(-n_parts // PARTS)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part, packed in zip(batch["part"], batch["rest"], strict=True):
+                listed = _unpack_all(packed)
+                if listed:
+                    of = np.array([_place(chunk) for chunk in listed], dtype=np.uint64) * np.uint64(ranges) >> np.uint64(32)
+                    starts = np.flatnonzero(np.diff(of.astype(np.int64), prepend=-1)).tolist()
+                    yield pd.DataFrame([(int(of[i]), part, i, _pack_all(listed[i:j])) for i, j in zip(starts, [*starts[1:], len(listed)], strict=True)],
+                                       columns=["range", "part", "start", "rest"])
+
+    def once(rows: pd.DataFrame) -> pd.DataFrame:
+        lists = [[chunk.decode() for chunk in _unpack_all(packed)] for packed in rows["rest"]]
+        distinct = list(dict.fromkeys(chunk for listed in lists for chunk in listed))
+        ids = dict(zip(distinct, segment(distinct, path), strict=True))
+        return pd.DataFrame({"part": rows["part"], "start": rows["start"], "ids": [_pack_all([ids[chunk] for chunk in listed]) for listed in lists]})
+
+    cuts = parts.select("part", "rest").mapInPandas(cut, "range int, part long, start int, rest binary")
+    return cuts.groupBy("range").applyInPandas(once, "part long, start int, ids binary")
+
+
+def _in_buckets(parts: DataFrame, spark: SparkSession) -> DataFrame:
+    """The table, written in buckets by part: later joins on it need no shuffle of it."""
+    name = f"outlines_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts.write.bucketBy(buckets, "part").option("path", new_path(spark, name)).option("compression", "none").saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return found
 
 
 def encode(docs: DataFrame, path: str | None = None, keep: bool = False) -> DataFrame:
@@ -208,47 +297,34 @@ def encode(docs: DataFrame, path: str | None = None, keep: bool = False) -> Data
     path = path or model()
     sp = processor(path)
     first, last = (np.array([i], dtype="<u4").tobytes() for i in (sp.bos_id(), sp.eos_id()))
-    docs = _keyed(docs)
-    table = _table(docs, path)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * keep]
-
-    def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = table.value.number
-        hole = len(number)
-        pack = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            packed = []
-            for text in batch.column("text").to_pylist():
-                numbers = np.array([number.get(chunk, hole) for chunk in chunks(text)], dtype="<u4")
-                # bytes of one order of magnitude next to each other pack better
-                packed.append(pack.compress(numbers.view(np.uint8).reshape(-1, 4).T.tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), batch.column("check"), pa.array(packed, pa.binary())],
-                                             names=["doc_id", "key", "check", "numbers"])
+    table = _table(docs, path)
+    parts = _in_buckets(outlines(docs, table), docs.sparkSession)
+    ids = rest_ids(parts, parts.count(), path).groupBy("part").agg(F.sort_array(F.collect_list(F.struct("start", "ids")))["ids"].alias("ids"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_ids, known_text = [*table.value.ids, None], [*table.value.text, None]
-        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            sizes, digests, of_texts, kept, decodings = [], [], [], [], []
-            for packed, at, fills in zip(*(batch.column(c).to_pylist() for c in ("numbers", "at", "ids")), strict=True):
-                raw = unpack.decompress(packed)
-                numbers = np.frombuffer(raw, dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().tolist()
-                parts, texts = [known_ids[n] for n in numbers], [known_text[n] for n in numbers]
-                for i, ids, text in zip(at or [], fills or [], shown(fills or [], path), strict=True):
-                    parts[i], texts[i] = ids, text
-                ids, decoded = b"".join([first, *parts, last]), "".join(texts)[1:]
-                sizes.append(len(ids) // 4)
-                digests.append(hashlib.sha256(ids).hexdigest())
-                of_texts.append(hashlib.sha256(decoded.encode()).hexdigest())
-                if keep:
-                    kept.append(ids)
-                    decodings.append(decoded)
-            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(of_texts, pa.string()),
-                       *[pa.array(kept, pa.binary()), pa.array(decodings, pa.string())] * keep]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            for row in range(batch.num_rows):
+                sizes, numbers, packed = (batch.column(c)[row].as_py() for c in ("sizes", "numbers", "ids"))
+                rest = [own for some in packed or [] for own in _unpack_all(some)]
+                known_ids, known_text = table.value.ids + rest, table.value.texts + shown(rest, path)
+                numbers = _unpack(numbers).tolist()
+                ends = np.cumsum(_unpack(sizes).astype(np.int64)).tolist()
+                n_tokens, digests, of_texts, kept, decodings = [], [], [], [], []
+                for i, j in zip([0, *ends], ends, strict=False):
+                    own = numbers[i:j]
+                    octets = b"".join([first, *[known_ids[n] for n in own], last])
+                    decoded = "".join([known_text[n] for n in own])[1:]
+                    n_tokens.append(len(octets) // 4)
+                    digests.append(hashlib.sha256(octets).hexdigest())
+                    of_texts.append(hashlib.sha256(decoded.encode()).hexdigest())
+                    if keep:
+                        kept.append(octets)
+                        decodings.append(decoded)
+                columns = [batch.column("doc_ids")[row].values, pa.array(n_tokens, pa.int64()), pa.array(digests, pa.string()),
+                           pa.array(of_texts, pa.string()), *[pa.array(kept, pa.binary()), pa.array(decodings, pa.string())] * keep]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    outlines = docs.mapInArrow(outline, f"doc_id {kind}, key long, check long, numbers binary")
-    fills = _fills(docs, table, path).select("key", "check", F.col("fills.at").alias("at"), F.col("fills.ids").alias("ids"))
-    joined = outlines.join(fills, ["key", "check"], "left").select("doc_id", "numbers", "at", "ids")
+    joined = parts.select("part", "doc_ids", "sizes", "numbers").join(ids, "part", "left").select("doc_ids", "sizes", "numbers", "ids")
     return joined.mapInArrow(join, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * keep)
