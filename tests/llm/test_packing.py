@@ -88,6 +88,66 @@ def test_many_shards(spark, monkeypatch, lengths):
     assert packed_well(rows, 1024) <= least + 1
 
 
+def fewest(lengths, capacity):
+    """Sequences of an exact packing of few pieces: the fewest for each set of them, with the least fill of the last one."""
+    n = len(lengths)
+    best = {0: (1, 0)}
+    for chosen in range(1 << n):
+        sequences, fill = best[chosen]
+        for i in range(n):
+            if not chosen >> i & 1:
+                new = (sequences, fill + lengths[i]) if fill + lengths[i] <= capacity else (sequences + 1, lengths[i])
+                best[chosen | 1 << i] = min(best.get(chosen | 1 << i, new), new)
+    return best[(1 << n) - 1][0]
+
+
+def test_genetic_packing_equals_an_exact_one(spark, monkeypatch):
+    rng = random.Random(8)
+    sets = [[rng.choice([rng.randrange(150, 420), rng.randrange(300, 700)]) for _ in range(rng.randrange(4, 12))] for _ in range(30)]
+    sets.append([370, 370, 300, 300, 300, 300, 84])
+    better = exact = 0
+    for lengths in sets:
+        sizes = np.array(lengths)
+        plain = int(pack_genetic.founder(sizes, 1024, np.random.default_rng(0), 0.0).max()) + 1
+        people = [pack_genetic.founder(sizes, 1024, np.random.default_rng(i), 0.1 * i) for i in range(4)]
+        for epoch in range(20):
+            people = pack_genetic.evolve(sizes, people, 1024, np.random.default_rng(epoch))
+        evolved = int(people[0].max()) + 1
+        assert fewest(lengths, 1024) <= evolved <= plain
+        exact += evolved == fewest(lengths, 1024)
+        better += evolved < plain
+    assert exact >= len(sets) - 1 and better
+    rows = pack_genetic.pack(spark.createDataFrame([(i, n) for i, n in enumerate(sets[0])], "id long, length long"), 1024).collect()
+    assert packed_well(rows, 1024) == fewest(sets[0], 1024)
+
+
+@pytest.mark.parametrize("low, high", [(340, 520), (300, 400)])
+def test_genetic_packing_is_not_worse_than_best_fit(spark, monkeypatch, low, high):
+    monkeypatch.setattr(pack_genetic, "SHARD", 1000)
+    lengths = np.random.default_rng(3).integers(low, high, 4000)
+    rows = pack_genetic.pack(spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "id long, length long"), 1024).collect()
+    plain = int(pack_genetic.founder(lengths, 1024, np.random.default_rng(0), 0.0).max()) + 1
+    assert packed_well(rows, 1024) <= plain
+
+
+def test_pieces_keep_their_places_when_the_table_is_scanned_in_other_splits(spark, monkeypatch):
+    monkeypatch.setattr(pack_genetic, "SHARD", 500)
+    lengths = [(i, 1 + i * 37 % 1024) for i in range(3000)]
+    packed = pack_genetic.pack(spark.createDataFrame(lengths, "id long, length long").repartition(12), 1024)
+    conf = {"spark.sql.files.openCostInBytes": "1", "spark.sql.files.maxPartitionBytes": "100000000", "spark.sql.leafNodeDefaultParallelism": "1"}
+    before = {name: spark.conf.get(name, None) for name in conf}
+    first = sorted(tuple(r) for r in packed.collect())
+    try:
+        for name, value in conf.items():
+            spark.conf.set(name, value)
+        again = packed.selectExpr("*").collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    assert sorted(tuple(r) for r in again) == first and {(r["id"], r["length"]) for r in again} == set(lengths)
+    packed_well(again, 1024)
+
+
 def test_crossover_keeps_every_piece():
     rng = np.random.default_rng(1)
     for _ in range(30):

@@ -4,10 +4,10 @@ Pieces as long as a sequence are sequences of their own. The others are dealt at
 random to shards of bounded size, and each shard is packed on some islands. An island
 has a population of packings. A child takes whole well-filled sequences of one parent,
 loses the sequences of the other parent that hold the same pieces, and gets their
-remaining pieces back by best fit, longest first. After each epoch the best packing of
-an island migrates to the next island of its shard. What the best packing of a shard
-leaves in poorly filled sequences is packed once more together with the leftovers of
-other shards, group by group.
+remaining pieces back by best fit, longest first or nearly so. After each epoch the best packing of
+an island migrates to the next island of its shard. The best packing has the fewest sequences, and of such the most uneven
+ones. What it leaves in poorly filled sequences is dealt to shards once more, together with what other shards left, and
+evolves there in the same way, for as long as that takes fewer sequences than before.
 
 * Repeated rows and ties are packed one by one like other pieces.
 * An empty table gives an empty packing. Columns besides ``length`` are carried along.
@@ -27,15 +27,19 @@ from topicweave.plans.tables import materialise
 
 #: Pieces of a shard; bounds the memory of a task.
 SHARD = 8192
-ISLANDS = 2
-EPOCHS = 2
+ISLANDS = 4
+EPOCHS = 3
 POPULATION = 4
-#: Children that an island makes in an epoch.
-CHILDREN = 6
+#: Children that an island makes in an epoch, unless no packing can be better.
+CHILDREN = 8
+#: How much the order of lengths is disturbed in every other child.
+DISTURBED = 0.1
+#: A shard of leftovers is this many times larger.
+TOGETHER = 8
+#: More than the sequences of any shard.
+SEQUENCES = 1 << 32
 #: Share of a sequence's tokens from which it is well filled.
-WELL_FILLED = 0.995
-#: Shards whose leftovers are packed together.
-TOGETHER = 64
+WELL_FILLED = 0.999
 
 
 def best_fit(lengths: np.ndarray, order: np.ndarray, capacity: int, owner: np.ndarray, fill: list[int]) -> None:
@@ -109,22 +113,25 @@ def crossover(lengths: np.ndarray, mother: np.ndarray, father: np.ndarray, capac
     child[kept] = _compact(child[kept])
     fill = np.bincount(child[kept], weights=lengths[kept]).astype(int).tolist() if kept.any() else []
     order = np.flatnonzero(displaced)
-    best_fit(lengths, order[np.argsort(-lengths[order], kind="stable")], capacity, child, fill)
+    spread = DISTURBED * rng.integers(2)
+    best_fit(lengths, order[np.argsort(-lengths[order] * (1 + spread * rng.standard_normal(len(order))), kind="stable")], capacity, child, fill)
     return child.astype(np.int32)
 
 
 def evolve(lengths: np.ndarray, population: list[np.ndarray], capacity: int, rng: np.random.Generator) -> list[np.ndarray]:
-    """Make children of chosen parents; the fittest stay, best first."""
-    ranked = sorted(((fitness(lengths, p, capacity), i, p) for i, p in enumerate(population)), key=lambda x: (-x[0], x[1]))
+    """Make children of chosen parents; those of the fewest sequences and the highest fitness stay, best first."""
+    def ranked_as(number: int, packing: np.ndarray) -> tuple[int, float, int, np.ndarray]:
+        return int(packing.max()) + 1, -fitness(lengths, packing, capacity), number, packing
+
+    ranked = sorted((ranked_as(i, p) for i, p in enumerate(population)), key=lambda x: x[:3])
     least = -(-int(lengths.sum()) // capacity)
     for n in range(CHILDREN):
-        if int(ranked[0][2].max()) + 1 <= least:
+        if ranked[0][0] <= least:
             break
         first, second = rng.choice(len(ranked), 2, replace=len(ranked) < 2)
-        child = crossover(lengths, ranked[min(first, second)][2], ranked[max(first, second)][2], capacity, rng)
-        ranked.append((fitness(lengths, child, capacity), len(population) + n, child))
-        ranked = sorted(ranked, key=lambda x: (-x[0], x[1]))[:POPULATION]
-    return [p for _, _, p in ranked]
+        child = crossover(lengths, ranked[min(first, second)][3], ranked[max(first, second)][3], capacity, rng)
+        ranked = sorted([*ranked, ranked_as(len(population) + n, child)], key=lambda x: x[:3])[:POPULATION]
+    return [p for *_, p in ranked]
 
 
 def _sorted(items: pd.DataFrame) -> pd.DataFrame:
@@ -156,8 +163,8 @@ def _settled(items: DataFrame, capacity: int) -> DataFrame:
                         people.append(np.frombuffer(row.migrant, dtype="<i4"))
                     people = evolve(lengths, people, capacity, np.random.default_rng([row.shard, row.island, number]))
                     lived.append((row.shard, row.island, row.lengths, [p.tobytes() for p in people], people[0].tobytes(),
-                                  fitness(lengths, people[0], capacity)))
-                yield pd.DataFrame(lived, columns=["shard", "island", "lengths", "population", "elite", "fitness"])
+                                  int(people[0].max()) + 1, fitness(lengths, people[0], capacity)))
+                yield pd.DataFrame(lived, columns=["shard", "island", "lengths", "population", "elite", "sequences", "fitness"])
         return live
 
     state = "shard long, island int, lengths binary, population array<binary>"
@@ -166,29 +173,28 @@ def _settled(items: DataFrame, capacity: int) -> DataFrame:
         if number:
             migrants = islands.select("shard", ((F.col("island") + 1) % ISLANDS).alias("island"),
                                       F.col("elite").alias("migrant"))
-            islands = islands.drop("elite", "fitness").join(migrants, ["shard", "island"], "left")
-        islands = materialise(islands.mapInPandas(epoch(number), f"{state}, elite binary, fitness double"), "islands")
+            islands = islands.drop("elite", "sequences", "fitness").join(migrants, ["shard", "island"], "left")
+        islands = materialise(islands.mapInPandas(epoch(number), f"{state}, elite binary, sequences int, fitness double"), "islands")
     return islands.groupBy("shard").agg(
-        F.max_by("elite", F.struct("fitness", -F.col("island"))).alias("elite"))
+        F.max_by("elite", F.struct(-F.col("sequences"), "fitness", -F.col("island"))).alias("elite"))
 
 
 def _placed(items: DataFrame, elites: DataFrame, capacity: int) -> DataFrame:
-    """Sequence and place in it of each piece; null where the sequence is poorly filled."""
+    """Sequence and place in it of each piece, and whether the sequence is ``poor``, that is not well filled."""
 
     def place(key: tuple, items: pd.DataFrame, elite: pd.DataFrame) -> pd.DataFrame:
         items = _sorted(items)
+        names = ["item", "length", "sequence_id", "offset", "poor"]
         if not len(items):
-            return pd.DataFrame({"item": [], "length": [], "sequence_id": [], "offset": []})
+            return pd.DataFrame({name: [] for name in names})
         owner = np.frombuffer(elite["elite"].iloc[0], dtype="<i4")
         lengths = items["length"].to_numpy(dtype=np.int64)
-        placed = pd.DataFrame({"item": items["item"], "length": lengths, "sequence_id": int(key[0]) * SHARD + owner.astype(np.int64),
-                               "offset": _offsets(owner, lengths)})
         poor = np.bincount(owner, weights=lengths)[owner] < WELL_FILLED * capacity
-        return placed.astype({"sequence_id": "Int64", "offset": "Int64"}).mask(
-            pd.DataFrame({c: poor if c in ("sequence_id", "offset") else False for c in placed}))
+        return pd.DataFrame(dict(zip(names, (items["item"], lengths, int(key[0]) * SEQUENCES + owner.astype(np.int64),
+                                             _offsets(owner, lengths), poor), strict=True)))
 
     return (items.select("shard", "item", "length").groupBy("shard").cogroup(elites.groupBy("shard"))
-            .applyInPandas(place, "item long, length long, sequence_id long, offset long"))
+            .applyInPandas(place, "item long, length long, sequence_id long, offset long, poor boolean"))
 
 
 def _offsets(owner: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -201,33 +207,36 @@ def _offsets(owner: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return offsets
 
 
-def _leftovers(left: DataFrame, groups: int, capacity: int) -> DataFrame:
-    """Pack the pieces of poorly filled sequences of many shards together."""
-
-    def again(items: pd.DataFrame) -> pd.DataFrame:
-        items = _sorted(items)
-        lengths = items["length"].to_numpy(dtype=np.int64)
-        owner = founder(lengths, capacity, np.random.default_rng(0), 0.0)
-        base = -(1 << 62) + (int(items["together"].iloc[0]) << 32)
-        return pd.DataFrame({"item": items["item"], "sequence_id": base + owner.astype(np.int64), "offset": _offsets(owner, lengths)})
-
-    dealt = left.select("item", "length", F.pmod(F.xxhash64("item"), F.lit(groups)).alias("together"))
-    return dealt.groupBy("together").applyInPandas(again, "item long, sequence_id long, offset long")
+def _evolved(items: DataFrame, capacity: int, first_shard: int, shards: int, name: str) -> DataFrame:
+    """Deal the pieces to shards, numbered from ``first_shard`` on, and place them as the best packing of each does."""
+    dealt = F.pmod(F.xxhash64("item", F.lit(first_shard)), F.lit(shards)) + first_shard
+    items = materialise(items.select("item", "length", dealt.alias("shard")), "items")
+    return materialise(_placed(items, materialise(_settled(items, capacity), "elites"), capacity), name)
 
 
 def pack(table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pack the rows of ``table``, which have a ``length`` from 1 to ``capacity``.
 
-    Adds ``sequence_id`` and ``offset``. Lengths are packed whole.
+    Adds ``sequence_id`` and ``offset``. Lengths are packed whole. Rows are numbered where they are written: numbers given in a
+    scan would follow its splits, which another scan may cut differently.
     """
-    table = materialise(table, "pieces")
-    numbered = table.withColumn("item", F.monotonically_increasing_id())
+    numbered = materialise(table.withColumn("item", F.monotonically_increasing_id()), "pieces")
     part = numbered.where(F.col("length") < capacity).select("item", "length")
     shards = max(1, -(-part.count() // SHARD))
-    items = materialise(part.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(shards))), "items")
-    placed = materialise(_placed(items, materialise(_settled(items, capacity), "elites"), capacity), "placed")
-    left = _leftovers(placed.where("sequence_id IS NULL"), -(-shards // TOGETHER), capacity)
-    found = materialise(placed.where("sequence_id IS NOT NULL").select("item", "sequence_id", "offset").union(left), "packed")
+    placed = _evolved(part, capacity, 0, shards, "placed")
+    first = shards
+    while True:
+        poor = placed.where("poor")
+        left, before = poor.agg(F.count("*"), F.count_distinct("sequence_id")).first()
+        shards = -(-left // (TOGETHER * SHARD))
+        again = _evolved(poor, capacity, first, max(1, shards), "placed_again")
+        if again.select("sequence_id").distinct().count() >= before:
+            break
+        placed = materialise(placed.where("NOT poor").unionByName(again), "placed")
+        if shards <= 1:
+            break
+        first += shards
+    found = materialise(placed.select("item", "sequence_id", "offset"), "packed")
     whole = numbered.where(F.col("length") >= capacity)
     return (numbered.where(F.col("length") < capacity).join(found, "item")
             .unionByName(whole.withColumn("sequence_id", -1 - F.col("item")).withColumn("offset", F.lit(0).cast("long")))
