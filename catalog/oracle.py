@@ -409,6 +409,22 @@ def oracles(s: Settings = Settings()) -> dict[str, str]:
               AND ((x.i = 0 AND x.b > p.b) OR (x.i = 1 AND x.a > p.a))
             GROUP BY ALL""", "fe", "de"),
         "patterns": build(patterns_sql.format(p=""), "pat"),
+        # By shape: two edges with a common end, and three of which two pairs have one, counted document by document.
+        "connected_patterns": build("""
+            SELECT topic, a || '>' || b AS edges, 1::BIGINT AS n_edges, support FROM fe WHERE n_graphs > 1
+            UNION ALL
+            SELECT topic, x.a || '>' || x.b || ' ' || y.a || '>' || y.b, 2, count(*)
+            FROM de x JOIN de y USING (topic, doc_id) JOIN counts USING (topic)
+            WHERE n_graphs > 1 AND (x.a, x.b) < (y.a, y.b) AND x.a <> x.b AND y.a <> y.b
+              AND (x.a = y.a OR x.b = y.b OR x.a = y.b OR x.b = y.a)
+            GROUP BY topic, x.a, x.b, y.a, y.b, min_sup HAVING count(*) >= min_sup
+            UNION ALL
+            SELECT topic, x.a || '>' || x.b || ' ' || y.a || '>' || y.b || ' ' || z.a || '>' || z.b, 3, count(*)
+            FROM de x JOIN de y USING (topic, doc_id) JOIN de z USING (topic, doc_id) JOIN counts USING (topic)
+            WHERE n_graphs > 1 AND (x.a, x.b) < (y.a, y.b) AND (y.a, y.b) < (z.a, z.b) AND x.a <> x.b AND y.a <> y.b AND z.a <> z.b
+              AND (x.a IN (y.a, y.b) OR x.b IN (y.a, y.b))::INTEGER + (x.a IN (z.a, z.b) OR x.b IN (z.a, z.b))::INTEGER
+                  + (y.a IN (z.a, z.b) OR y.b IN (z.a, z.b))::INTEGER >= 2
+            GROUP BY topic, x.a, x.b, y.a, y.b, z.a, z.b, min_sup HAVING count(*) >= min_sup""", "fe", "de", "counts"),
         "pattern_docs": build("SELECT topic, pattern_id, unnest(docs) AS doc_id FROM pat", "pat"),
         "pattern_edges": build("SELECT topic, pattern_id, src, dst FROM pe", "pe"),
         "pattern_vertices": build("SELECT topic, pattern_id, v FROM pv", "pv"),

@@ -406,9 +406,11 @@ def seed_extensions(w: Workspace) -> DataFrame:
     seeds = materialise(mining.seed_patterns(frequent, w.counts), "seeds")
     extensions = materialise(mining.pattern_extensions(seeds, frequent), "extensions")
     edge = lambda: F.get("code", 0)
-    docs = relabelled.join(seeds.select("topic", edge()["a"].alias("a"), edge()["b"].alias("b"), "pid"),
-                           ["topic", "a", "b"]).select("topic", "pid", "doc_id")
-    support = mining.extension_support(mining.extension_documents(docs, extensions, relabelled))
+    useful = relabelled.join(frequent.select("topic", "a", "b"), ["topic", "a", "b"], "left_semi")
+    edge_bits = materialise(mining.edge_bitmaps(useful, mining.document_numbers(useful)), "edge_bitmaps")
+    held = edge_bits.join(seeds.select("topic", edge()["a"].alias("a"), edge()["b"].alias("b"), "pid"),
+                          ["topic", "a", "b"]).select("topic", "pid", "bucket", "words")
+    support = mining.extension_support(mining.extension_bitmaps(held, extensions, edge_bits))
     named = seeds.select("topic", F.col("pid").alias("parent"), mining.pattern_id(F.col("code")).alias("pattern_id"))
     return longs(support.join(named, ["topic", "parent"]).drop("parent"), "i", "j", "a", "b", "support")
 
@@ -419,6 +421,14 @@ def patterns(w: Workspace) -> DataFrame:
     return _patterns(w.mined)
 
 
+@query
+def connected_patterns(w: Workspace) -> DataFrame:
+    """All frequent subgraphs of up to three edges, whichever way the edges point, as their edges."""
+    w_edges = F.array_join(F.transform("code", lambda c: F.format_string("%d>%d", c["a"], c["b"])), " ")
+    found = mining.mine_frequent_subgraphs(w.corpus, w.settings.min_support, w.settings.connected_edges, mode="connected")
+    return longs(found.patterns.select("topic", w_edges.alias("edges"), "n_edges", "support"), "n_edges", "support")
+
+
 @query
 def pattern_docs(w: Workspace) -> DataFrame:
     return w.mined.pattern_docs

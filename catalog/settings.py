@@ -18,6 +18,7 @@ STOPWORDS = (
 class Settings:
     min_support: float = 0.1
     min_distance: float = 0.5
+    connected_edges: int = 3
     word_budget: int = 100
     stopwords: tuple[str, ...] = tuple(STOPWORDS)
     one_topic: str = "de"

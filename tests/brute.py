@@ -73,6 +73,30 @@ def frequent_patterns(texts, support, max_edges):
     return found
 
 
+def connected_patterns(texts, support, max_edges):
+    """The same for all weakly connected sets of edges; a loop is one by itself only."""
+    graphs = [document_graph(t.split()) for t in texts]
+    if len(graphs) == 1:
+        return {}
+    needed = math.ceil(float(len(graphs)) * support)
+
+    def count(edges):
+        return sum(1 for _, own in graphs if edges <= own)
+
+    usable = sorted(e for e in {e for _, edges in graphs for e in edges} if count({e}) >= needed)
+    found = {}
+    for k in range(1, max_edges + 1):
+        for edges in map(frozenset, combinations(usable, k)):
+            if k > 1 and any(a == b for a, b in edges):
+                continue
+            part = set(next(iter(edges)))
+            while leaving := [e for e in edges if (e[0] in part) != (e[1] in part)]:
+                part |= set(leaving[0])
+            if part == {v for e in edges for v in e} and count(edges) >= needed:
+                found[edges] = count(edges)
+    return found
+
+
 def graph_of(edges):
     """Pattern edges as vertex and edge sets; a self-loop leaves its vertex."""
     return {v for e in edges for v in e}, {e for e in edges if e[0] != e[1]}

@@ -8,6 +8,7 @@ import brute
 from test_mining import random_topics
 from topicweave.operators import compare, mining
 from topicweave.operators.mining import mine_frequent_subgraphs
+from topicweave.plans import tables
 
 
 @pytest.fixture
@@ -92,13 +93,66 @@ def test_mined_patterns(make_corpus):
             [1.0] + [brute.graph_distance(plain[key], g) for other, g in plain.items() if other[0] != key[0]])
 
 
-def test_stars_that_share_nothing_are_not_grown(spark):
-    rows = [(topic, "p", "hub" + topic, f"{topic}{i}") for topic in "ab" for i in range(13)]
+def star(spark, leaves):
+    """``{(topic, pattern): leaves}`` as stars around one hub."""
+    rows = [(*key, "hub", leaf) for key, names in leaves.items() for leaf in names]
     edges = spark.createDataFrame(rows, "topic string, pattern_id string, src string, dst string")
     ends = edges.select("topic", "pattern_id", "src").union(edges.select("topic", "pattern_id", "dst"))
-    vertices = ends.distinct().toDF("topic", "pattern_id", "v")
-    assert compare.connected_parts(vertices, edges).isEmpty()
+    return ends.distinct().toDF("topic", "pattern_id", "v"), edges
+
+
+def rows_written(monkeypatch):
+    """Rows of every table that is written from here on, by name."""
+    seen = []
+    plain = tables.materialise
+
+    def counting(df, name):
+        table = plain(df, name)
+        seen.append((name, table.count()))
+        return table
+
+    for module in (compare, tables):
+        monkeypatch.setattr(module, "materialise", counting)
+    return seen
+
+
+@pytest.mark.parametrize("k", [6, 13, 40])
+def test_rows_of_equal_stars_grow_with_their_edges(spark, monkeypatch, k):
+    vertices, edges = star(spark, {(topic, "p"): [f"leaf{i}" for i in range(k)] for topic in "ab"})
+    seen = rows_written(monkeypatch)
+    found = compare.nearest_foreign_pattern(vertices, edges).collect()
+    assert [(r["distance"], r["near_pattern_id"]) for r in found] == [(0.0, "p")] * 2
+    assert max(n for _, n in seen) <= 4 * k + 4
+
+
+def test_patterns_that_share_nothing_are_in_no_pair(spark, monkeypatch):
+    vertices, edges = star(spark, {(topic, "p"): [f"{topic}{i}" for i in range(13)] for topic in "ab"})
+    edges, vertices = edges.withColumn("src", edges["topic"]), vertices.where("v <> 'hub'")
+    seen = rows_written(monkeypatch)
     assert {r["distance"] for r in compare.nearest_foreign_pattern(vertices, edges).collect()} == {1.0}
+    assert not any(n for name, n in seen if name in ("pairs", "open_patterns", "patterns"))
+
+
+def test_patterns_with_an_equal_one_are_paired_with_near_ones_only(spark, monkeypatch):
+    """All parts of two equal stars as patterns: the first tier settles all but the smallest, and pairs are of near sizes."""
+    from itertools import combinations
+    k = 6
+    parts = {(topic, "".join(map(str, c))): [f"leaf{i}" for i in c] for topic in "ab" for n in range(1, k + 1) for c in combinations(range(k), n)}
+    vertices, edges = star(spark, parts)
+    seen = rows_written(monkeypatch)
+    found = compare.nearest_foreign_pattern(vertices, edges).collect()
+    assert all(r["distance"] == 0.0 and r["near_pattern_id"] == r["pattern_id"] for r in found) and len(found) == len(parts)
+    assert [name for name, _ in seen].count("pairs") == 1
+
+
+def test_largest_part_of_an_array(spark):
+    rng = random.Random(6)
+    cases = [[rng.choice("abcdefgh") + rng.choice("abcdefgh") for _ in range(rng.randint(0, 8))] for _ in range(60)]
+    rows = [(i, [(e[0], e[1]) for e in sorted(set(case)) if e[0] != e[1]]) for i, case in enumerate(cases)]
+    table = spark.createDataFrame(rows, "i int, edges array<struct<src:string,dst:string>>")
+    for r in table.select("i", compare.largest_part("edges").alias("n")).collect():
+        graph = brute.graph_of(rows[r["i"]][1])
+        assert r["n"] == brute.common_size(graph, graph)
 
 
 def test_common_size_of_all_pairs_with_a_common_edge(spark, as_tables):

@@ -9,6 +9,7 @@ import brute
 from topicweave.operators import mining
 from topicweave.operators.graphs import document_edges, document_vertices
 from topicweave.operators.mining import mine_frequent_subgraphs
+from topicweave.plans import tables
 
 
 def mined(result):
@@ -105,3 +106,72 @@ def test_self_loop_pattern_is_a_single_vertex(make_corpus):
     for r in mining.pattern_vertices(result.patterns, result.vertices).collect():
         vertices.setdefault(r["pattern_id"], set()).add(r["v"])
     assert sorted(map(sorted, vertices.values())) == [["a"], ["a", "b"]]
+
+
+CONNECTED = {
+    "in-star": (["b a", "c a"], {pairs("ba"): 2, pairs("ca"): 2, pairs("ba", "ca"): 2}),
+    "chain of F5": (["b a c"], {pairs("ba"): 2, pairs("ac"): 2, pairs("ba", "ac"): 2}),
+    "two-cycle": (["a b a"], {pairs("ab"): 2, pairs("ba"): 2, pairs("ab", "ba"): 2}),
+    "self-loop": (["b a a"], {pairs("ba"): 2, pairs("aa"): 2}),
+}
+
+
+def test_connected_golden(make_corpus, spark):
+    for name, (texts, expected) in CONNECTED.items():
+        rows = [("t", i) for i in range(2)]
+        edges = {e for text in texts for e in brute.document_graph(text.split())[1]}
+        corpus = spark.createDataFrame(rows, "topic string, doc_id long")
+        table = spark.createDataFrame([("t", i, *e) for i in range(2) for e in edges], "topic string, doc_id long, src string, dst string")
+        ends = table.selectExpr("topic", "doc_id", "explode(array(src, dst)) v").distinct()
+        found = mined(mine_frequent_subgraphs(corpus, 1.0, 4, table, ends, mode="connected"))
+        assert found["t"] == expected, name
+
+
+def test_connected_diamond(make_corpus, spark):
+    diamond = [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d")]
+    corpus = spark.createDataFrame([("t", 0), ("t", 1)], "topic string, doc_id long")
+    table = spark.createDataFrame([("t", i, *e) for i in range(2) for e in diamond], "topic string, doc_id long, src string, dst string")
+    ends = table.selectExpr("topic", "doc_id", "explode(array(src, dst)) v").distinct()
+    found = mined(mine_frequent_subgraphs(corpus, 1.0, 4, table, ends, mode="connected"))["t"]
+    assert found[frozenset(diamond)] == 2 and len(found) == 4 + 4 + 4 + 1
+    with pytest.raises(ValueError):
+        mine_frequent_subgraphs(corpus, 1.0, mode="connected")
+    with pytest.raises(ValueError):
+        mine_frequent_subgraphs(corpus, 1.0, 2, mode="other")
+
+
+@pytest.mark.parametrize("support", [0.3, 0.6])
+def test_connected_patterns_match_brute_force_and_hold_the_rooted_ones(make_corpus, support):
+    topics = random_topics(int(support * 10) + 1, 40)
+    corpus = make_corpus(topics)
+    connected = mine_frequent_subgraphs(corpus, support, 3, mode="connected")
+    found = mined(connected)
+    rooted = mined(mine_frequent_subgraphs(corpus, support, 3))
+    for topic, texts in topics.items():
+        assert found.get(topic, {}) == brute.connected_patterns(texts, support, 3), topic
+        assert rooted.get(topic, {}).items() <= found.get(topic, {}).items()
+    ids = connected.patterns.select("topic", "pattern_id")
+    assert ids.count() == ids.distinct().count()
+
+
+def test_support_of_many_documents_takes_few_rows(make_corpus):
+    topics = {"t": [f"a b c d x{i} y{i}" for i in range(5000)] + ["a b"] * 10}
+    corpus = make_corpus(topics)
+    edges = document_edges(corpus).withColumnsRenamed({"src": "a", "dst": "b"})
+    frequent = edges.groupBy("topic", "a", "b").count().where("count > 100")
+    useful = edges.join(frequent, ["topic", "a", "b"], "left_semi")
+    bits = mining.edge_bitmaps(useful, mining.document_numbers(useful))
+    assert bits.count() == 3 * 2
+    shown = bits.select("a", F.explode(mining.B.positions(F.col("bucket"), F.col("words"))).alias("doc_no"))
+    assert {r["a"]: r["n"] for r in shown.groupBy("a").agg(F.count_distinct("doc_no").alias("n")).collect()} == {"a": 5010, "b": 5000, "c": 5000}
+    result = mine_frequent_subgraphs(corpus, 0.5)
+    assert result.pattern_docs.count() == 5010 + 5000 * 5
+
+
+def test_mining_leaves_its_result_only(make_corpus, tmp_path, monkeypatch):
+    corpus = make_corpus(random_topics(4, 5))
+    monkeypatch.setattr(tables, "scratch_folder", lambda spark: str(tmp_path))
+    result = mine_frequent_subgraphs(corpus, 0.5, 3)
+    left = {p.name.rsplit("-", 1)[0] for p in (tmp_path / "topicweave").iterdir()}
+    assert left == {"counts", "vertices", "document_numbers", "level", "bitmaps"}
+    assert result.patterns.count() and result.pattern_docs.count() and result.vertices.count()

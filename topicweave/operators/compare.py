@@ -9,14 +9,11 @@ counts 1. The distance is ``1 - common size / larger size``.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicweave.functions.graph import edge
 from topicweave.operators.graphs import graph_size
-from topicweave.plans.tables import materialise, materialise_counting
+from topicweave.plans.tables import materialise, materialise_counting, scratch
 
 PATTERN = ["topic", "pattern_id"]
 PAIR = ["topic_x", "pattern_x", "topic_y", "pattern_y"]
@@ -103,69 +100,107 @@ def graph_distance(pairs: DataFrame, vertices: DataFrame, edges: DataFrame) -> D
 
 # --- nearest pattern of any other topic -----------------------------------------------------
 
+#: Similarities (1 - distance) down to which pairs are looked at, round by round. The last one takes any common edge.
+TIERS = (0.75, 0.5, 0.25, 0.0)
+
+
+def largest_part(shared: Column) -> Column:
+    """Size of the largest connected part of an array of edges ``src``, ``dst``; 0 without an edge.
+
+    One pass over the edges: an edge joins the parts that have one of its ends.
+    """
+    part = "struct<ends:array<string>,n_edges:int>"
+
+    def add(parts: Column, e: Column) -> Column:
+        touched = lambda p: F.array_contains(p["ends"], e["src"]) | F.array_contains(p["ends"], e["dst"])
+        mine = F.filter(parts, touched)
+        ends = F.array_union(F.flatten(F.transform(mine, lambda p: p["ends"])), F.array(e["src"], e["dst"]))
+        n_edges = F.aggregate(mine, F.lit(1), lambda n, p: n + p["n_edges"])
+        joined = F.struct(ends.alias("ends"), n_edges.alias("n_edges")).cast(part)
+        return F.array_append(F.filter(parts, lambda p: ~touched(p)), joined)
+
+    parts = F.aggregate(shared, F.array().cast(f"array<{part}>"), add)
+    return F.coalesce(F.array_max(F.transform(parts, lambda p: F.size(p["ends"]) + p["n_edges"])), F.lit(0))
 
-def _shared(parts: DataFrame) -> DataFrame:
-    """The parts that patterns of two or more topics have."""
-    held = parts.groupBy("part").agg(F.min("topic").alias("first"), F.max("topic").alias("last")).where("first <> last")
-    return parts.join(held.select("part"), "part", "left_semi")
 
+def _two_smallest(held: DataFrame, part: str) -> DataFrame:
+    """Per ``part``, the smallest pattern of each topic, and of those the two smallest: one is foreign to any pattern."""
+    smallest = held.groupBy(part, "topic").agg(F.min(F.struct("graph_size", "pattern_id")).alias("least"))
+    least = F.sort_array(F.collect_list(F.struct(F.col("least.graph_size").alias("near_size"), F.col("topic").alias("near_topic"),
+                                                 F.col("least.pattern_id").alias("near_pattern_id"))))
+    return (smallest.groupBy(part).agg(F.slice(least, 1, 2).alias("near"), F.count("*").alias("n_topics"))
+            .where("n_topics > 1").select(part, F.explode("near").alias("near")).select(part, "near.*"))
 
-def connected_parts(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """Connected parts that two topics share: ``(topic, pattern_id, part, part_size)``.
 
-    A part is a vertex, or a sorted array of edges. Parts grow by one adjacent
-    edge of their own pattern per round, found by an end that both have. A part that
-    two topics share is grown from a smaller one that they share, so only those are
-    kept, and patterns that share nothing take part in the first round only.
+def _nearest_by(held: DataFrame, part: str, part_size: int) -> DataFrame:
+    """Best foreign pattern of each pattern that shares a part of a given size, as far as that part tells."""
+    met = held.join(materialise(_two_smallest(held, part), "two_smallest"), part).where(F.col("topic") != F.col("near_topic"))
+    return met.select(*PATTERN, F.struct(distance(F.lit(part_size), F.col("graph_size"), F.col("near_size")).alias("distance"),
+                                         "near_size", "near_topic", "near_pattern_id").alias("best"))
+
+
+def candidate_pairs(open_patterns: DataFrame, all_patterns: DataFrame, least: float) -> DataFrame:
+    """Pairs of topics' patterns whose similarity may be ``least`` or more: ``x`` and ``y``, numbers of patterns.
+
+    A pair of that similarity has a common part of at least ``least`` times the larger size (size filter), which has
+    at least half as many edges. So both have one of their rarest edges in common (prefix filter): all but so many as they must
+    share, less one.
     """
-    listed = edges.select(*PATTERN, edge(F.col("src"), F.col("dst")).alias("pair"),
-                          F.array_distinct(F.array("src", "dst")).alias("pair_ends"))
-    single = _shared(vertices.select(*PATTERN, F.array("v").alias("part"), F.lit(1).alias("part_size")))
-    first = listed.select(*PATTERN, F.array("pair").alias("part"), F.col("pair_ends").alias("ends"))
-    grown, any_grown = materialise_counting(_shared(materialise(first, "parts")), "shared_parts")
-    ends = materialise(listed.join(grown.select(*PATTERN).distinct(), PATTERN, "left_semi")
-                       .select(*PATTERN, "pair", "pair_ends", F.explode("pair_ends").alias("end")), "ends")
-    levels = [grown]
-    while any_grown:
-        reached = (grown.select("*", F.explode("ends").alias("end")).join(ends, [*PATTERN, "end"])
-                   .where(~F.array_contains("part", F.col("pair")))
-                   .select(*PATTERN, F.array_sort(F.array_append("part", F.col("pair"))).alias("part"),
-                           F.array_sort(F.array_union("ends", "pair_ends")).alias("ends")).distinct())
-        grown, any_grown = materialise_counting(_shared(materialise(reached, "parts")), "shared_parts")
-        levels.append(grown)
-    of_edges = reduce(DataFrame.unionByName, levels).select(
-        *PATTERN, "part", (F.size("part") + F.size("ends")).alias("part_size"))
-    return single.unionByName(of_edges)
+    def entries(patterns: DataFrame) -> DataFrame:
+        needed = F.greatest(F.lit(1), F.ceil((F.ceil(F.lit(least) * F.col("graph_size")) - 1) / 2)).cast("int")
+        prefix = F.slice("edges", 1, F.greatest(F.lit(0), F.size("edges") - needed + 1))
+        return patterns.select("number", "topic", "graph_size", F.explode(prefix).alias("shared"))
+
+    x, y = entries(open_patterns).alias("x"), entries(all_patterns).alias("y")
+    close = F.least("x.graph_size", "y.graph_size") >= F.lit(least) * F.greatest("x.graph_size", "y.graph_size")
+    return (x.join(y, F.col("x.shared") == F.col("y.shared")).where((F.col("x.topic") != F.col("y.topic")) & close)
+            .select(F.col("x.number").alias("x"), F.col("y.number").alias("y")).distinct())
+
+
+def _nearest_of(pairs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Best foreign pattern of each first pattern among some pairs."""
+    x = patterns.select(F.col("number").alias("x"), *PATTERN, F.col("graph_size").alias("own_size"), F.col("edges").alias("own_edges"))
+    y = patterns.select(F.col("number").alias("y"), F.col("topic").alias("near_topic"), F.col("pattern_id").alias("near_pattern_id"),
+                        F.col("graph_size").alias("near_size"), F.col("edges").alias("near_edges"))
+    # a generated column is computed once, whatever uses it
+    both = pairs.join(x, "x").join(y, "y").withColumn("common", F.explode(F.array(largest_part(F.array_intersect("own_edges", "near_edges")))))
+    return both.select(*PATTERN, F.struct(distance(F.col("common"), F.col("own_size"), F.col("near_size")).alias("distance"),
+                                          "near_size", "near_topic", "near_pattern_id").alias("best"))
 
 
 def nearest_foreign_pattern(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Distance of each pattern to the nearest pattern of any other topic.
 
-    No pair of patterns is compared. Two patterns share a part of size s exactly
-    when both list it, and their largest common part is their common subgraph. So
-    the nearest foreign pattern of x is, over the parts of x, the smallest foreign
-    pattern that lists the part. For that it is enough to keep, per part, the
-    smallest pattern of each topic, and of those the two smallest: one of the two
-    is foreign to x. Work and rows follow the number of parts, however many
-    patterns share one. Ties go to the smaller pattern, then to the smaller topic
-    and pattern name. A pattern that shares nothing has distance 1 and no nearest
-    pattern.
+    What one common vertex or edge tells is known without pairs: the smallest foreign pattern that has it. Beyond that, pairs
+    of patterns are looked at by falling similarity, in tiers: all pairs that may reach the tier's similarity, for the patterns that
+    have not found one so near yet. What a tier finds is exact, since every pair that reaches it has been looked
+    at. The common part of a pair is found inside its row. No part of a pattern is listed, so rows grow with the number
+    of near pairs and not with the parts of a pattern. Ties go to the smaller pattern, then to the smaller topic
+    and pattern name. A pattern that shares nothing has distance 1 and no nearest pattern.
     """
-    sizes = materialise(pattern_sizes(vertices, edges), "sizes")
-    parts = materialise(connected_parts(vertices, edges).join(sizes, PATTERN), "sized_parts")
-    smallest = parts.groupBy("part", "topic").agg(F.min(F.struct("graph_size", "pattern_id")).alias("least"))
-    by_size = Window.partitionBy("part").orderBy("least.graph_size", "topic")
-    two_smallest = (smallest.withColumn("place", F.row_number().over(by_size)).where(F.col("place") <= 2)
-                    .select("part", F.col("topic").alias("near_topic"), F.col("least.graph_size").alias("near_size"),
-                            F.col("least.pattern_id").alias("near_pattern_id")))
-    candidates = (parts.join(materialise(two_smallest, "two_smallest"), "part")
-                  .where(F.col("topic") != F.col("near_topic"))
-                  .withColumn("distance", distance(F.col("part_size"), F.col("graph_size"), F.col("near_size"))))
-    best = candidates.groupBy(*PATTERN).agg(
-        F.min(F.struct("distance", "near_size", "near_topic", "near_pattern_id")).alias("best"))
-    return sizes.join(best, PATTERN, "left").select(
-        *PATTERN, F.coalesce("best.distance", F.lit(1.0)).alias("distance"),
-        F.col("best.near_topic").alias("near_topic"), F.col("best.near_pattern_id").alias("near_pattern_id"))
+    spark = vertices.sparkSession
+    with scratch(spark) as keep:
+        sizes = materialise(pattern_sizes(vertices, edges), "sizes")
+        sized_edges = materialise(edges.select(*PATTERN, F.struct("src", "dst").alias("shared")).join(sizes, PATTERN), "sized_edges")
+        best = _nearest_by(vertices.join(sizes, PATTERN), "v", 1).unionByName(_nearest_by(sized_edges, "shared", 3))
+        best = materialise(best.groupBy(*PATTERN).agg(F.min("best").alias("best")), "nearest")
+        # edges that one topic has are in no pair
+        often = sized_edges.groupBy("shared").agg(F.count("*").alias("n"), F.min("topic").alias("first"), F.max("topic").alias("last"))
+        often = materialise(often.where("first <> last").select("shared", "n"), "shared_edges")
+        listed = sized_edges.join(often, "shared").groupBy(*PATTERN, "graph_size").agg(
+            F.sort_array(F.collect_list(F.struct("n", "shared")))["shared"].alias("edges"))
+        patterns = materialise(listed.withColumn("number", F.monotonically_increasing_id()), "patterns")
+        for least in TIERS:
+            known = best.select(*PATTERN, F.col("best.distance").alias("found"))
+            near_enough = F.lit(1.0) - F.col("found") >= F.lit(least) if least else F.lit(False)
+            open_patterns, any_open = materialise_counting(patterns.join(known, PATTERN).where(~near_enough).drop("found"), "open_patterns")
+            if not any_open:
+                break
+            pairs = materialise(candidate_pairs(open_patterns, patterns, least), "pairs")
+            best = materialise(best.unionByName(_nearest_of(pairs, patterns)).groupBy(*PATTERN).agg(F.min("best").alias("best")), "nearest")
+        return keep(sizes.join(best, PATTERN, "left").select(
+            *PATTERN, F.coalesce("best.distance", F.lit(1.0)).alias("distance"),
+            F.col("best.near_topic").alias("near_topic"), F.col("best.near_pattern_id").alias("near_pattern_id")), "nearest")
 
 
 def characteristic_patterns(nearest: DataFrame, min_distance: float) -> DataFrame:

@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicweave.functions import graph as G
 from topicweave.operators.mining import code_order
+from topicweave.operators.ranking import ranked
 from topicweave.plans.tables import materialise, with_position
 
 WORD, GRAPH = "word", "graph"
@@ -42,18 +43,16 @@ def word_budget(words: DataFrame, graphs: DataFrame, max_dimension: int) -> Data
     """Words that enter the dictionary, the most frequent ones of each topic first.
 
     Graphs always enter. ``max_dimension`` is -1 for all words, 0 for none, or the
-    size to fill up to with words. The window holds one topic's frequent words,
-    whose number does not grow with the corpus (see ``rank_vertices``).
+    size to fill up to with words.
     """
     if max_dimension == -1:
         return words
     if max_dimension == 0:
         return words.where(F.lit(False))
     used = graphs.groupBy("topic").agg(F.count("*").alias("n_graphs"))
-    order = Window.partitionBy("topic").orderBy(F.desc("df"), "v")
     room = F.greatest(F.lit(0), F.lit(max_dimension) - F.coalesce("n_graphs", F.lit(0)))
-    return (words.withColumn("place", F.row_number().over(order)).join(used, "topic", "left")
-            .where(F.col("place") <= room).drop("place", "n_graphs"))
+    return (ranked(words, [F.desc("df"), "v"], "place").join(used, "topic", "left")
+            .where(F.col("place") < room).drop("place", "n_graphs"))
 
 
 def dimensions(words: DataFrame, graphs: DataFrame, ids: DataFrame) -> DataFrame:

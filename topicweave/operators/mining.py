@@ -1,10 +1,13 @@
 """Frequent subgraphs of every topic, grown level by level.
 
 Vertex labels are unique inside a document graph, so a pattern occurs in a
-document at most once, and exactly when all its edges do. Support counting is
-therefore a join on edges and a count, and mining is a loop over levels: the
-patterns with k edges, joined with the frequent edges, propose those with k + 1;
-a second join with the documents counts them.
+document at most once, and exactly when all its edges do. The documents of a topic are
+numbered, and the documents of an edge or of a pattern are bitmaps of these numbers. Mining is a loop over
+levels: the patterns with k edges, joined with the frequent edges, propose those with
+k + 1, whose documents are the common bits of the pattern and the new edge.
+
+There are two classes of patterns. ``mode="connected"`` finds every weakly connected set of frequent edges that is
+frequent itself, each once, as its sorted edges. ``mode="rooted"`` finds the smaller class described in the following.
 
 A pattern is a sequence of coded edges ``(i, j, a, b)``: an edge from pattern
 vertex ``i`` with rank ``a`` to pattern vertex ``j`` with rank ``b``. Which sets
@@ -19,25 +22,28 @@ of edges are found, and found once, follows from these rules:
   after ``u``.
 
 So edges are followed forwards only: in-stars, diamonds and two-cycles are found
-as single edges. A self-loop is a pattern of its own and is not extended. A topic
+as single edges, but by ``connected`` as a whole. In both classes a self-loop is a pattern of its own and is not extended. A topic
 with one document has ranked vertices but no patterns.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from topicweave.functions import bits as B
 from topicweave.operators import ranking
 from topicweave.operators.graphs import document_edges
-from topicweave.plans.tables import materialise, materialise_counting
+from topicweave.plans.tables import materialise, materialise_counting, scratch, with_position
 
 _CODE = "array<struct<i:int,j:int,a:int,b:int>>"
 _PATH = "array<struct<i:int,lbl:int>>"
 _STEP = ["i", "j", "a", "b"]
+_EDGES = "array<struct<a:int,b:int>>"
 
 
 @dataclass(frozen=True)
@@ -105,25 +111,33 @@ def pattern_extensions(level: DataFrame, frequent: DataFrame) -> DataFrame:
                     F.col("from_label").alias("a"), F.col("to_label").alias("b")))
 
 
-def extension_documents(docs: DataFrame, extensions: DataFrame, doc_edges: DataFrame) -> DataFrame:
-    """Documents of a pattern that also hold an edge extending it.
+def document_numbers(doc_edges: DataFrame) -> DataFrame:
+    """``topic``, ``doc_id``, ``doc_no``: a topic's documents have consecutive numbers."""
+    return with_position(doc_edges.select("topic", "doc_id").distinct(), ["topic", "doc_id"], "doc_no")
+
+
+def edge_bitmaps(doc_edges: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Documents of each edge: ``topic``, ``a``, ``b``, ``bucket``, ``words``."""
+    return B.bitmaps(doc_edges.join(numbers, ["topic", "doc_id"]), ["topic", "a", "b"], "doc_no")
 
-    A pattern's documents meet the real edges that leave the vertices it can be
-    extended from, by ``(topic, doc_id, a)``, which spreads evenly; these then meet
-    the small table of candidates. No row is made for a candidate that a document
-    does not hold.
+
+def extension_bitmaps(held: DataFrame, extensions: DataFrame, edge_bits: DataFrame, step: list[str] = _STEP) -> DataFrame:
+    """Documents that hold a pattern and an edge that extends it, and how many they are, by bucket.
+
+    ``held`` are the patterns' own (``topic``, ``pid``, ``bucket``, ``words``). A candidate costs one row of 64 words for 4096
+    documents, however many of them hold it.
     """
-    steps = extensions.select("topic", "parent", *_STEP)
-    useful = doc_edges.join(steps.select("topic", "a", "b"), ["topic", "a", "b"], "left_semi")
-    leaving = steps.select("topic", F.col("parent").alias("pid"), "a").distinct()
-    at = docs.join(leaving, ["topic", "pid"]).withColumnRenamed("pid", "parent")
-    real = at.join(useful, ["topic", "doc_id", "a"])
-    return real.join(steps, ["topic", "parent", "a", "b"]).select("topic", "parent", *_STEP, "doc_id")
+    steps = extensions.select("topic", F.col("parent").alias("pid"), *step)
+    of_edge = edge_bits.select("topic", "a", "b", "bucket", F.col("words").alias("edge_words"))
+    common = B.both(F.col("words"), F.col("edge_words"))
+    met = steps.join(held, ["topic", "pid"]).join(of_edge, ["topic", "a", "b", "bucket"])
+    return (met.select("topic", F.col("pid").alias("parent"), *step, "bucket", common.alias("words"))
+            .withColumn("n", B.ones(F.col("words"))).where("n > 0"))
 
 
-def extension_support(extension_docs: DataFrame) -> DataFrame:
-    """Documents per extension; rows are unique per document, so a plain count."""
-    return extension_docs.groupBy("topic", "parent", *_STEP).agg(F.count("*").cast("int").alias("support"))
+def extension_support(found: DataFrame, step: list[str] = _STEP) -> DataFrame:
+    """Documents per extension."""
+    return found.groupBy("topic", "parent", *step).agg(F.sum("n").cast("int").alias("support"))
 
 
 def grow_patterns(extensions: DataFrame, support: DataFrame) -> DataFrame:
@@ -158,50 +172,111 @@ def code_order(code: Column) -> Column:
         c["a"].alias("a"), c["b"].alias("b")))
 
 
+def connected_seeds(frequent: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """One pattern per frequent edge, as a set of edges."""
+    return seed_patterns(frequent, thresholds).select(
+        "topic", "min_sup", "support", F.array(F.struct(F.get("code", 0)["a"].alias("a"), F.get("code", 0)["b"].alias("b"))).cast(_EDGES).alias("edges"),
+        "pid")
+
+
+def connected_extensions(level: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Sets with one edge more that touches the pattern, whichever way it points.
+
+    A set is proposed by each of its parts that is a pattern; one proposal stays, so every set is counted once.
+    """
+    arcs = frequent.where("a <> b").select("topic", F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"))
+    touching = arcs.select("*", F.col("a").alias("at")).unionByName(arcs.select("*", F.col("b").alias("at")))
+    ends = F.array_distinct(F.flatten(F.transform("edges", lambda e: F.array(e["a"], e["b"]))))
+    nodes = level.where(F.get("edges", 0)["a"] != F.get("edges", 0)["b"]).select("topic", "min_sup", "edges", "pid", F.explode(ends).alias("at"))
+    new = F.struct("a", "b")
+    grown = F.array_sort(F.array_append("edges", new))
+    return (nodes.join(touching, ["topic", "at"]).where(~F.array_contains("edges", new))
+            .groupBy("topic", "min_sup", grown.alias("edges")).agg(F.min(F.struct("pid", "a", "b")).alias("by"))
+            .select("topic", "min_sup", "edges", F.col("by.pid").alias("parent"), "by.a", "by.b"))
+
+
+def connected_growth(extensions: DataFrame, support: DataFrame) -> DataFrame:
+    """Sets that stay frequent."""
+    return (extensions.join(support, ["topic", "parent", "a", "b"]).where(F.col("support") >= F.col("min_sup"))
+            .select("topic", "min_sup", "support", "edges", "parent", "a", "b", F.monotonically_increasing_id().alias("pid")))
+
+
+def edge_code(edges: Column) -> Column:
+    """Code of a set of edges in sorted order; its vertices are numbered as they come up in it."""
+    labels = F.array_distinct(F.flatten(F.transform(edges, lambda e: F.array(e["a"], e["b"]))))
+    return F.transform(edges, lambda e: _step(F.array_position(labels, e["a"]) - 1, F.array_position(labels, e["b"]) - 1, e["a"], e["b"])).cast(_CODE)
+
+
+@dataclass(frozen=True)
+class _Class:
+    """A class of patterns: how its levels begin and grow, and what tells two extensions of a pattern apart."""
+
+    seeds: Callable[[DataFrame, DataFrame], DataFrame]
+    extensions: Callable[[DataFrame, DataFrame], DataFrame]
+    grown: Callable[[DataFrame, DataFrame], DataFrame]
+    step: list[str]
+    code: Callable[[], Column]
+
+
+_CLASSES = {
+    "rooted": _Class(seed_patterns, pattern_extensions, grow_patterns, _STEP, lambda: F.col("code")),
+    "connected": _Class(connected_seeds, connected_extensions, connected_growth, ["a", "b"], lambda: edge_code(F.col("edges"))),
+}
+
+
 def mine_frequent_subgraphs(corpus: DataFrame, min_support: float, max_edges: int | None = None,
-                            edges: DataFrame | None = None, vertices: DataFrame | None = None) -> MiningResult:
+                            edges: DataFrame | None = None, vertices: DataFrame | None = None, mode: str = "rooted") -> MiningResult:
     """Ranked frequent vertices and frequent subgraphs of each topic.
 
     ``corpus`` should be a stored table, since it is scanned for the counts, the
     vertices and the edges. Graphs that do not come from token sequences are given
     as ``edges`` and ``vertices``; ``corpus`` then only lists them. ``max_edges``
-    stops the growth early if the caller wants smaller patterns only.
+    stops the growth early if the caller wants smaller patterns only; ``connected`` needs it, since every connected
+    part of a frequent pattern is a pattern there. Only the tables of the result stay in the scratch folder.
     """
-    counts = materialise(ranking.min_support_count(ranking.graph_count(corpus), min_support), "counts")
-    ranks = materialise(
-        ranking.vertex_rank(corpus, counts) if vertices is None
-        else ranking.rank_vertices(ranking.frequent_vertices(vertices, counts)), "vertices")
-    all_edges = document_edges(corpus) if edges is None else edges
-    relabelled = materialise(ranking.relabelled_edges(all_edges, ranks), "relabelled")
-    frequent = materialise(ranking.frequent_edges(relabelled, counts), "frequent_edges")
-    doc_edges = materialise(relabelled.join(frequent.select("topic", "a", "b"), ["topic", "a", "b"], "left_semi"),
-                            "doc_edges")
-
-    level = materialise(seed_patterns(frequent, counts), "level")
-    seed_keys = level.select("topic", F.get("code", 0)["a"].alias("a"), F.get("code", 0)["b"].alias("b"), "pid")
-    docs = doc_edges.join(seed_keys, ["topic", "a", "b"]).select("topic", "pid", "doc_id")
-    levels, level_docs = [], []
-    size = 1
-    while True:
-        levels.append(level)
-        level_docs.append(docs.join(level.select("topic", "pid", pattern_id(F.col("code")).alias("pattern_id")),
-                                    ["topic", "pid"]).select("topic", "pattern_id", "doc_id"))
-        if max_edges is not None and size >= max_edges:
-            break
-        extensions = materialise(pattern_extensions(level, frequent), "extensions")
-        found = materialise(extension_documents(docs, extensions, doc_edges), "extension_docs")
-        grown, any_grown = materialise_counting(grow_patterns(extensions, extension_support(found)), "level")
-        if not any_grown:
-            break
-        docs = found.join(grown.select("topic", "parent", *_STEP, "pid"), ["topic", "parent", *_STEP]).select(
-            "topic", "pid", "doc_id")
-        level = grown.drop("parent", *_STEP)
-        size += 1
-
-    patterns = reduce(DataFrame.unionByName, levels).select(
-        "topic", pattern_id(F.col("code")).alias("pattern_id"), "code",
-        F.size("code").alias("n_edges"), "support")
-    return MiningResult(counts, ranks, patterns, reduce(DataFrame.unionByName, level_docs))
+    if mode not in _CLASSES:
+        raise ValueError(f"no such mode: {mode}")
+    if mode == "connected" and max_edges is None:
+        raise ValueError("connected patterns need max_edges")
+    kind = _CLASSES[mode]
+    spark = corpus.sparkSession
+    levels, level_bits = [], []
+    with scratch(spark) as keep:
+        counts = keep(ranking.min_support_count(ranking.graph_count(corpus), min_support), "counts")
+        ranks = keep(ranking.vertex_rank(corpus, counts) if vertices is None
+                     else ranking.rank_vertices(ranking.frequent_vertices(vertices, counts)), "vertices")
+        all_edges = document_edges(corpus) if edges is None else edges
+        relabelled = materialise(ranking.relabelled_edges(all_edges, ranks), "relabelled")
+        frequent = materialise(ranking.frequent_edges(relabelled, counts), "frequent_edges")
+        doc_edges = materialise(relabelled.join(frequent.select("topic", "a", "b"), ["topic", "a", "b"], "left_semi"), "doc_edges")
+        numbers = keep(document_numbers(doc_edges), "document_numbers")
+        edge_bits = materialise(edge_bitmaps(doc_edges, numbers), "edge_bitmaps")
+
+        level = keep(kind.seeds(frequent, counts), "level")
+        first = F.get(kind.code(), 0)
+        seeds = level.select("topic", first["a"].alias("a"), first["b"].alias("b"), "pid")
+        held = keep(edge_bits.join(seeds, ["topic", "a", "b"]).select("topic", "pid", "bucket", "words"), "bitmaps")
+        while True:
+            levels.append(level)
+            level_bits.append(held.join(level.select("topic", "pid", pattern_id(kind.code()).alias("pattern_id")), ["topic", "pid"]))
+            if max_edges is not None and len(levels) >= max_edges:
+                break
+            with scratch(spark):
+                extensions = materialise(kind.extensions(level, frequent), "extensions")
+                found = materialise(extension_bitmaps(held, extensions, edge_bits, kind.step), "extension_bitmaps")
+                grown, any_grown = materialise_counting(kind.grown(extensions, extension_support(found, kind.step)), "grown")
+                if not any_grown:
+                    break
+                same = ["topic", "parent", *kind.step]
+                held = keep(found.join(grown.select(*same, "pid"), same).select("topic", "pid", "bucket", "words"), "bitmaps")
+                level = keep(grown.drop("parent", *kind.step), "level")
+
+    patterns = reduce(DataFrame.unionByName, [
+        one.select("topic", pattern_id(kind.code()).alias("pattern_id"), kind.code().alias("code"), "support") for one in levels]).select(
+        "topic", "pattern_id", "code", F.size("code").alias("n_edges"), "support")
+    held_in = reduce(DataFrame.unionByName, level_bits).select(
+        "topic", "pattern_id", F.explode(B.positions(F.col("bucket"), F.col("words"))).alias("doc_no"))
+    return MiningResult(counts, ranks, patterns, held_in.join(numbers, ["topic", "doc_no"]).select("topic", "pattern_id", "doc_id"))
 
 
 def pattern_edges(patterns: DataFrame, vertices: DataFrame) -> DataFrame:

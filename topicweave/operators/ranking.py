@@ -7,10 +7,11 @@ topic that holds a third of the corpus is still spread over all tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicweave.operators.graphs import document_vertices
+from topicweave.plans.tables import materialise, with_position
 
 
 def graph_count(corpus: DataFrame) -> DataFrame:
@@ -35,17 +36,20 @@ def frequent_vertices(vertices: DataFrame, thresholds: DataFrame) -> DataFrame:
             .where(F.col("df") >= F.col("min_sup")).drop("min_sup"))
 
 
-def rank_vertices(frequent: DataFrame) -> DataFrame:
-    """Rank 0 = highest document frequency, ties by token.
+def ranked(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """Add ``name``: the 0-based place of each row in its topic, by ``order``.
 
-    The window orders one topic's frequent tokens in one task. Their number does
-    not grow with the corpus: the document frequencies of a topic add up to its
-    distinct tokens per document times its documents, and each counts at least
-    ``min_support`` times the documents, so there are at most (mean distinct
-    tokens per document) / min_support of them.
+    One range-partitioned sort of all topics: a place is the row's position less that of the topic's first row. No
+    task holds a topic.
     """
-    order = Window.partitionBy("topic").orderBy(F.desc("df"), "v")
-    return frequent.withColumn("rank", F.row_number().over(order) - 1)
+    placed = materialise(with_position(rows, ["topic", *order], "at"), "placed")
+    first = placed.groupBy("topic").agg(F.min("at").alias("first"))
+    return placed.join(first, "topic").withColumn(name, (F.col("at") - F.col("first")).cast("int")).drop("at", "first")
+
+
+def rank_vertices(frequent: DataFrame) -> DataFrame:
+    """Rank 0 = highest document frequency, ties by token."""
+    return ranked(frequent, [F.desc("df"), "v"], "rank")
 
 
 def vertex_rank(corpus: DataFrame, thresholds: DataFrame) -> DataFrame:

@@ -10,13 +10,18 @@ package carries a broadcast hint on data that grows.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+#: Paths written in the scopes that are open, innermost last.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("scratch_scopes", default=())
+
 
 def scratch_folder(spark: SparkSession) -> str:
     """Shared folder for intermediate tables, as named by the session.
@@ -32,10 +37,43 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_folder(spark)}/topicweave/{name}-{uuid.uuid4().hex}"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Delete the tables that are written inside, once their last reader has been written.
+
+    Yields a function that writes a table to stay: it belongs to the scope around this one, or to nobody. Only what
+    was given to it may be used behind the block.
+    """
+    around = _OPEN.get()
+    written: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        inside = _OPEN.set(around)
+        try:
+            return materialise(df, name)
+        finally:
+            _OPEN.reset(inside)
+
+    token = _OPEN.set((*around, written))
+    try:
+        yield keep
+    finally:
+        _OPEN.reset(token)
+        for path in written:
+            _delete(spark, path)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back."""
+    """Write ``df`` once and read it back. Inside ``scratch`` the table goes with the block."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if _OPEN.get():
+        _OPEN.get()[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
