@@ -5,9 +5,10 @@ import random
 import pytest
 
 import brute
-from topicweave.operators.dictionary import (build_dictionary, dense_document_vectors, dense_topic_vectors,
-                                             document_dimensions, graph_contains)
-from topicweave.operators.discover import discover_topics, topic_distances
+from topicweave.functions import bits
+from topicweave.operators.dictionary import (build_dictionary, candidate_dimensions, dense_document_vectors, dense_topic_vectors,
+                                             document_bitmaps, document_dimensions, graph_contains, printed, topic_bitmaps)
+from topicweave.operators.discover import bitmap_distances, discover_topics, topic_distances
 from topicweave.sources.store import prediction_lines, read_dictionary, write_dictionary
 
 CODE = "topic string, pattern_id string, code array<struct<i:int,j:int,a:int,b:int>>"
@@ -127,3 +128,43 @@ def test_ties_are_not_a_product_of_tables(spark, broadcast):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_rows_before_verification_are_the_holders_of_the_rarest_element(spark):
+    dictionary = make_dictionary(spark, {"t0": {"oil": 9}}, {"t0": [("g", [("oil", "gas"), ("gas", "rare")]), ("h", [("oil", "none")])]})
+    texts = ["oil gas rare"] * 3 + ["oil gas x"] * 200 + ["gas rare"] * 2 + ["x y"] * 50
+    docs = corpus_of(spark, texts)
+    found = candidate_dimensions(docs, dictionary).collect()
+    graph = [r["doc_id"] for r in found if r["rest"]]
+    assert sorted(graph) == [0, 1, 2, 203, 204]  # the edge to the rare word; nobody holds an element of h that is its rarest
+    assert sorted(r["doc_id"] for r in found if not r["rest"]) == list(range(203))
+    by_dim = {}
+    for r in document_dimensions(docs, dictionary).collect():
+        by_dim.setdefault(r["dim_id"], []).append(r["doc_id"])
+    assert sorted(map(len, by_dim.values())) == [3, 203]
+
+
+def test_bitmaps_hold_their_positions(spark):
+    rng = random.Random(2)
+    sets = {k: sorted(rng.sample(range(20_000), n)) for k, n in enumerate([1, 5, 300, 4096, 9000])}
+    rows = spark.createDataFrame([(k, p) for k, ps in sets.items() for p in ps + ps[:3]], "k int, p long")
+    found = bits.bitmaps(rows, ["k"], "p")
+    shown = {}
+    for r in found.select("k", bits.ones("words").alias("n"), bits.positions(found["bucket"], found["words"]).alias("at")).collect():
+        assert r["n"] == len(r["at"])
+        shown.setdefault(r["k"], []).extend(r["at"])
+    assert {k: sorted(v) for k, v in shown.items()} == sets
+    for r in printed(found, ["k"], 20_000).collect():
+        assert [i for i, d in enumerate(r["digits"]) if d == "1"] == sets[r["k"]] and len(r["digits"]) == 20_000
+
+
+def test_distances_by_bits_equal_those_by_counts(spark):
+    rng = random.Random(9)
+    names = [f"w{i}" for i in range(9000)]
+    dictionary = make_dictionary(spark, {"t0": {v: 1 for v in names[:5000]}, "t1": {v: 2 for v in names[5000:]}}, GRAPHS | {"t2": [("h", [("a", "b")])]})
+    docs = corpus_of(spark, [" ".join(rng.sample(names, rng.randint(1, 60))) for _ in range(40)] + ["a b", ""])
+    dims = document_dimensions(docs, dictionary)
+    counted = {(r["doc_id"], r["topic_id"]): r["distance"] for r in topic_distances(dims, dictionary).collect()}
+    pairs = spark.createDataFrame(list(counted), "doc_id long, topic_id long")
+    by_bits = bitmap_distances(pairs, document_bitmaps(dims), topic_bitmaps(dictionary)).collect()
+    assert {(r["doc_id"], r["topic_id"]): r["distance"] for r in by_bits} == counted

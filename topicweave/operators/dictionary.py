@@ -1,7 +1,11 @@
 """The feature dictionary and the 0/1 vectors of topics and documents.
 
-Vectors are sparse long tables. The dimensions of a topic are consecutive, so a
+Vectors are sparse long tables, or bitmaps of them (``functions.bits``). The dimensions of a topic are consecutive, so a
 topic vector is described by its first dimension and their number.
+
+A graph is contained in another when all its elements, vertices and edges, are. Children are found by their rarest
+element only: an inverted index has each child at the element that fewest parents hold, so the rows before
+verification are the parents that hold it, however frequent the other elements are. The others are looked for inside the parent's row.
 """
 
 from __future__ import annotations
@@ -9,13 +13,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from topicweave.functions import bits as B
 from topicweave.functions import graph as G
 from topicweave.operators.mining import code_order
 from topicweave.operators.ranking import ranked
-from topicweave.plans.tables import materialise, with_position
+from topicweave.plans.tables import materialise, scratch, with_position
 
 WORD, GRAPH = "word", "graph"
 
@@ -101,13 +106,32 @@ def topic_vectors(dims: DataFrame) -> DataFrame:
     return dims.groupBy("topic_id").agg(F.min("dim_id").alias("first_dim"), F.count("*").alias("n_dims"))
 
 
+def topic_bitmaps(dictionary: Dictionary) -> DataFrame:
+    """Topic vectors as ``topic_id``, ``bucket``, ``words``."""
+    return B.bitmaps(dictionary.dimensions.select("topic_id", "dim_id"), ["topic_id"], "dim_id")
+
+
+def document_bitmaps(doc_dims: DataFrame, key: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Document vectors as the key, ``bucket`` and ``words``; a document without a match has no row."""
+    return B.bitmaps(doc_dims, key, "dim_id")
+
+
+def printed(bitmaps: DataFrame, key: Sequence[str], length: int) -> DataFrame:
+    """Bitmaps as full vectors: the key and ``digits``, a string of 0 and 1 for all dimensions."""
+    empty = F.array_repeat(F.lit("0" * B.BUCKET), F.lit(-(-length // B.BUCKET)))
+    by_bucket = bitmaps.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", B.digits(F.col("words"))))).alias("by_bucket"))
+    filled = F.transform(empty, lambda none, i: F.coalesce(F.try_element_at("by_bucket", i.cast("long")), none))
+    return by_bucket.select(*key, F.substring(F.array_join(filled, ""), 1, length).alias("digits"))
+
+
+def _as_array(digits: Column) -> Column:
+    return F.transform(F.filter(F.split(digits, ""), lambda d: d != ""), lambda d: d.cast("int"))
+
+
 def dense_topic_vectors(dictionary: Dictionary) -> DataFrame:
-    """The same as full 0/1 arrays over all dimensions."""
-    length = dictionary.dimensions.count()
-    block = lambda bit, n: F.array_repeat(F.lit(bit), n.cast("int"))
-    before, own = F.col("first_dim"), F.col("n_dims")
-    return dictionary.topic_vectors.select("topic_id", F.concat(
-        block(0, before), block(1, own), block(0, F.lit(length) - before - own)).alias("vector"))
+    """The bitmaps of topics as full 0/1 arrays over all dimensions."""
+    found = printed(topic_bitmaps(dictionary), ["topic_id"], dictionary.dimensions.count())
+    return found.select("topic_id", _as_array(F.col("digits")).alias("vector"))
 
 
 def document_elements(docs: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -117,18 +141,51 @@ def document_elements(docs: DataFrame, key: Sequence[str]) -> DataFrame:
     return found.where(F.col("element").isNotNull())
 
 
+def rarest_elements(elements: DataFrame, child_key: Sequence[str], frequency: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
+    """The inverted index: one row for each child at its rarest ``element``, with the ``rest`` of its elements.
+
+    ``frequency`` has ``element`` and ``n``, its parents; a child with an element that no parent has is in none, and is left out.
+    """
+    known = elements.join(frequency, "element", "left")
+    listed = known.groupBy(*child_key, *carried).agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "element"))).alias("by_rarity"))
+    return listed.where(F.get("by_rarity", 0)["n"] > 0).select(
+        *child_key, *carried, F.get("by_rarity", 0)["element"].alias("element"),
+        F.transform(F.slice("by_rarity", 2, F.greatest(F.size("by_rarity") - 1, F.lit(0))), lambda e: e["element"]).alias("rest"))
+
+
+def element_frequency(parents: DataFrame, elements: DataFrame) -> DataFrame:
+    """``element``, ``n``: how many of the parents' rows hold each of some elements."""
+    return parents.join(elements.select("element").distinct(), "element", "left_semi").groupBy("element").agg(F.count("*").alias("n"))
+
+
+def _contained(wanted: Column, elements: Column) -> Column:
+    return F.filter(wanted, lambda child: F.size(F.array_except(child["rest"], elements)) == 0)
+
+
+def candidate_dimensions(docs: DataFrame, dictionary: Dictionary, key: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Documents and the dimensions whose rarest element they hold: ``key``, ``dim_id``, ``topic_id``, ``rest``."""
+    held = document_elements(docs, key)
+    frequency = materialise(element_frequency(held, dictionary.elements), "element_frequency")
+    of_topic = dictionary.dimensions.select("dim_id", "topic_id")
+    index = rarest_elements(dictionary.elements.join(of_topic, "dim_id"), ["dim_id"], frequency, ["topic_id"])
+    return held.join(materialise(index, "rarest_elements"), "element").select(*key, "dim_id", "topic_id", "rest")
+
+
 def document_dimensions(docs: DataFrame, dictionary: Dictionary, key: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Dimensions each document contains: ``(key, dim_id, topic_id)``.
 
-    Relational division: a dimension is contained when all its elements are. The
-    result is grouped by document, so what follows per document needs no further
-    shuffle.
+    A dimension of one element, such as a word, is found by the index alone. The others of a document are verified
+    together in its row.
     """
-    sized = dictionary.elements.join(dictionary.dimensions.select("dim_id", "topic_id", "n_elements"), "dim_id")
-    matched = document_elements(docs, key).join(materialise(sized, "sized_elements"), "element")
-    return (matched.select(*key, "dim_id", "topic_id", "n_elements").repartition(*key)
-            .groupBy(*key, "dim_id", "topic_id", "n_elements").agg(F.count("*").alias("n_found"))
-            .where(F.col("n_found") == F.col("n_elements")).select(*key, "dim_id", "topic_id"))
+    with scratch(docs.sparkSession) as keep:
+        found = materialise(candidate_dimensions(docs, dictionary, key), "candidate_dimensions")
+        alone = found.where(F.size("rest") == 0).select(*key, "dim_id", "topic_id")
+        wanted = found.where(F.size("rest") > 0).groupBy(*key).agg(F.collect_list(F.struct("dim_id", "topic_id", "rest")).alias("wanted"))
+        elements = F.concat(G.graph_vertices(F.col("tokens")), G.graph_edges(F.col("tokens")))
+        verified = docs.select(*key, elements.alias("elements")).join(wanted, [*key]).select(
+            *key, F.explode(_contained(F.col("wanted"), F.col("elements"))).alias("child"))
+        return keep(alone.unionByName(verified.select(*key, "child.dim_id", "child.topic_id")), "document_dimensions")
 
 
 def graph_contains(parent_edges: DataFrame, parent_vertices: DataFrame, parent_key: Sequence[str],
@@ -138,20 +195,25 @@ def graph_contains(parent_edges: DataFrame, parent_vertices: DataFrame, parent_k
         return vertices.select(*key, F.col("v").alias("element")).unionByName(
             edges.select(*key, G.edge(F.col("src"), F.col("dst")).alias("element")))
 
-    child = parts(child_vertices, child_edges, child_key)
-    sizes = child.groupBy(*child_key).agg(F.count("*").alias("n_elements"))
-    matched = parts(parent_vertices, parent_edges, parent_key).join(child.join(sizes, [*child_key]), "element")
-    return (matched.groupBy(*parent_key, *child_key, "n_elements").agg(F.count("*").alias("n_found"))
-            .where(F.col("n_found") == F.col("n_elements")).select(*parent_key, *child_key))
+    with scratch(parent_edges.sparkSession) as keep:
+        parents, children = parts(parent_vertices, parent_edges, parent_key), parts(child_vertices, child_edges, child_key)
+        frequency = materialise(element_frequency(parents, children), "element_frequency")
+        index = materialise(rarest_elements(children, child_key, frequency), "rarest_elements")
+        found = materialise(parents.join(index, "element").select(*parent_key, *child_key, "rest"), "candidate_graphs")
+        alone = found.where(F.size("rest") == 0).select(*parent_key, *child_key)
+        more = found.where(F.size("rest") > 0)
+        wanted = more.groupBy(*parent_key).agg(F.collect_list(F.struct(*child_key, "rest")).alias("wanted"))
+        held = parents.join(more.select(*parent_key).distinct(), [*parent_key], "left_semi").groupBy(*parent_key).agg(
+            F.collect_list("element").alias("elements"))
+        verified = held.join(wanted, [*parent_key]).select(
+            *parent_key, F.explode(_contained(F.col("wanted"), F.col("elements"))).alias("child"))
+        return keep(alone.unionByName(verified.select(*parent_key, *(F.col("child")[c].alias(c) for c in child_key))), "contained_graphs")
 
 
 def dense_document_vectors(docs: DataFrame, doc_dims: DataFrame, dictionary: Dictionary,
                            key: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Full 0/1 arrays, one per document, also for documents without a match."""
     length = dictionary.dimensions.count()
-    hits = doc_dims.groupBy(*key).agg(F.collect_list("dim_id").alias("hits"))
-    zero = F.array_repeat(F.lit(0), F.lit(length))
-    ones = F.transform(F.sequence(F.lit(0), F.lit(max(length - 1, 0))),
-                       lambda d: F.array_contains("hits", d.cast("long")).cast("int"))
-    return docs.select(*key).join(hits, [*key], "left").select(
-        *key, F.when(F.col("hits").isNull(), zero).otherwise(ones).alias("vector"))
+    found = printed(document_bitmaps(doc_dims, key), key, length)
+    return docs.select(*key).join(found, [*key], "left").select(
+        *key, _as_array(F.coalesce("digits", F.repeat(F.lit("0"), F.lit(length)))).alias("vector"))

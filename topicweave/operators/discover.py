@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from topicweave.functions import bits as B
 from topicweave.operators.dictionary import Dictionary, document_dimensions
 from topicweave.plans.tables import materialise
 
@@ -30,6 +31,22 @@ def topic_distances(doc_dims: DataFrame, dictionary: Dictionary, key: Sequence[s
                     vector_distance(F.col("n_topic"), F.col("n_doc"), F.col("n_shared")).alias("distance")))
 
 
+def bitmap_distances(pairs: DataFrame, doc_bits: DataFrame, topic_bits: DataFrame, key: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Distance of given documents and topics from the bits in which their vectors differ.
+
+    ``pairs`` has the key and ``topic_id``. A bucket that one side lacks is empty there, so all its bits on the other side differ.
+    """
+    pairs = pairs.select(*key, "topic_id")
+    of_doc = pairs.join(doc_bits, [*key]).select(*key, "topic_id", "bucket", F.col("words").alias("doc_words"))
+    of_topic = pairs.join(topic_bits, "topic_id").select(*key, "topic_id", "bucket", F.col("words").alias("topic_words"))
+    met = of_doc.join(of_topic, [*key, "topic_id", "bucket"], "full")
+    none = F.array_repeat(F.lit(0).cast("long"), F.lit(B.WORDS))
+    n = B.ones(B.either_only(F.coalesce("doc_words", none), F.coalesce("topic_words", none)))
+    differing = met.groupBy(*key, "topic_id").agg(F.sum(n).alias("n"))
+    return pairs.join(differing, [*key, "topic_id"], "left").select(
+        *key, "topic_id", F.sqrt(F.coalesce("n", F.lit(0)).cast("double")).alias("distance"))
+
+
 def nearest_topics(docs: DataFrame, doc_dims: DataFrame, dictionary: Dictionary,
                    key: Sequence[str] = ("doc_id",)) -> DataFrame:
     """All topics at the smallest distance, for every document.
