@@ -70,7 +70,7 @@ def texts():
     return list(enumerate([*STRANGE, *mixed, *mixed[:10]])) + [(3, "a"), (3, "a")]
 
 
-@pytest.mark.parametrize("limits", [{}, {"WORDS": 3, "TEXTS": 4, "PAIRS": 20, "FAN": 2}, {"ENTRIES": 100}])
+@pytest.mark.parametrize("limits", [{}, {"WORDS": 3, "CHARACTERS": 40, "PAIRS": 20, "FAN": 2}, {"ENTRIES": 100}])
 def test_equals_whole_texts(make_docs, monkeypatch, limits, texts):
     for name, value in limits.items():
         monkeypatch.setattr(token_links, name, value)

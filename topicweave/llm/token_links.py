@@ -26,8 +26,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -39,13 +41,13 @@ from pyspark.sql import functions as F
 
 from topicweave.llm import perfect_hash, sentencepieces
 from topicweave.llm.perfect_hash import SHARDS, PerfectHash
-from topicweave.llm.tokens import encode_plain, token_bytes, vocabulary
+from topicweave.llm.tokens import encode_plain, is_plain, token_bytes, vocabulary
 from topicweave.plans.tables import materialise
 
 #: Words that a task remembers: between this many and twice as many.
-WORDS = 1 << 17
-#: Texts that are aligned at once.
-TEXTS = 256
+WORDS = 1 << 18
+#: Characters of texts that are aligned at once, a text more at most.
+CHARACTERS = 1 << 22
 #: Distinct pairs that a task collects before it writes them.
 PAIRS = 1 << 21
 #: Parts that are merged or summed at once.
@@ -53,8 +55,12 @@ FAN = 64
 #: Pairs of a block of shards whose table is handed to every task: 16 bytes each at most.
 ENTRIES = 1 << 22
 
-_ODD = re.compile(r"[\s▁][ \n]|[ \n][\s▁]|\A[\s▁]|[\s▁]\Z")
+#: White space that is neither a space nor a line break, and the mark that the library takes for a space.
+_RARE = re.compile("[" + "".join(c for c in map(chr, range(0x10000)) if c.isspace() and c not in " \n") + "▁]")
 _CUT = re.compile(r"(?<=[^\s▁])(?=[ \n][^\s▁])")
+#: Words up to this long are tokenised many at once, and how many.
+SHORT = 200
+TOGETHER = 128
 
 Paths = tuple[tuple[str, str], str]
 
@@ -65,14 +71,24 @@ def default_paths() -> Paths:
 
 
 def split(text: str) -> list[str]:
-    """Words of a text with the space or line break before them; the first has a space put before it.
+    """Words of a space and the text, in order.
 
-    Cuts are only made where one space or line break stands between other characters, which no token of
-    either side crosses.
+    Cuts are only made where one space or line break stands between other characters, which no token of either side
+    crosses. A word comes without its space, or with its line break; what is neither comes whole behind a mark.
     """
-    if _ODD.search(text):
-        return _CUT.split(" " + text)
-    return [word if word[0] == "\n" else " " + word for word in text.replace("\n", " \n").split(" ")]
+    if not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n" or _RARE.search(text)):
+        return text.replace("\n", " \n").split(" ")
+    words = []
+    for part in _CUT.split(" " + text):
+        inner = part[1:]
+        plain = inner.split() == [inner] and "▁" not in inner
+        words.append((inner if part[0] == " " else part) if plain and part[0] in " \n" else "▁" + part)
+    return words
+
+
+def spelt(word: str) -> str:
+    """A word as it stands in the text."""
+    return word[1:] if word[0] == "▁" else word if word[0] == "\n" else " " + word
 
 
 @cache
@@ -89,79 +105,128 @@ def _sizes(paths: Paths) -> tuple[np.ndarray, np.ndarray]:
     return np.array([len(x) for x in a], dtype=np.int64), np.array([len(x) for x in b], dtype=np.int64)
 
 
-def tokenise(words: list[str], paths: Paths) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-    """Ids of each word by A and by B, and whether both give back its bytes."""
-    a = [encode_plain(word, paths[0]) for word in words]
+@cache
+def _spellings(paths: Paths) -> list[str]:
+    """Ids of A inside and at the end of a group's A, then those of B, each with the sign that follows."""
+    a, b = (list(map(str, range(len(sizes)))) for sizes in _sizes(paths))
+    return [x + sign for ids, signs in ((a, ",|"), (b, ",;")) for sign in signs for x in ids]
+
+
+def _runs(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in runs of bounded size."""
+    run, size = [], 0
+    for text in texts:
+        run.append(text)
+        size += len(text or "")
+        if size >= CHARACTERS:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
+def _ids_of(words: list[str], paths: Paths) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words that follow each other, by A and by B; neither side puts a space before them."""
     sp = sentencepieces.processor(paths[1])
-    # the line break keeps the marker that the library puts before a text away from the word
-    b = [ids[1:] if word[0] == "\n" else ids[2:]
-         for word, ids in zip(words, sp.encode([w if w[0] == "\n" else "\n" + w for w in words], num_threads=1), strict=True)]
-    of_a, of_b = token_bytes(paths[0][1]), _piece_bytes(paths[1])
-    whole = [b"".join([of_a[i] for i in x]) == word.encode() == b"".join([of_b[i] for i in y])
-             for word, x, y in zip(words, a, b, strict=True)]
-    return a, b, np.array(whole, dtype=bool)
+    texts = ["".join(words[i:i + TOGETHER]) for i in range(0, len(words), TOGETHER)]
+    # a line break before a text keeps the marker that the library puts there away from it
+    b = [ids[1:] if text[0] == "\n" else ids[2:]
+         for text, ids in zip(texts, sp.encode([text if text[0] == "\n" else "\n" + text for text in texts], num_threads=1), strict=True)]
+    return (np.concatenate([encode_plain(text, paths[0]) for text in texts]).astype(np.int64),
+            np.fromiter(chain.from_iterable(b), dtype=np.int64, count=sum(map(len, b))))
 
 
 class Alignments:
-    """Words aligned by a task, by number.
+    """Words aligned by a task, in two generations of bounded size.
 
-    ``shape`` has a row for each word: tokens of A, of B, groups, links, and what ``judge`` adds, ``judged`` columns for the pairs of a
-    word. ``pairs`` are the linked ids of a word, ``groups`` their text. An entry of -1 tokens is a word that is not given back.
+    An entry has the tokens of A, those of B, groups, links, and what ``judge`` says of the links, two numbers that are
+    summed; then the pairs (without ``judge``) and the text of the groups (``with_groups``). A word that is not given back
+    has -1 tokens.
     """
 
-    def __init__(self, paths: Paths, judge=None, judged: int = 0, with_groups: bool = False):
-        self.paths, self.judge, self.judged, self.with_groups = paths, judge, judged, with_groups
+    def __init__(self, paths: Paths, judge=None, with_groups: bool = False):
+        self.paths, self.judge, self.with_groups = paths, judge, with_groups
         self.width = len(_sizes(paths)[1])
         self.old: dict[str, tuple] = {}
         self.new: dict[str, tuple] = {}
 
     def of(self, words: list[str]) -> list[tuple]:
-        """Entry of each word: shape, pairs, groups."""
+        """Entry of each of some distinct words: shape, pairs, groups."""
         if len(self.new) > WORDS:
             self.old, self.new = self.new, {}
-        new, old = self.new, self.old
+        found = [self.new.get(word) for word in words]
+        old = self.old
         missing = []
-        for word in set(words).difference(new):
-            entry = old.get(word)
+        for i, entry in enumerate(found):
             if entry is None:
-                missing.append(word)
-            else:
-                new[word] = entry
+                entry = found[i] = old.get(words[i])
+                if entry is None:
+                    missing.append(i)
+                else:
+                    self.new[words[i]] = entry
         if missing:
-            new.update(zip(missing, self._align(missing), strict=True))
-        return [new[word] for word in words]
+            new = [words[i] for i in missing]
+            for i, entry in zip(missing, self._align(new), strict=True):
+                found[i] = self.new[words[i]] = entry
+        return found
 
     def _align(self, words: list[str]) -> list[tuple]:
-        a, b, whole = tokenise(words, self.paths)
-        out: list[tuple] = [((-1, 0, 0, 0, *[0] * self.judged), None, None)] * len(words)
-        kept = np.flatnonzero(whole)
-        if not len(kept):
-            return out
+        """Entries of words that are tokenised together where that gives the ids that they have alone."""
+        kinds: tuple[list[int], list[int], list[int]] = ([], [], [])
+        for i, word in enumerate(words):
+            printable = word.isascii() and (word[1:] if word[0] == "\n" else word).isprintable()
+            kinds[2 if word[0] == "▁" or len(word) > SHORT else 0 if printable or is_plain(word) else 1].append(i)
+        out: list[tuple] = [()] * len(words)
+        for group in (*kinds[:2], *([i] for i in kinds[2])):
+            if group:
+                for i, entry in zip(group, self._aligned([spelt(words[i]) for i in group]), strict=True):
+                    out[i] = entry
+        return out
+
+    def _aligned(self, words: list[str]) -> list[tuple]:
+        octets = "".join(words).encode()
+        ids_a, ids_b = _ids_of(words, self.paths)
+        of_a, of_b = token_bytes(self.paths[0][1]), _piece_bytes(self.paths[1])
+        if b"".join([of_a[i] for i in ids_a.tolist()]) != octets or b"".join([of_b[i] for i in ids_b.tolist()]) != octets:
+            if len(words) == 1:
+                return [((-1, 0, 0, 0, 0, 0), None, None)]
+            half = len(words) // 2
+            return self._aligned(words[:half]) + self._aligned(words[half:])
         size_a, size_b = _sizes(self.paths)
-        n_a, n_b = np.array([len(a[i]) for i in kept]), np.array([len(b[i]) for i in kept])
-        ids_a, ids_b = (np.fromiter((x for i in kept for x in ids[i]), dtype=np.int64, count=n.sum()) for ids, n in ((a, n_a), (b, n_b)))
-        # words follow each other, so that one axis of bytes serves all of them
         end_a, end_b = np.cumsum(size_a[ids_a]), np.cumsum(size_b[ids_b])
-        word_end = end_a[np.cumsum(n_a) - 1]
-        ends = np.union1d(end_a, end_b)
+        word_end = np.cumsum([len(word.encode()) for word in words])
+        ends = _unique(np.concatenate([end_a, end_b]))
         pairs = ids_a[np.searchsorted(end_a, ends)] * self.width + ids_b[np.searchsorted(end_b, ends)]
         both = np.intersect1d(end_a, end_b, assume_unique=True)
-        last_link, last_group = np.searchsorted(ends, word_end) + 1, np.searchsorted(both, word_end) + 1
-        n_links, n_groups = np.diff(last_link, prepend=0), np.diff(last_group, prepend=0)
-        columns = [n_a, n_b, n_groups, n_links]
-        if self.judge:
-            columns += [np.add.reduceat(c, last_link - n_links) for c in self.judge(pairs)]
-        texts = [None] * len(kept)
-        if self.with_groups:
-            text_a, text_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-            stop_a, stop_b = (np.searchsorted(end_a, both) + 1).tolist(), (np.searchsorted(end_b, both) + 1).tolist()
-            groups = [f"{','.join(text_a[i:j])}|{','.join(text_b[k:m])}"
-                      for i, j, k, m in zip([0, *stop_a], stop_a, [0, *stop_b], stop_b, strict=False)]
-            texts = [";".join(groups[j - n:j]) for j, n in zip(last_group.tolist(), n_groups.tolist(), strict=True)]
-        shapes = zip(*(c.tolist() for c in columns), strict=True)
-        for i, shape, stop, n, text in zip(kept.tolist(), shapes, last_link.tolist(), n_links.tolist(), texts, strict=True):
-            out[i] = (shape, None if self.judge else np.unique(pairs[stop - n:stop]), text)
-        return out
+        stop_a, stop_b, stop_link, stop_group = (np.searchsorted(some, word_end) + 1 for some in (end_a, end_b, ends, both))
+        columns = [np.diff(stop, prepend=0) for stop in (stop_a, stop_b, stop_group, stop_link)]
+        first = stop_link - columns[3]
+        judged = self.judge(pairs) if self.judge else [np.zeros(len(pairs), dtype=np.int64)] * 2
+        shapes = zip(*(c.tolist() for c in [*columns, *(np.add.reduceat(c, first) for c in judged)]), strict=True)
+        of_words = [None] * len(words) if self.judge else [pairs[i:j] for i, j in zip(first.tolist(), stop_link.tolist(), strict=True)]
+        texts = self._groups(ids_a, ids_b, end_a, end_b, both, columns[0] + columns[1]) if self.with_groups else [None] * len(words)
+        return list(zip(shapes, of_words, texts, strict=True))
+
+    def _groups(self, ids_a, ids_b, end_a, end_b, both, n_tokens) -> list[str]:
+        """Text of the groups of each word: all tokens in order of group and side, each with what follows it."""
+        group_a, group_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
+        n = len(_sizes(self.paths)[0])
+        spelt_as = np.concatenate([ids_a + n * (end_a == both[group_a]), 2 * n + ids_b + self.width * (end_b == both[group_b])])
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        tokens = list(map(_spellings(self.paths).__getitem__, spelt_as[order].tolist()))
+        stops = np.cumsum(n_tokens).tolist()
+        return ["".join(tokens[i:j])[:-1] for i, j in zip([0, *stops], stops, strict=False)]
+
+    def of_texts(self, texts: list[str | None]) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+        """Entries of the distinct words of some texts, the numbers of all words in order, and where each text ends."""
+        number: defaultdict[str, int] = defaultdict()
+        number.default_factory = number.__len__
+        numbers, ends = [], []
+        for text in texts:
+            if text:
+                numbers += map(number.__getitem__, split(text))
+            ends.append(len(numbers))
+        return self.of(list(number)), np.array(numbers, dtype=np.int64), np.array(ends, dtype=np.int64)
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -177,6 +242,31 @@ def _summed(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return distinct, np.bincount(at, weights=counts, minlength=len(distinct)).astype(np.int64)
 
 
+def _unique(values: np.ndarray) -> np.ndarray:
+    """Distinct values in order; sorting is faster here than hashing."""
+    values = np.sort(values)
+    return values[np.flatnonzero(np.diff(values, prepend=values[0] - 1))] if len(values) else values
+
+
+def _distinct(entries: list[tuple], numbers: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of some texts, and in how many of them each is; texts with a word that is not given back have none."""
+    doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    lost = np.array([entry[0][0] < 0 for entry in entries], dtype=bool)
+    if lost.any():
+        kept = ~np.isin(doc, doc[lost[numbers]])
+        doc, numbers = doc[kept], numbers[kept]
+    found = _unique(doc << 32 | numbers)
+    doc, numbers = found >> 32, found & 0xFFFFFFFF
+    none = np.zeros(0, dtype=np.int64)
+    pairs = np.concatenate([none, *(none if own is None else own for _, own, _ in entries)])
+    sizes = np.array([0 if own is None else len(own) for _, own, _ in entries], dtype=np.int64)
+    n = sizes[numbers]
+    at = np.repeat((np.cumsum(sizes) - sizes)[numbers] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    in_doc = np.sort(_unique(np.repeat(doc, n) << 48 | pairs[at]) & ((1 << 48) - 1))
+    first = np.flatnonzero(np.diff(in_doc, prepend=-1))
+    return in_doc[first], np.diff(first, append=len(in_doc))
+
+
 def partial_counts(docs: DataFrame, paths: Paths) -> DataFrame:
     """First pass: ``part``, ``shard``, ``pairs`` (differences, packed) and ``counts`` of documents, packed."""
 
@@ -197,17 +287,8 @@ def partial_counts(docs: DataFrame, paths: Paths) -> DataFrame:
             return pd.DataFrame(found, columns=["part", "shard", "pairs", "counts"])
 
         for batch in batches:
-            for low in range(0, len(batch), TEXTS):
-                words = [split(text) if text else [] for text in batch["text"].iloc[low:low + TEXTS]]
-                entry = dict.fromkeys(word for some in words for word in some)
-                entry = dict(zip(entry, known.of(list(entry)), strict=True))
-                of_docs = []
-                for n, some in enumerate(words):
-                    own = [entry[word] for word in set(some)]
-                    if own and all(e[0][0] >= 0 for e in own):
-                        of_docs.append(np.concatenate([e[1] for e in own]) | n << 48)
-                if of_docs:
-                    pending.append(np.unique(np.unique(np.concatenate(of_docs)) & ((1 << 48) - 1), return_counts=True))
+            for texts in _runs(batch["text"].tolist()):
+                pending.append(_distinct(*known.of_texts(texts)))
                 if sum(len(p[0]) for p in pending) > PAIRS:
                     values, counts = _summed(*(np.concatenate([x, *(p[i] for p in pending)]) for i, x in enumerate((values, counts))))
                     pending = []
@@ -358,27 +439,29 @@ def align(docs: DataFrame, paths: Paths | None = None, keep: bool = False) -> Da
         shared = spark.sparkContext.broadcast(_Lookup(table.where(F.col("shard").isin(block)).toPandas(), best, width) if block else None)
 
         def judge(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
-            known = Alignments(paths, shared.value.judge if shared.value else None, 2, with_groups=last)
+            known = Alignments(paths, shared.value.judge if shared.value else None, with_groups=last)
             for batch in batches:
-                out = []
-                texts = batch.column("text").to_pylist()
-                for low in range(0, len(texts), TEXTS):
-                    words = [split(text) if text else [] for text in texts[low:low + TEXTS]]
-                    entry = dict.fromkeys(word for some in words for word in some)
-                    entry = dict(zip(entry, known.of(list(entry)), strict=True))
-                    for some in words:
-                        own = [entry[word] for word in some]
-                        shape = np.array([e[0] for e in own], dtype=np.int64).reshape(-1, 6)
-                        if not own or (shape[:, 0] < 0).any():
-                            out.append((*[0] * 6, "", ""))
-                            continue
-                        groups = ";".join([e[2] for e in own]) if last else ""
-                        out.append((*shape.sum(axis=0).tolist(), hashlib.sha256(groups.encode()).hexdigest(), groups))
-                columns = list(zip(*out, strict=True)) or [()] * 8
-                more = [np.array(columns[k], dtype=np.int64) + batch.column(c).to_numpy() for k, c in ((4, "n_best"), (5, "count_sum"))]
+                shapes, digests, kept = [np.zeros((0, 6), dtype=np.int64)], [], []
+                for texts in _runs(batch.column("text").to_pylist()):
+                    entries, numbers, ends = known.of_texts(texts)
+                    of_words = np.array([entry[0] for entry in entries], dtype=np.int64).reshape(-1, 6)
+                    summed = np.zeros((len(numbers) + 1, 6), dtype=np.int64)
+                    np.cumsum(of_words[numbers], axis=0, out=summed[1:])
+                    lost = np.concatenate([[0], np.cumsum(of_words[numbers, 0] < 0)])
+                    starts = ends - np.diff(ends, prepend=0)
+                    whole = (lost[ends] == lost[starts]) & (ends > starts)
+                    shapes.append(np.where(whole[:, None], summed[ends] - summed[starts], 0))
+                    if last:
+                        text_of, listed = [entry[2] for entry in entries], numbers.tolist()
+                        for i, j, ok in zip(starts.tolist(), ends.tolist(), whole.tolist(), strict=True):
+                            groups = ";".join([text_of[n] for n in listed[i:j]]) if ok else ""
+                            digests.append(hashlib.sha256(groups.encode()).hexdigest() if ok else "")
+                            kept.append(groups if keep else None)
+                columns = np.concatenate(shapes).T
+                more = [columns[k] + batch.column(c).to_numpy() for k, c in ((4, "n_best"), (5, "count_sum"))]
                 if last:
-                    found = [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in [*columns[:4], *more]), pa.array(columns[6], pa.string())]
-                    yield pa.RecordBatch.from_arrays(found + [pa.array(columns[7], pa.string())] * keep, names=names + ["groups"] * keep)
+                    found = [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in [*columns[:4], *more]), pa.array(digests, pa.string())]
+                    yield pa.RecordBatch.from_arrays(found + [pa.array(kept, pa.string())] * keep, names=names + ["groups"] * keep)
                 else:
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *(pa.array(c, pa.int64()) for c in more)],
                                                      names=["doc_id", "text", "n_best", "count_sum"])

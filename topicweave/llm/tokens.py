@@ -69,11 +69,16 @@ def _slow_plain(path: str):
     return found
 
 
-def encode_plain(text: str, paths: tuple[str, str]) -> list[int]:
+def encode_plain(text: str, paths: tuple[str, str]) -> np.ndarray:
     """Ids of a text in which the strings of special tokens are ordinary text."""
-    if _PLAIN.fullmatch(text) and not _RUN.search(text):
-        return _fast(paths[1]).encode_ordinary(text)
-    return _slow_plain(paths[0]).encode(text, add_special_tokens=False).ids
+    if is_plain(text):
+        return _fast(paths[1]).encode_to_numpy(text, disallowed_special=())
+    return np.array(_slow_plain(paths[0]).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+
+def is_plain(text: str) -> bool:
+    """Whether both libraries surely give the same ids."""
+    return bool(_PLAIN.fullmatch(text)) and not _RUN.search(text)
 
 
 @cache
