@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from dataclasses import fields
 
 import pytest
 
@@ -8,7 +9,7 @@ import brute
 from test_mining import random_topics
 from topicweave.operators import compare, mining
 from topicweave.operators.mining import mine_frequent_subgraphs
-from topicweave.plans import tables
+from topicweave.plans import jobs, tables
 
 
 @pytest.fixture
@@ -166,3 +167,13 @@ def test_common_size_of_all_pairs_with_a_common_edge(spark, as_tables):
     for r in found:
         one, two = (brute.graph_of(graphs[key]) for key in ((r["topic_x"], r["pattern_x"]), (r["topic_y"], r["pattern_y"])))
         assert r["mcs_size"] == brute.common_size(one, two)
+
+
+def test_topic_model_leaves_its_result_only(make_corpus, tmp_path, monkeypatch):
+    corpus = make_corpus(random_topics(22, 4))
+    plain = jobs.topic_model(corpus, 0.5, 0.5, 3)
+    wanted = [sorted(map(repr, getattr(plain, f.name).collect())) for f in fields(plain)]
+    monkeypatch.setattr(tables, "scratch_folder", lambda spark: str(tmp_path))
+    found = jobs.topic_model(corpus, 0.5, 0.5, 3)
+    assert {p.name.rsplit("-", 1)[0] for p in (tmp_path / "topicweave").iterdir()} == {"topics", "words", "patterns", "vertices", "edges"}
+    assert [sorted(map(repr, getattr(found, f.name).collect())) for f in fields(found)] == wanted

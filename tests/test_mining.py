@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from topicweave.operators import mining
+from topicweave.operators import mining, ranking
 from topicweave.operators.graphs import document_edges, document_vertices
 from topicweave.operators.mining import mine_frequent_subgraphs
 from topicweave.plans import tables
@@ -175,3 +175,20 @@ def test_mining_leaves_its_result_only(make_corpus, tmp_path, monkeypatch):
     left = {p.name.rsplit("-", 1)[0] for p in (tmp_path / "topicweave").iterdir()}
     assert left == {"counts", "vertices", "document_numbers", "level", "bitmaps"}
     assert result.patterns.count() and result.pattern_docs.count() and result.vertices.count()
+
+
+def test_edges_with_a_rare_end_are_not_exploded(make_corpus):
+    corpus = make_corpus(random_topics(3, 20) | {"loop": ["a a b a a", "a a", "a a b"], "one": ["x"], "none": [""]})
+    counts = ranking.min_support_count(ranking.graph_count(corpus), 0.6)
+    ranks = tables.materialise(ranking.vertex_rank(corpus, counts), "ranks")
+    found = {tuple(r) for r in ranking.possibly_frequent_edges(corpus, ranking.frequent_marks(ranks)).collect()}
+    frequent = {(r["topic"], r["v"]) for r in ranks.collect()}
+    every = {tuple(r) for r in document_edges(corpus).collect()}
+    assert found == {e for e in every if (e[0], e[2]) in frequent and (e[0], e[3]) in frequent} != every
+
+
+def test_a_full_table_of_marks_changes_nothing(make_corpus, monkeypatch):
+    corpus = make_corpus(random_topics(3, 6))
+    wanted = mined(mine_frequent_subgraphs(corpus, 0.5, 3))
+    monkeypatch.setattr(ranking, "SLOTS", 2)
+    assert mined(mine_frequent_subgraphs(corpus, 0.5, 3)) == wanted

@@ -202,3 +202,23 @@ def test_scratch_folder_is_shared(spark):
         conf = Conf()
 
     assert tables.scratch_folder(Session()) == "hdfs:/warehouse/scratch"
+
+
+def test_listing_takes_no_call_for_a_file(spark, tmp_path, monkeypatch):
+    client = spark._jvm._gateway_client
+    plain, calls = client.send_command, []
+    monkeypatch.setattr(client, "send_command", lambda *a, **k: (calls.append(1), plain(*a, **k))[1])
+    taken = []
+    for n in (3, 400):
+        _write(tmp_path / str(n), {f"t{i % 3}/{i}.txt": "x" for i in range(n)})
+        _write(tmp_path / str(n), {f"t0/sub/{i}.txt": "x" for i in range(n)})
+        calls.clear()
+        found = files.read_labelled_corpus(spark, f"{tmp_path}/{n}"), files.read_document_files(spark, f"{tmp_path}/{n}/t0")
+        taken.append(len(calls))
+        assert found[0].count() == n and found[1].count() == -(-n // 3)
+    assert abs(taken[0] - taken[1]) <= 2
+
+
+def test_files_of_other_levels_are_not_opened(spark, tmp_path):
+    _write(tmp_path, {"a/b.txt": "x", "a/deep/c.txt.gz": "opening this fails", "a/deep/deeper/d.gz": "and this"})
+    assert [r["text"] for r in files.read_documents(spark, f"{tmp_path}/a").collect()] == ["x"]

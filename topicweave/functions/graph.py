@@ -43,8 +43,17 @@ def graph_edges(tokens: Column) -> Column:
 
     A self-loop made by the very first pair counts only if it recurs.
     """
+    return F.array_distinct(_pairs(tokens, _first_pair(tokens)))
+
+
+def graph_edges_among(tokens: Column, kept: Column) -> Column:
+    """The same, of edges between tokens that are not null in ``kept``, which has a place for each token."""
+    return F.array_distinct(F.array_compact(_pairs(kept, _first_pair(tokens))))
+
+
+def _first_pair(tokens: Column) -> Column:
     opens_with_loop = F.coalesce(F.get(tokens, 0) == F.get(tokens, 1), F.lit(False))
-    return F.array_distinct(_pairs(tokens, F.when(opens_with_loop, 2).otherwise(1)))
+    return F.when(opens_with_loop, 2).otherwise(1)
 
 
 def graph_vertices(tokens: Column) -> Column:

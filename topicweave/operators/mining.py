@@ -37,7 +37,6 @@ from pyspark.sql import functions as F
 
 from topicweave.functions import bits as B
 from topicweave.operators import ranking
-from topicweave.operators.graphs import document_edges
 from topicweave.plans.tables import materialise, materialise_counting, scratch, with_position
 
 _CODE = "array<struct<i:int,j:int,a:int,b:int>>"
@@ -245,7 +244,7 @@ def mine_frequent_subgraphs(corpus: DataFrame, min_support: float, max_edges: in
         counts = keep(ranking.min_support_count(ranking.graph_count(corpus), min_support), "counts")
         ranks = keep(ranking.vertex_rank(corpus, counts) if vertices is None
                      else ranking.rank_vertices(ranking.frequent_vertices(vertices, counts)), "vertices")
-        all_edges = document_edges(corpus) if edges is None else edges
+        all_edges = ranking.possibly_frequent_edges(corpus, ranking.frequent_marks(ranks)) if edges is None else edges
         relabelled = materialise(ranking.relabelled_edges(all_edges, ranks), "relabelled")
         frequent = materialise(ranking.frequent_edges(relabelled, counts), "frequent_edges")
         doc_edges = materialise(relabelled.join(frequent.select("topic", "a", "b"), ["topic", "a", "b"], "left_semi"), "doc_edges")

@@ -10,10 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topicweave.functions import graph as G
 from topicweave.operators.graphs import document_vertices
 from topicweave.plans.tables import materialise, with_position
 
 
+#: Slots of the table of frequent tokens.
+SLOTS = 1 << 20
+
+
 def graph_count(corpus: DataFrame) -> DataFrame:
     """Graphs per topic; a document without any pair counts as a graph."""
     return corpus.groupBy("topic").agg(F.count("*").alias("n_graphs"))
@@ -68,6 +73,35 @@ def relabelled_edges(edges: DataFrame, ranks: DataFrame) -> DataFrame:
             .select("topic", "doc_id", "a", "b"))
 
 
+def frequent_marks(ranks: DataFrame) -> DataFrame:
+    """One row with ``marks``: 1 at each slot of a table of fixed size that a frequent token of some topic falls into."""
+    taken = ranks.select(_slot("topic", "v").alias("slot"), F.lit(1).cast("tinyint").alias("mark")).distinct()
+    every = ranks.sparkSession.range(SLOTS).select(F.col("id").alias("slot"), F.lit(0).cast("tinyint").alias("mark"))
+    marks = materialise(taken.unionByName(every).groupBy("slot").agg(F.max("mark").alias("mark")), "marks")
+    return materialise(marks.agg(F.sort_array(F.collect_list(F.struct("slot", "mark"))).alias("s")).select(F.col("s.mark").alias("marks")), "marks")
+
+
+def _slot(topic, token):
+    return F.pmod(F.xxhash64(topic, token), F.lit(SLOTS))
+
+
+def possibly_frequent_edges(corpus: DataFrame, marks: DataFrame) -> DataFrame:
+    """Distinct edges per document whose ends may both be frequent.
+
+    Tokens are looked up in a table of one megabyte, whatever the size of the corpus, inside the document's row. Other edges
+    are not even built; the few that get through by sharing a slot are dropped by the join with the ranks.
+    """
+    tokens = F.col("tokens")
+    kept = F.flatten(F.transform("tables", lambda table: F.transform(
+        tokens, lambda t: F.when(F.get(table, _slot(F.col("topic"), t).cast("int")) == 1, t))))
+    # the table is used in one expression only, so that no row carries it
+    docs = corpus.select("topic", "doc_id", "tokens", F.array(marks.scalar()).alias("tables"))
+    pairs = docs.select("topic", "doc_id", F.explode_outer(G.graph_edges_among(tokens, kept)).alias("pair"))
+    never_null = lambda end: F.coalesce(end, F.lit(""))
+    return pairs.where(F.col("pair").isNotNull()).select(
+        "topic", "doc_id", never_null(G.edge_source(F.col("pair"))).alias("src"), never_null(G.edge_target(F.col("pair"))).alias("dst"))
+
+
 def frequent_edges(relabelled: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Edges in at least ``min_sup`` documents, all counted in one aggregation."""
     counted = relabelled.groupBy("topic", "a", "b").agg(F.count("*").cast("int").alias("support"))

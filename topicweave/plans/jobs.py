@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from topicweave.operators.corpus import list_topics, normalise_corpus, tokenised
 from topicweave.operators.dictionary import Dictionary, build_dictionary
 from topicweave.operators.discover import discover_topics
 from topicweave.operators.mining import MiningResult, mine_frequent_subgraphs
-from topicweave.plans.tables import materialise
+from topicweave.plans.tables import materialise, scratch
 from topicweave.sources import files, reports, store, transactions
 
 
@@ -70,25 +70,27 @@ def extract_characteristics(result: MiningResult, min_distance: float,
     Topics without any pattern take part unless ``drop_patternless_topics``.
     """
     patterns, vertices, topics = result.patterns, result.vertices, result.counts.select("topic")
-    if drop_patternless_topics:
-        topics = patterns.select("topic").distinct()
-        vertices = vertices.join(topics, "topic", "left_semi")
-    words = compare.unique_words(vertices)
-    all_vertices = materialise(mining.pattern_vertices(patterns, vertices), "pattern_vertices")
-    all_edges = materialise(mining.pattern_edges(patterns, vertices), "pattern_edges")
-    nearest = compare.nearest_foreign_pattern(all_vertices, all_edges)
-    kept = compare.characteristic_patterns(nearest, min_distance)
     key = ["topic", "pattern_id"]
-    kept_patterns = materialise(patterns.join(kept, key), "characteristic_patterns")
-    return Characteristics(topics, words, kept_patterns, all_vertices.join(kept_patterns.select(*key), key),
-                           all_edges.join(kept_patterns.select(*key), key))
+    with scratch(patterns.sparkSession) as keep:
+        if drop_patternless_topics:
+            topics = patterns.select("topic").distinct()
+            vertices = vertices.join(topics, "topic", "left_semi")
+        all_vertices = materialise(mining.pattern_vertices(patterns, vertices), "pattern_vertices")
+        all_edges = materialise(mining.pattern_edges(patterns, vertices), "pattern_edges")
+        nearest = compare.nearest_foreign_pattern(all_vertices, all_edges)
+        kept = keep(patterns.join(compare.characteristic_patterns(nearest, min_distance), key), "characteristic_patterns")
+        return Characteristics(keep(topics, "topics"), keep(compare.unique_words(vertices), "unique_words"), kept,
+                               keep(all_vertices.join(kept.select(*key), key), "graph_vertices"),
+                               keep(all_edges.join(kept.select(*key), key), "graph_edges"))
 
 
 def topic_model(corpus: DataFrame, min_support: float, min_distance: float, max_edges: int | None = None,
                 drop_patternless_topics: bool = True) -> Characteristics:
-    """Mine all topics of a stored corpus and keep what is characteristic of each."""
-    return extract_characteristics(mine_frequent_subgraphs(corpus, min_support, max_edges), min_distance,
-                                   drop_patternless_topics)
+    """Mine all topics of a stored corpus and keep what is characteristic of each; the mining result goes."""
+    with scratch(corpus.sparkSession) as keep:
+        found = extract_characteristics(mine_frequent_subgraphs(corpus, min_support, max_edges), min_distance,
+                                        drop_patternless_topics)
+        return Characteristics(*(keep(getattr(found, f.name), f.name) for f in fields(found)))
 
 
 def store_characteristics(found: Characteristics, folder: str) -> None:

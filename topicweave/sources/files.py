@@ -1,11 +1,15 @@
 """Text folders as DataFrames. Any Hadoop URI works, ``file://`` included.
 
-A folder may be relative or a glob; one that matches nothing raises. Only the levels
-asked for are listed: files directly in a folder, or directly in its sub-folders.
+A folder may be relative or a glob; one that matches nothing raises. Only the level
+asked for is read: files directly in a folder, or directly in its sub-folders. Files are listed by Spark's file
+index, which drops those of other levels by their paths before any is opened; the driver's Python sees the
+folders that were asked for, never a file.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,11 +30,6 @@ def _matches(spark: SparkSession, folder: str) -> list:
     return [entry for entry in found or [] if not entry.getPath().getName().startswith(("_", "."))]
 
 
-def _children(spark: SparkSession, folder) -> list:
-    entries = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
-    return [entry for entry in entries if not entry.getPath().getName().startswith(("_", "."))]
-
-
 def _folders(spark: SparkSession, folder: str) -> list:
     found = [entry.getPath() for entry in _matches(spark, folder.rstrip("/") or "/") if entry.isDirectory()]
     if not found:
@@ -43,22 +42,19 @@ def _escaped(path) -> str:
     return "".join(f"\\{c}" if c in "{}[]*?\\" else c for c in path.toString())
 
 
-def _files_of(spark: SparkSession, folders: list) -> DataFrame:
-    """``(path, text)`` of the files directly inside some folders.
+def _depth(folder) -> int:
+    return len([part for part in folder.toUri().getPath().split("/") if part])
 
-    A folder without sub-folders is handed to Spark as it is. Of one that has some
-    only the files are, since Spark would list what is below it.
-    """
-    paths = []
+
+def _files_of(spark: SparkSession, folders: list, below: int = 1) -> DataFrame:
+    """``(path, text)`` of the files that many levels below some folders."""
+    by_depth: dict[int, list[str]] = {}
     for folder in folders:
-        entries = _children(spark, folder)
-        if any(entry.isDirectory() for entry in entries):
-            paths += [_escaped(entry.getPath()) for entry in entries if not entry.isDirectory()]
-        elif entries:
-            paths.append(_escaped(folder))
-    if not paths:
-        return spark.createDataFrame([], "path string, text string")
-    return spark.read.text(paths, wholetext=True).select(_file_path().alias("path"), F.col("value").alias("text"))
+        by_depth.setdefault(_depth(folder), []).append(_escaped(folder))
+    parts = F.size(F.split(F.regexp_replace(F.col("_metadata.file_path"), "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), "/")) - 1
+    found = [spark.read.option("recursiveFileLookup", "true").text(paths, wholetext=True).where(parts == depth + below)
+             .select(_file_path().alias("path"), F.col("value").alias("text")) for depth, paths in by_depth.items()]
+    return reduce(DataFrame.unionByName, found)
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,9 +78,7 @@ def read_labelled_corpus(spark: SparkSession, root: str) -> DataFrame:
 
     Returns ``(topic, doc_id, path, text)``; the path identifies the document.
     """
-    topics = [entry.getPath() for folder in _folders(spark, root)
-              for entry in _children(spark, folder) if entry.isDirectory()]
-    files = _files_of(spark, topics)
+    files = _files_of(spark, _folders(spark, root), below=2)
     return files.select(_path_part(F.col("path"), 2).alias("topic"), F.col("path").alias("doc_id"), "path", "text")
 
 
