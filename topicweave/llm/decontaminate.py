@@ -141,6 +141,11 @@ def _holds(passage: np.ndarray, wanted: list[int]) -> bool:
     return any(passage[i:i + len(wanted)].tolist() == wanted for i in at)
 
 
+def _entries(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from each ``begin`` on, ``n`` of them."""
+    return np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 @dataclass
 class Detector:
     """Finds the items of a block in a text. ``space`` has a row for each word and a last one of zeros."""
@@ -169,11 +174,12 @@ class Detector:
         words, self.numbers, self.places = np.array(anchors, dtype=np.int64).T
         self.first = np.searchsorted(words, np.arange(len(self.space) + 1))
 
-    def _scale(self, width: int, numbers: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Items whose windows have one width: which items each word is in, and the least weight of each item."""
+    def _scale(self, width: int, numbers: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Items whose windows have one width: which items each word is in and how often, and the least weight of each item."""
         word, column = np.array(sorted((w, i) for i, number in enumerate(numbers) for w in self.counts[number]), dtype=np.int64).T
         least = [LEAST_REWORDED * sum(self.weight[w] * n for w, n in self.counts[number].items()) for number in numbers]
-        return width, numbers, np.searchsorted(word, np.arange(len(self.space) + 1)), column, np.array(least) - 1e-9
+        whole = np.array([self.weight[w] * self.counts[numbers[i]][w] for w, i in zip(word.tolist(), column.tolist(), strict=True)])
+        return width, numbers, np.searchsorted(word, np.arange(len(self.space) + 1)), column, whole, np.array(least) - 1e-9
 
     def find(self, text: str | None) -> dict[int, tuple[float, float, bool]]:
         """Numbers of the items in a text, each with cosine, share of its words and whether its answer is there."""
@@ -209,19 +215,28 @@ class Detector:
         """Items and windows (start, width) of a text that are near each other in the space.
 
         Cosines are taken where the words around a window can have the least weight that
-        ``_verify_near`` asks for: the weights of all of them are summed up by steps of the window.
+        ``_verify_near`` asks for: the weights of all of them are summed up by steps of the window. That is done for the items
+        only that could have it with all the words that a stretch of the text has at all.
         """
         pad = 3 * max(width for width, *_ in self.scales)
         for low in range(0, len(ids), STRETCH):
             offset = max(0, low - pad)
             part = ids[offset:low + STRETCH + pad]
             at = np.flatnonzero(part >= 0)
-            for width, numbers, first, columns, least in self.scales:
-                step, k = max(1, width // 4), len(numbers)
+            present = np.flatnonzero(np.bincount(part[at], minlength=1))
+            for width, numbers, first, columns, whole, least in self.scales:
+                entry = _entries(first[present], first[present + 1] - first[present])
+                possible = np.bincount(columns[entry], whole[entry], len(numbers)) >= least
+                if not possible.any():
+                    continue
+                numbers, least, k = numbers[possible], least[possible], int(possible.sum())
+                step = max(1, width // 4)
                 begin, n = first[part[at]], first[part[at] + 1] - first[part[at]]
-                column = columns[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                entry, place, weight = _entries(begin, n), np.repeat(at // step, n), np.repeat(self.weight[part[at]], n)
+                own = possible[columns[entry]]
+                column = (np.cumsum(possible) - 1)[columns[entry[own]]]
                 steps = -(-len(part) // step)
-                weights = np.bincount(np.repeat(at // step, n) * k + column, np.repeat(self.weight[part[at]], n), steps * k)
+                weights = np.bincount(place[own] * k + column, weight[own], steps * k)
                 sums = np.zeros((steps + 1, k))
                 np.cumsum(weights.reshape(steps, k), axis=0, out=sums[1:])
                 longest = int(self.lengths[numbers].max())
