@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from topicweave.llm import licenses
@@ -25,3 +26,27 @@ def test_odd_rows_and_own_licences(spark, odd_docs, no_docs):
     assert sorted((r["doc_id"], r["license_id"]) for r in found) == [(4, "a"), (4, "a"), (5, "a")]
     plan = licenses.scan(odd_docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("name", ["Apache-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0", "CC0-1.0", "LGPL-2.1"])
+def test_whole_long_texts(make_docs, name):
+    text = next(text for i, text in LICENSES if i == name)
+    header = "Copyright 2020 Jane Doe\nCopyright Jane Doe 2021\n  Copyright: 2022 Jane Doe\n# Copyright The Some Authors\nAll rights reserved.\n"
+    docs = {1: text, 2: header + text, 3: text.replace("\n", "\r\n"), 4: text[:-200], 5: text.replace("license", "licence")}
+    found = {r["doc_id"]: r["license_id"] for r in licenses.scan(make_docs(docs)).collect()}
+    assert found == {1: name, 2: name, 3: name, 4: None, 5: name}
+
+
+@pytest.mark.parametrize("header", ["Copyright Jane Doe 2020", "Copyright: 2020 Jane Doe", "Copyright The X Authors", "COPYRIGHT 2020 JANE DOE",
+                                    "/* Copyright IBM Corp. 2001, 2002 */", "copyright (c) jane doe", "(C) 1999 x", "© x"])
+def test_header_lines_in_any_order_are_left_out(make_docs, header):
+    mit = dict(LICENSES)["MIT"]
+    found = licenses.scan(make_docs({1: f"{header}\n{mit}", 2: f"{mit}\n{header}"})).collect()
+    assert [r["license_id"] for r in found] == ["MIT", "MIT"]
+
+
+@pytest.mark.parametrize("line", ["copyright notice and this permission notice", "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM", "Copyright Holders be liable",
+                                  "copyright license to reproduce", "copyright treaty adopted on 20 December 1996", "Copyright and Related Rights"])
+def test_wrapped_lines_of_a_licence_stay(make_docs, line):
+    found = licenses.scan(make_docs({1: f"a\n{line}\nb", 2: "a\nb"})).collect()
+    assert found[0]["digest"] != found[1]["digest"]

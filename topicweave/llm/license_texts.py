@@ -1,7 +1,14 @@
-"""Known licences: short public licence texts and one-line notices, as templates without names."""
+"""Known licences: short public licence texts and one-line notices as templates without names, and whole long texts from files."""
 
 from __future__ import annotations
 
+from pathlib import Path
+
+#: Whole texts, one file a licence, named by its id.
+FOLDER = Path(__file__).parent / "licences"
+#: Fixed value: the line behind which some licences say how to apply them.
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+
 _AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO
 THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS
 OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
@@ -42,7 +49,7 @@ granted, provided that the above copyright notice and this permission notice app
 _ISC_0 = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."""
 
 #: Fixed values: (licence id, text). A text with and without its title is the same licence.
-LICENSES = [
+SHORT_TEXTS = [
     ("MIT", f"{_MIT}\n{_AS_IS}"),
     ("MIT", f"MIT License\n{_MIT}\n{_AS_IS}"),
     ("MIT", f"The MIT License (MIT)\n{_MIT}\n{_AS_IS}"),
@@ -59,3 +66,18 @@ LICENSES = [
     ("MIT-notice", "Released under the MIT License."),
     ("Apache-2.0-notice", "Licensed under the Apache License, Version 2.0."),
 ]
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """The texts of the files; also each without what follows the end of its terms, and without that line."""
+    found = []
+    for path in sorted(FOLDER.glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        found.append((path.stem, text))
+        if END_OF_TERMS in text:
+            terms = text[:text.index(END_OF_TERMS)]
+            found += [(path.stem, terms + END_OF_TERMS), (path.stem, terms)]
+    return found
+
+
+LICENSES = SHORT_TEXTS + whole_texts()
