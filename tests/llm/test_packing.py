@@ -190,3 +190,11 @@ def test_matrices_round_trip(make_docs, odd_docs, no_docs, paths, tmp_path):
         assert [x for piece in sorted(found[i]) for x in found[i][piece]] == ids_of(text, paths)
     assert sum(len(r["doc_ids"]) for r in pack_bfd.pack_matrices(odd_docs).collect()) == 11
     assert pack_bfd.pack_matrices(no_docs).count() == 0
+
+
+def test_query_digests_what_was_written(make_docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(pack_bfd, "new_path", lambda spark, name: str(tmp_path / name))
+    docs = make_docs(texts())
+    stored = pack_bfd.digests(pack_bfd.stored_matrices(docs)).collect()
+    assert (tmp_path / "matrices").is_dir()
+    assert sorted(map(str, stored)) == sorted(map(str, pack_bfd.digests(pack_bfd.pack_matrices(docs)).collect()))

@@ -8,7 +8,7 @@ takes a piece. Every row of the matrix has its ids, padded to the width, the cum
 lengths of its pieces and the position of each token in its piece.
 
 * A null or empty text is the end token alone. Repeated rows are packed like others.
-* Ties in length go by the order of the input, ties in room to the row opened first.
+* Ties in length go by the order of the input, ties in room to the row that got that room first.
 * An empty table gives no rows. Columns besides ``doc_id`` and ``text`` are not looked at.
 """
 
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from topicweave.llm.pieces import END, cut
 from topicweave.llm.tokens import encode, vocabulary
 from topicweave.llm.words import texts
+from topicweave.plans.tables import new_path
 
 WIDTH = 2048
 PAD = 0
@@ -133,6 +134,13 @@ def write_matrices(packed: DataFrame, folder: str) -> None:
     packed.write.parquet(folder)
 
 
+def stored_matrices(docs: DataFrame) -> DataFrame:
+    """The matrices of all documents, written to the scratch folder and read back."""
+    folder = new_path(docs.sparkSession, "matrices")
+    write_matrices(pack_matrices(docs), folder)
+    return docs.sparkSession.read.parquet(folder)
+
+
 def digests(packed: DataFrame) -> DataFrame:
     """The rows with checksums in place of the matrices."""
     return packed.select("shard", "row", "doc_ids", "pieces", "lengths", "cu_seqlens", "n_tokens",

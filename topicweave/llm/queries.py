@@ -40,7 +40,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packed_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_bfd.digests(pack_bfd.pack_matrices(_table(spark, sf_dir, "documents")))
+    return pack_bfd.digests(pack_bfd.stored_matrices(_table(spark, sf_dir, "documents")))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
