@@ -451,6 +451,11 @@ def oracles(s: Settings = Settings()) -> dict[str, str]:
         "store_edges": build("SELECT topic, pattern_id, src, dst FROM keptg JOIN pe USING (topic, pattern_id)",
                              "keptg", "pe"),
         "mining_tables": build(patterns_sql.format(p=""), "pat"),
+        "mining_result_tables": build("""
+            SELECT 'counts' AS part, topic, 'least ' || min_sup AS label, n_graphs AS n FROM counts
+            UNION ALL SELECT 'vertices', topic, rank || ' ' || v, df FROM ranks
+            UNION ALL SELECT 'patterns', topic, n_edges || ' ' || pattern_id, support FROM pat
+            UNION ALL SELECT 'pattern_docs', topic, pattern_id, unnest(docs) FROM pat""", "counts", "ranks", "pat"),
         "pattern_report": build(report(
             "totals", "ranks", "pat", "n_w > 0", "true",
             f"""SELECT topic, 3, graph_no, 1, path FROM pat JOIN paths USING (topic, pattern_id)
@@ -463,6 +468,12 @@ def oracles(s: Settings = Settings()) -> dict[str, str]:
         "word_budget": build("SELECT topic, v, df, rank FROM budget", "budget"),
         "dimensions": build("SELECT dim_id, topic_id, kind, label, n_elements FROM dims JOIN nels USING (dim_id, topic_id)",
                             "dims", "nels"),
+        "dictionary_tables": build("""
+            SELECT 'topics' AS part, topic_id AS of, topic AS label, 1::BIGINT AS n FROM tids
+            UNION ALL SELECT 'dimensions', dim_id, topic_id || ' ' || kind || ' ' || label, n_elements
+                      FROM dims JOIN nels USING (dim_id, topic_id)
+            UNION ALL SELECT 'elements', dim_id, x || coalesce(' > ' || y, ''), 1 FROM els
+            UNION ALL SELECT 'topic_vectors', topic_id, 'from ' || first_dim, n_dims FROM tvec""", "tids", "dims", "nels", "els", "tvec"),
         "topic_vectors": build(
             "SELECT topic_id, " + vec(("(SELECT count(*) FROM dims)",
                                        "(d >= first_dim AND d < first_dim + n_dims)::INTEGER::VARCHAR"), ", ")

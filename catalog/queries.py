@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.settings import Settings
@@ -540,6 +540,22 @@ def mining_tables(w: Workspace) -> DataFrame:
     return _patterns(store.read_mining_result(w.spark, folder))
 
 
+@query
+def mining_result_tables(w: Workspace) -> DataFrame:
+    """All four tables of a stored mining result, read back."""
+    folder = w.new_path("mining")
+    store.write_mining_result(w.mined, folder)
+    found = store.read_mining_result(w.spark, folder)
+
+    def rows(part: str, table: DataFrame, label: Column, n: str) -> DataFrame:
+        return table.select(F.lit(part).alias("part"), "topic", label.alias("label"), F.col(n).cast("long").alias("n"))
+
+    return (rows("counts", found.counts, F.format_string("least %d", "min_sup"), "n_graphs")
+            .unionByName(rows("vertices", found.vertices, F.format_string("%d %s", "rank", "v"), "df"))
+            .unionByName(rows("patterns", found.patterns, F.format_string("%d %s", "n_edges", "pattern_id"), "support"))
+            .unionByName(rows("pattern_docs", found.pattern_docs, F.col("pattern_id"), "doc_id")))
+
+
 @query
 def pattern_report(w: Workspace) -> DataFrame:
     return longs(reports.mining_report(w.mined), "section")
@@ -585,6 +601,22 @@ def dimensions(w: Workspace) -> DataFrame:
     return longs(store.read_dictionary(w.spark, folder).dimensions, "n_elements")
 
 
+@query
+def dictionary_tables(w: Workspace) -> DataFrame:
+    """All four tables of a stored dictionary, read back."""
+    folder = w.new_path("dictionary")
+    store.write_dictionary(w.dictionary, folder)
+    found = store.read_dictionary(w.spark, folder)
+
+    def rows(part: str, table: DataFrame, of: str, label: Column, n: Column) -> DataFrame:
+        return table.select(F.lit(part).alias("part"), F.col(of).alias("of"), label.alias("label"), n.cast("long").alias("n"))
+
+    return (rows("topics", found.topics, "topic_id", F.col("topic"), F.lit(1))
+            .unionByName(rows("dimensions", found.dimensions, "dim_id", F.format_string("%d %s %s", "topic_id", "kind", "label"), F.col("n_elements")))
+            .unionByName(rows("elements", found.elements, "dim_id", F.replace("element", F.lit("\n"), F.lit(" > ")), F.lit(1)))
+            .unionByName(rows("topic_vectors", found.topic_vectors, "topic_id", F.format_string("from %d", "first_dim"), F.col("n_dims"))))
+
+
 @query
 def topic_vectors(w: Workspace) -> DataFrame:
     """Full 0/1 topic vectors."""
