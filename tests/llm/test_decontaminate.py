@@ -132,3 +132,12 @@ def test_reordered_and_reworded_items_are_found(spark, make_docs):
     assert found <= planted
     assert {p for p in planted if p[0] < 2000} <= found
     assert len([p for p in found if p[0] >= 2000]) >= 18
+
+
+def test_item_deep_in_a_very_long_text(spark, make_docs):
+    docs, items, _ = world()[0], world()[1], None
+    rng = random.Random(9)
+    filler = [f"v{rng.randrange(5000)}" for _ in range(60_000)]
+    long = " ".join(filler[:40_000] + items[3].split() + filler[40_000:])
+    found = decontaminate.find_items(make_docs({9000: long, 9001: " ".join(filler)} | docs), as_items(spark, items)).collect()
+    assert {r["item_id"] for r in found if r["doc_id"] == 9000} == {3} and not any(r["doc_id"] == 9001 for r in found)

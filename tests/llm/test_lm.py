@@ -144,3 +144,11 @@ def test_packed_keys_and_counts_come_back():
             counts = rng.integers(0, top, n)
             assert (lm._unpack_counts(lm._pack_counts(counts)) == counts).all()
     assert len(lm._pack_keys(keys)) < 0.85 * keys.nbytes
+
+
+def test_very_long_text_and_clashing_names(make_docs):
+    rng = random.Random(7)
+    text = " ".join(f"w{rng.randrange(300)}" for _ in range(100_000))
+    docs = make_docs({1: text, 2: "w1 w2", 3: "w3"}, tokens="x", score="y", chunk="z", kind="k", ids="i")
+    found = {r["doc_id"]: r for r in lm.score(docs).collect()}
+    assert found[1]["n_tokens"] == 100_001 and found[2]["n_tokens"] == 3 and all(r["score"] < 0 for r in found.values())

@@ -46,3 +46,14 @@ def test_pipeline_takes_an_empty_table(spark, no_docs):
     for name, stage in corpus_pipeline.STAGES:
         docs = materialise(stage(spark, docs, SMALL), name)
         assert docs.isEmpty()
+
+
+def test_pipeline_takes_odd_rows(spark, odd_docs):
+    docs = odd_docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = materialise(stage(spark, docs, SMALL), name)
+        assert kept.columns == docs.columns
+        docs = kept
+    assert {r["doc_id"] for r in docs.collect()} >= {6}
+    rows = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
+    assert len(rows) == docs.count()

@@ -68,3 +68,28 @@ def test_copy_whose_fingerprint_is_far_goes(make_docs):
     assert (bits[0] ^ bits[1]).bit_count() > 2
     kept = simhash.keep_first(make_docs({1: " ".join(base), 2: "\n".join(copy)})).collect()
     assert [r["doc_id"] for r in kept] == [1]
+
+
+def test_very_long_texts(make_docs, monkeypatch):
+    rng = random.Random(3)
+    found = [f"w{rng.randrange(40_000)}" for _ in range(120_000)]
+    near = found[:60_000] + ["changed"] + found[60_001:]
+    other = [f"w{rng.randrange(40_000)}" for _ in range(120_000)]
+    docs = make_docs({1: " ".join(found), 2: " ".join(near), 3: " ".join(other), 4: "short text"})
+    assert sorted(r["doc_id"] for r in simhash.keep_first(docs).collect()) == [1, 3, 4]
+
+
+def test_few_marks_change_nothing(make_docs, monkeypatch):
+    docs = make_docs(near_copies())
+    wanted = sorted(r["doc_id"] for r in simhash.keep_first(docs).collect())
+    monkeypatch.setattr(shingle_join, "BITS", 64)
+    assert sorted(r["doc_id"] for r in simhash.keep_first(docs).collect()) == wanted
+
+
+def test_tables_go_when_they_are_read(make_docs, monkeypatch, tmp_path):
+    from topicweave.plans import tables
+
+    monkeypatch.setattr(tables, "scratch_folder", lambda spark: str(tmp_path))
+    kept = simhash.keep_first(make_docs(near_copies()))
+    assert [p.name.rsplit("-", 1)[0] for p in (tmp_path / "topicweave").iterdir()] == ["near_copies"]
+    assert kept.count()

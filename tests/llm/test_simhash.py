@@ -90,3 +90,10 @@ def test_documents(make_docs, odd_docs, no_docs):
     kept = simhash.keep_first(odd_docs)
     assert kept.columns == odd_docs.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "4", "4", "6", "7", "9", "None"]
+
+
+def test_very_long_text(make_docs):
+    rng = random.Random(5)
+    text = " ".join(f"w{rng.randrange(500)}" for _ in range(150_000))
+    found = {r["doc_id"]: r for r in simhash.label_documents(make_docs({1: text, 2: text.upper(), 3: "a b"})).collect()}
+    assert int(found[1]["fingerprint"], 16) == slow_fingerprint(text) and found[2]["component_id"] == 1

@@ -24,6 +24,9 @@ counted over all documents, and the decomposition is fitted on the passages of a
 * A null or empty text holds no item; a null or empty item is in no document.
 * Repeated rows are judged one by one. Items with equal texts are all reported.
 * Long texts are searched whole. An empty table on either side gives no rows.
+* Of several places of one item the one with the largest share of its words is reported, then the one with the larger cosine.
+  Words of equal frequency are in the order in which the items have them.
+* Other columns are not read, whatever their names; the stage that drops documents hands them on as they are.
 """
 
 from __future__ import annotations

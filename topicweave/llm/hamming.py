@@ -11,7 +11,7 @@ is met in several steps counts in the first one only, which its bits alone tell.
   with its ``k`` smallest ids and the number of its rows, so a code that very many
   rows have is no hot key. A query is among its own neighbours.
 * Null and empty vectors have no code: they are neither queries nor neighbours.
-* With fewer than ``k`` rows all are neighbours; an empty table gives no rows.
+* With fewer than ``k`` rows all are neighbours; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations

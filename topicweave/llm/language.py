@@ -9,6 +9,8 @@ is the language of the text, their share of all letters is the score.
 * Words without letters fit every language and belong to the span around them.
 * With no labelled row at all nothing is learned and every text is ``und``.
 * Repeated rows are labelled one by one; ties go to the language first in the alphabet.
+* Very long texts are labelled whole. An empty table gives no rows. Other columns are not read, whatever their names;
+  the stage that drops documents hands them on as they are.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ weights, a histogram whose size does not depend on the corpus.
 * Null and blank texts have one token, the end of the text. Long texts are a chunk.
 * Repeated rows are counted and scored like any other rows.
 * Rows with a null id are trained on. An empty table gives no rows.
-* Words are told apart by 64-bit hashes.
+* Words are told apart by 64-bit hashes. Held-out tokens with equal odds are one entry; nothing else has ties.
+* Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

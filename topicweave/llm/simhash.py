@@ -16,6 +16,8 @@ smallest of each meeting loses no connection.
   zero and are linked like any other.
 * Repeated rows and equal texts have equal fingerprints and so the same component.
 * Rows with a null id get a fingerprint and the component of their fingerprint.
+* A bit that half of the shingles have is 0. Very long texts are counted block by block. An empty table gives no rows.
+* Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ and logs the bytes in between as a quarantined gap.
   all responses. A null id is written as ``-`` and read as null; it refers to and is
   referred to like any other, and is never the smallest unless all are null.
 * A null url has no target line; white space in urls is escaped.
-* No pages give no record; an empty archive has neither records nor gaps.
+* No pages give no record; an empty archive has neither records nor gaps. Other columns are not read.
 * A file is read by one task: ``RECORDS`` bounds the size of those written here.
 """
 
