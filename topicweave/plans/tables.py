@@ -27,9 +27,14 @@ def scratch_folder(spark: SparkSession) -> str:
     """Shared folder for intermediate tables, as named by the session.
 
     Without ``spark.checkpoint.dir`` it lies in the session's warehouse, the other
-    folder that every executor reaches.
+    folder that every executor reaches; on a cluster that must not be a folder of one machine.
     """
-    folder = spark.conf.get(_CHECKPOINT_DIR, None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
+    folder = spark.conf.get(_CHECKPOINT_DIR, None)
+    if not folder:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if warehouse.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {_CHECKPOINT_DIR}: {warehouse} is a folder of one machine")
+        folder = f"{warehouse}/scratch"
     return folder.rstrip("/")
 
 
