@@ -31,6 +31,9 @@ WIDTH = 2048
 PAD = 0
 #: Tokens of a shard; bounds the memory of a task.
 SHARD = 4_000_000
+#: Rows of the matrices that leave a task at once, and bytes that a writer holds back.
+ROWS = 128
+WRITTEN = 16 << 20
 
 
 class RoomTree:
@@ -99,7 +102,8 @@ def pack_matrices(docs: DataFrame, width: int = WIDTH, end: int = END, pad: int
     """
     paths = paths or vocabulary()
 
-    def shard_rows(number: int, parts: list[tuple[object, int, np.ndarray]]) -> pd.DataFrame:
+    def shard_rows(number: int, parts: list[tuple[object, int, np.ndarray]]) -> Iterator[pd.DataFrame]:
+        names = [field.split()[0] for field in _SCHEMA.split(", ")]
         lengths = [len(ids) for _, _, ids in parts]
         out = []
         for row, members in enumerate(best_fit_decreasing(lengths, width)):
@@ -110,7 +114,11 @@ def pack_matrices(docs: DataFrame, width: int = WIDTH, end: int = END, pad: int
             positions[:ends[-1]] = np.arange(ends[-1]) - np.repeat(ends[:-1], own)
             out.append((number, row, [parts[i][0] for i in members], [parts[i][1] for i in members], own,
                         ends.tolist(), int(ends[-1]), ids.tobytes(), positions.tobytes()))
-        return pd.DataFrame(out, columns=[field.split()[0] for field in _SCHEMA.split(", ")])
+            if len(out) == ROWS:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=names)
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number, parts, size = TaskContext.get().partitionId() << 24, [], 0
@@ -121,17 +129,17 @@ def pack_matrices(docs: DataFrame, width: int = WIDTH, end: int = END, pad: int
                 parts += [(doc_id, i, ids[start:start + n]) for i, (start, n) in enumerate(cut(len(ids), width))]
                 size += len(ids)
                 if size >= SHARD:
-                    yield shard_rows(number, parts)
+                    yield from shard_rows(number, parts)
                     number, parts, size = number + 1, [], 0
         if parts:
-            yield shard_rows(number, parts)
+            yield from shard_rows(number, parts)
 
     return texts(docs).mapInPandas(build, _SCHEMA.format(docs.schema["doc_id"].dataType.simpleString()))
 
 
 def write_matrices(packed: DataFrame, folder: str) -> None:
     """Write packed rows; ``ids`` of a file in order are its id matrix."""
-    packed.write.parquet(folder)
+    packed.write.option("parquet.block.size", WRITTEN).parquet(folder)
 
 
 def stored_matrices(docs: DataFrame) -> DataFrame:
