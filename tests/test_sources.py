@@ -222,3 +222,19 @@ def test_listing_takes_no_call_for_a_file(spark, tmp_path, monkeypatch):
 def test_files_of_other_levels_are_not_opened(spark, tmp_path):
     _write(tmp_path, {"a/b.txt": "x", "a/deep/c.txt.gz": "opening this fails", "a/deep/deeper/d.gz": "and this"})
     assert [r["text"] for r in files.read_documents(spark, f"{tmp_path}/a").collect()] == ["x"]
+
+
+def test_bundles_are_read_like_files(spark, tmp_path):
+    texts = {("t", "1"): "a\n\nb", ("t", "2"): "", ("u", "1"): "c\r\n--x\n", ("u", "3"): "d", ("u", "4"): None}
+    docs = spark.createDataFrame([(t, n, x) for (t, n), x in texts.items()] + [("t", str(i), f"w{i}") for i in range(10, 500)],
+                                 "topic string, name string, text string").coalesce(2)
+    boundary = files.new_boundary()
+    files.write_bundles(docs, f"{tmp_path}/in", boundary)
+    found = files.read_labelled_corpus(spark, f"{tmp_path}/in", boundary).collect()
+    assert len({r["doc_id"] for r in found}) == len(found) == 495
+    assert len(list((tmp_path / "in").glob("*/*.txt"))) <= 4
+    named = {(r["topic"], r["path"].rsplit("#", 1)[1]): r["text"] for r in found}
+    assert all(named[f"topic={t}", n] == (x or "") + "\n" for (t, n), x in texts.items())
+    one = {r["doc_id"]: r["text"] for r in files.read_document_files(spark, f"{tmp_path}/in/topic=u", boundary).collect()}
+    assert one == {"1": "c\r\n--x\n\n", "3": "d\n", "4": "\n"}
+    assert files.read_documents(spark, f"{tmp_path}/in/topic=u", boundary).count() == 3
