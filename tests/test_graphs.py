@@ -4,6 +4,9 @@ import json
 import random
 
 import brute
+from pyspark.sql import functions as F
+
+from topicweave.functions import graph as G
 from topicweave.operators import graphs, ranking
 
 
@@ -58,3 +61,18 @@ def test_building_a_graph_needs_no_shuffle(make_corpus):
     for df in (graphs.document_edges(corpus), graphs.document_vertices(corpus)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and plan.count("array_distinct") == 1
+
+
+def test_graphs_of_documents_need_no_shuffle(spark, make_corpus):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("a b c d e f gg hh".split(), k=rng.randrange(0, 40))) for _ in range(40)] + ["", "a", "a a", "a a a", "a a b a a"]
+    corpus = make_corpus({"t": texts, "u": texts[::-1]})
+    vertices, edges = graphs.document_vertices(corpus), graphs.document_edges(corpus)
+    for narrow, wide in ((graphs.document_adjacency(corpus), graphs.adjacency(vertices, edges)),
+                         (graphs.document_matrix(corpus), graphs.graph_to_matrix(vertices, edges))):
+        assert "Exchange" not in narrow._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, narrow.collect())) == sorted(map(str, wide.collect()))
+    lines = corpus.select("doc_id", "topic", F.array_join(G.transaction_lines(F.col("tokens")), "|").alias("lines"))
+    found = {(r["topic"], r["doc_id"]): r["lines"] for r in lines.collect()}
+    assert found["t", 44] == "v 0 a|v 1 b|e 0 1 0|e 1 0 0|e 0 0 0"
+    assert found["t", 43] == "v 0 a|e 0 0 0" and found["t", 42] == "v 0 a" and found["t", 40] == ""

@@ -238,3 +238,15 @@ def test_bundles_are_read_like_files(spark, tmp_path):
     one = {r["doc_id"]: r["text"] for r in files.read_document_files(spark, f"{tmp_path}/in/topic=u", boundary).collect()}
     assert one == {"1": "c\r\n--x\n\n", "3": "d\n", "4": "\n"}
     assert files.read_documents(spark, f"{tmp_path}/in/topic=u", boundary).count() == 3
+
+
+def test_transactions_are_read_in_the_row(spark, tmp_path):
+    (tmp_path / "g.txt").write_text("t # 1\nv 0 a\nv 1 b\ne 0 1 x\ne 0 1 y\ne 1 1 x\nt # 2\nv 7 c\nv x d\nv 07 e\ne 7 x 0\ne 07 7 0\ne 7 nobody 0\n"
+                                    "t # 3\nt # -1\nt # 4\nv 0 z\nv 1 y\ne 0 1 0\n")
+    found = transactions.read_transaction_edges(spark, str(tmp_path))
+    wide = transactions.transaction_edges(transactions.read_graph_transactions(spark, str(tmp_path)))
+    rows = sorted(tuple(r)[1:] for r in found.collect())
+    assert rows == [("1", "a", "b"), ("1", "b", "b"), ("2", "c", "d"), ("2", "e", "c")] == sorted(tuple(r)[1:] for r in wide.collect())
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    vertices = transactions.read_transaction_vertices(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r)[1:] for r in vertices) == [("1", "a"), ("1", "b"), ("2", "c"), ("2", "d"), ("2", "e")]

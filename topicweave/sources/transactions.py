@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from topicweave.functions import graph as G
+from topicweave.plans.tables import materialise
 from topicweave.sources.files import _file_path
 
 
@@ -16,8 +18,7 @@ def _graphs(spark: SparkSession, path: str) -> DataFrame:
                  F.monotonically_increasing_id().alias("row")).alias("place"),
         F.regexp_replace("value", r"\At # ", "").alias("value"))
     graphs = chunks.withColumn("graph_id", F.regexp_extract("value", r"\A\s*(\S+)", 1)).where("graph_id <> ''")
-    ends = (graphs.where(F.col("graph_id") == "-1")
-            .groupBy("path").agg(F.min("place").alias("end_place")))
+    ends = materialise(graphs.where(F.col("graph_id") == "-1").groupBy("path").agg(F.min("place").alias("end_place")), "file_ends")
     return (graphs.join(ends, "path", "left")
             .where(F.col("end_place").isNull() | (F.col("place") < F.col("end_place"))))
 
@@ -64,3 +65,33 @@ def transaction_edges(items: DataFrame) -> DataFrame:
     dst = labels.withColumnsRenamed({"id": "to_id", "v": "dst"})
     return (arcs.join(src, [*graph, "from_id"]).join(dst, [*graph, "to_id"])
             .select(F.col("path").alias("topic"), F.col("graph_id").alias("doc_id"), "src", "dst").distinct())
+
+
+def _items(value: Column, kind: str) -> Column:
+    lines = F.filter(F.split(value, r"\r?\n"), lambda line: line.startswith(f"{kind} "))
+    return F.transform(lines, lambda line: F.split(line, " "))
+
+
+def _label(labels: Column, vertex_id: Column) -> Column:
+    """Label of a vertex id: at its own place where ids count from 0, else looked for."""
+    at_place = G.let(F.get(labels, vertex_id.try_cast("int")),
+                     lambda found: F.when(found["id"] == vertex_id, found["v"]))
+    ids = F.transform(labels, lambda one: one["id"])
+    return F.coalesce(at_place, F.get(labels, F.array_position(ids, vertex_id).cast("int") - 1)["v"])
+
+
+def read_transaction_edges(spark: SparkSession, path: str) -> DataFrame:
+    """``(topic, doc_id, src, dst)`` of all graphs of transaction files, resolved inside the row of each graph."""
+    value = F.col("value")
+    labels = F.transform(_items(value, "v"), lambda item: F.struct(F.get(item, 1).alias("id"), F.get(item, 2).alias("v")))
+    arcs = G.let(labels, lambda known: F.array_distinct(F.array_compact(F.transform(
+        _items(value, "e"), lambda item: G.edge(_label(known, F.get(item, 1)), _label(known, F.get(item, 2)))))))
+    pairs = _graphs(spark, path).select(F.col("path").alias("topic"), F.col("graph_id").alias("doc_id"), F.explode_outer(arcs).alias("pair"))
+    return pairs.where(F.col("pair").isNotNull()).select(
+        "topic", "doc_id", G.edge_source(F.col("pair")).alias("src"), G.edge_target(F.col("pair")).alias("dst"))
+
+
+def read_transaction_vertices(spark: SparkSession, path: str) -> DataFrame:
+    """``(topic, doc_id, v)`` of all graphs of transaction files."""
+    labels = F.array_distinct(F.array_compact(F.transform(_items(F.col("value"), "v"), lambda item: F.get(item, 2))))
+    return _graphs(spark, path).select(F.col("path").alias("topic"), F.col("graph_id").alias("doc_id"), F.explode(labels).alias("v"))
