@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from topicweave.llm import shingle_join, simhash
@@ -93,3 +94,12 @@ def test_tables_go_when_they_are_read(make_docs, monkeypatch, tmp_path):
     kept = simhash.keep_first(make_docs(near_copies()))
     assert [p.name.rsplit("-", 1)[0] for p in (tmp_path / "topicweave").iterdir()] == ["near_copies"]
     assert kept.count()
+
+
+def test_sketches_lose_no_pair():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        x = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 3000)).astype(np.uint64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.9], rng.integers(0, 1 << 63, 40).astype(np.uint64)]))
+        apart = sum(int(v).bit_count() for v in (shingle_join.sketch(x) ^ shingle_join.sketch(y)).view(np.uint64))
+        assert apart <= len(np.setxor1d(x, y)) and (apart - len(np.setxor1d(x, y))) % 2 == 0

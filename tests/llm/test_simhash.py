@@ -97,3 +97,22 @@ def test_very_long_text(make_docs):
     text = " ".join(f"w{rng.randrange(500)}" for _ in range(150_000))
     found = {r["doc_id"]: r for r in simhash.label_documents(make_docs({1: text, 2: text.upper(), 3: "a b"})).collect()}
     assert int(found[1]["fingerprint"], 16) == slow_fingerprint(text) and found[2]["component_id"] == 1
+
+
+def test_near_copies_start_from_fingerprints(spark, make_docs, monkeypatch):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(4000)}" for _ in range(600)]
+    texts = {1: " ".join(base), 2: " ".join([*base, "end"]), 3: " ".join(["new", *base]), 4: " ".join(base[60:]),
+             5: " ".join(f"v{rng.randrange(4000)}" for _ in range(600)), 6: " ".join(base)}
+    docs = make_docs(texts)
+    pairs = {frozenset((r["x"], r["y"])) for r in simhash.likely_copies(docs).collect()}
+    number = {r["c"]: r["doc_id"] for r in docs.where("doc_id < 6").select("doc_id", simhash.text_class().alias("c")).collect()}
+    bits = {i: slow_fingerprint(t) for i, t in texts.items() if i < 6}
+    near = {frozenset((i, j)) for i in bits for j in bits if i < j and (bits[i] ^ bits[j]).bit_count() <= 2}
+    found = {frozenset(number[c] for c in pair) for pair in pairs}
+    assert found and found <= near
+    given = []
+    plain = simhash.later_copies
+    monkeypatch.setattr(simhash, "later_copies", lambda docs, likely: (given.append(likely.count()), plain(docs, likely))[1])
+    assert {r["doc_id"] for r in simhash.keep_first(docs).collect()} == {1, 5}
+    assert given == [len(pairs)]

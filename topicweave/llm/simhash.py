@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicweave.llm.components import components
-from topicweave.llm.shingle_join import later_copies
+from topicweave.llm.shingle_join import later_copies, text_class
 from topicweave.llm.words import texts, words
-from topicweave.plans.tables import materialise
+from topicweave.plans.tables import materialise, scratch
 
 SHINGLE = 3
 SEED = 42
@@ -125,11 +125,26 @@ def label_documents(docs: DataFrame) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def likely_copies(docs: DataFrame) -> DataFrame:
+    """Pairs ``x``, ``y`` of text classes (``shingle_join``) with linked fingerprints, each text with the smallest one of its fingerprint."""
+    named = docs.select(text_class().alias("doc_id"), "text")
+    marked = materialise(fingerprints(named).withColumnRenamed("doc_id", "class").distinct(), "text_fingerprints")
+    least = materialise(marked.groupBy("bits").agg(F.min("class").alias("least")), "distinct_fingerprints")
+    same = marked.join(least, "bits").where("class != least").select("class", "least")
+    a, b = (least.select(F.col("bits").alias(side), F.col("least").alias(f"{side}_class")) for side in ("a", "b"))
+    near = fingerprint_links(least.select("bits")).join(a, "a").join(b, "b").select("a_class", "b_class")
+    both = same.toDF("p", "q").unionByName(near.toDF("p", "q"))
+    return both.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct()
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies: that with the smallest id. All columns stay.
 
-    Fingerprints of copies with a Jaccard similarity of 0.8 can differ in any number of
-    bits, so the groups come from the exact join of ``shingle_join``. Of repeated rows with one
-    id all stay or go together, and rows with a null id stay.
+    Near copies have a Jaccard similarity of 0.8 or more. The pairs come from the fingerprints first and are verified exactly;
+    since copies of that similarity can differ in any number of bits, the exact join of ``shingle_join`` adds those that the
+    fingerprints do not connect. Of repeated rows with one id all stay or go together, and rows with a null id stay.
     """
-    return docs.join(later_copies(docs), "doc_id", "left_anti")
+    with scratch(docs.sparkSession) as keep:
+        with scratch(docs.sparkSession) as keep_likely:
+            likely = keep_likely(likely_copies(docs), "likely_copies")
+        return docs.join(keep(later_copies(docs, likely), "near_copies"), "doc_id", "left_anti")
