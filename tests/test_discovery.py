@@ -168,3 +168,17 @@ def test_distances_by_bits_equal_those_by_counts(spark):
     pairs = spark.createDataFrame(list(counted), "doc_id long, topic_id long")
     by_bits = bitmap_distances(pairs, document_bitmaps(dims), topic_bitmaps(dictionary)).collect()
     assert {(r["doc_id"], r["topic_id"]): r["distance"] for r in by_bits} == counted
+
+
+def test_graphs_of_documents_are_built_of_known_tokens_only(spark, monkeypatch):
+    from topicweave.operators import dictionary as operators
+    written = []
+    plain = operators.materialise
+    monkeypatch.setattr(operators, "materialise", lambda df, name: (written.append(name), plain(df, name))[1])
+    dictionary = make_dictionary(spark, WORDS, GRAPHS)
+    docs = corpus_of(spark, ["oil gas x y", "gas oil", "x y", "oil", "", "a a oil oil"])
+    known = {r["doc_id"]: sorted(r["elements"]) for r in operators.known_elements(docs, dictionary.elements).collect()}
+    assert known == {0: ["gas", "oil", "oil\ngas"], 1: ["gas", "gas\noil", "oil"], 2: [], 3: [], 4: [], 5: ["oil", "oil\noil"]}
+    found = sorted((r["doc_id"], r["dim_id"]) for r in document_dimensions(docs, dictionary).collect())
+    assert found == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (5, 0)]
+    assert written.count("known_elements") == 1

@@ -192,3 +192,10 @@ def test_a_full_table_of_marks_changes_nothing(make_corpus, monkeypatch):
     wanted = mined(mine_frequent_subgraphs(corpus, 0.5, 3))
     monkeypatch.setattr(ranking, "SLOTS", 2)
     assert mined(mine_frequent_subgraphs(corpus, 0.5, 3)) == wanted
+
+
+def test_tokens_are_looked_up_once(make_corpus):
+    corpus = make_corpus(random_topics(2, 5))
+    ranks = tables.materialise(ranking.vertex_rank(corpus, ranking.min_support_count(ranking.graph_count(corpus), 0.6)), "ranks")
+    plan = ranking.possibly_frequent_edges(corpus, ranking.frequent_marks(ranks))._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Scan parquet")[0].count("xxhash64(") == 1
