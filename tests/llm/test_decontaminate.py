@@ -141,3 +141,12 @@ def test_item_deep_in_a_very_long_text(spark, make_docs):
     long = " ".join(filler[:40_000] + items[3].split() + filler[40_000:])
     found = decontaminate.find_items(make_docs({9000: long, 9001: " ".join(filler)} | docs), as_items(spark, items)).collect()
     assert {r["item_id"] for r in found if r["doc_id"] == 9000} == {3} and not any(r["doc_id"] == 9001 for r in found)
+
+
+def test_words_are_numbered_once(spark, make_docs, monkeypatch):
+    docs, items, planted = world()
+    written, plain = [], decontaminate.materialise
+    monkeypatch.setattr(decontaminate, "materialise", lambda df, name: (written.append(name), plain(df, name))[1])
+    found = decontaminate.find_items(make_docs(docs, ids="x"), as_items(spark, items))
+    assert written == ["word_numbers"] and "text" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == planted

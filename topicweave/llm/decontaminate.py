@@ -35,6 +35,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -43,6 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicweave.llm.words import texts
+from topicweave.plans.tables import materialise
 
 #: Items that are searched for at once.
 BLOCK = 10_000
@@ -52,7 +54,7 @@ OVERSAMPLED = 8
 PASSAGE = 64
 #: Texts and passages that are multiplied at once.
 TEXTS = 256
-PASSAGES = 1024
+PASSAGES = 256
 #: Rare words of an item that a passage has to have, where the item is long enough.
 ANCHORS = 3
 #: Least cosine of a candidate.
@@ -117,8 +119,13 @@ class Benchmark:
 
     def ids(self, text: str | None) -> np.ndarray:
         """Words of a text as numbers; -1 for words of no item."""
-        get = self.vocabulary.get
-        return np.array([get(word, -1) for word in plain_words(text)], dtype=np.int64)
+        found = plain_words(text)
+        return np.fromiter(map(self.vocabulary.get, found, repeat(-1)), dtype=np.int64, count=len(found))
+
+    @property
+    def stored(self) -> str:
+        """The type in which the numbers are stored."""
+        return "<i2" if len(self.vocabulary) < 1 << 15 else "<i4"
 
 
 def common_subsequence(masks: dict[int, int], length: int, passage: list[int]) -> int:
@@ -186,7 +193,10 @@ class Detector:
 
     def find(self, text: str | None) -> dict[int, tuple[float, float, bool]]:
         """Numbers of the items in a text, each with cosine, share of its words and whether its answer is there."""
-        ids = self.benchmark.ids(text)
+        return self.find_ids(self.benchmark.ids(text))
+
+    def find_ids(self, ids: np.ndarray) -> dict[int, tuple[float, float, bool]]:
+        """The same in a text given as the numbers of its words."""
         at = np.flatnonzero(ids >= 0)
         begin, n = self.first[ids[at]], np.diff(self.first)[ids[at]]
         at, begin, n = at[n > 0], begin[n > 0], n[n > 0]
@@ -302,40 +312,54 @@ class Detector:
         return best
 
 
-def _frequencies(docs: DataFrame, benchmark: Benchmark) -> tuple[np.ndarray, int]:
-    """In how many documents each word of the benchmark is; the number of documents."""
+def numbered(docs: DataFrame, benchmark: Benchmark) -> DataFrame:
+    """``doc_id`` and ``ids``, the numbers of all words of each text, written once for all passes over the documents."""
     shared = docs.sparkSession.sparkContext.broadcast(benchmark)
 
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        benchmark = shared.value
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [benchmark.ids(text).astype(benchmark.stored).tobytes() for text in batch["text"]]})
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return materialise(texts(docs).mapInPandas(number, f"doc_id {id_type}, ids binary"), "word_numbers")
+
+
+def _frequencies(stored: DataFrame, benchmark: Benchmark) -> tuple[np.ndarray, int]:
+    """In how many documents each word of the benchmark is; the number of documents."""
+    size, kind = len(benchmark.vocabulary), benchmark.stored
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(shared.value.vocabulary) + 1, dtype=np.int64)
+        total = np.zeros(size + 1, dtype=np.int64)
         for batch in batches:
-            for text in batch["text"]:
-                ids = np.unique(shared.value.ids(text))
+            for octets in batch["ids"]:
+                ids = np.unique(np.frombuffer(octets, dtype=kind))
                 total[ids[ids >= 0]] += 1
                 total[-1] += 1
         some = np.flatnonzero(total)
         yield pd.DataFrame({"word": some, "n": total[some]})
 
-    counted = docs.select("text").mapInPandas(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
-    total = np.zeros(len(benchmark.vocabulary) + 1, dtype=np.int64)
+    counted = stored.select("ids").mapInPandas(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+    total = np.zeros(size + 1, dtype=np.int64)
     total[counted["word"]] = counted["n"]
     return total[:-1], int(total[-1])
 
 
-def _gram_product(docs: DataFrame, benchmark: Benchmark, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
+def _gram_product(docs: DataFrame, benchmark: Benchmark, weight: np.ndarray, basis: np.ndarray, stored: DataFrame | None = None) -> np.ndarray:
     """The product of the weighted passages' Gram matrix with ``basis``, summed over tasks."""
-    shared = docs.sparkSession.sparkContext.broadcast((benchmark, weight, basis))
+    stored = numbered(docs, benchmark) if stored is None else stored
+    shared, kind = stored.sparkSession.sparkContext.broadcast((weight, basis)), benchmark.stored
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        benchmark, weight, basis = shared.value
+        weight, basis = shared.value
         total = np.zeros(basis.shape)
         size = len(basis)
         weighted = weight[:, None] * basis
         for batch in batches:
             for first in range(0, len(batch), TEXTS):
-                found = [benchmark.ids(text) for text in batch["text"].iloc[first:first + TEXTS]]
+                found = [np.frombuffer(octets, dtype=kind) for octets in batch["ids"].iloc[first:first + TEXTS]]
                 new = np.concatenate([np.arange(len(ids)) % PASSAGE == 0 for ids in found])
-                passages, ids = np.cumsum(new) - 1, np.concatenate(found)
+                passages, ids = np.cumsum(new) - 1, np.concatenate(found).astype(np.int64)
                 known = ids >= 0
                 pair, times = np.unique(passages[known] * size + ids[known], return_counts=True)
                 if not len(pair):
@@ -345,46 +369,56 @@ def _gram_product(docs: DataFrame, benchmark: Benchmark, weight: np.ndarray, bas
                 for low in range(0, len(starts), PASSAGES):
                     cut = starts[low:low + PASSAGES]
                     part = slice(cut[0], starts[low + PASSAGES] if low + PASSAGES < len(starts) else len(pair))
-                    projected = np.add.reduceat(times[part, None] * weighted[word[part]], cut - cut[0], axis=0)
-                    back = times[part, None] * np.repeat(projected, np.diff([*cut, part.stop]), axis=0)
+                    projected = np.add.reduceat(_times(weighted[word[part]], times[part]), cut - cut[0], axis=0)
                     order = np.argsort(word[part], kind="stable")
+                    of_passage = np.repeat(np.arange(len(cut)), np.diff([*cut, part.stop]))[order]
+                    back = _times(projected[of_passage], times[part][order])
                     by_word = word[part][order]
                     heads = np.flatnonzero(np.diff(by_word, prepend=-1))
-                    total[by_word[heads]] += weight[by_word[heads], None] * np.add.reduceat(back[order], heads, axis=0)
+                    total[by_word[heads]] += weight[by_word[heads], None] * np.add.reduceat(back, heads, axis=0)
         some = np.flatnonzero(total.any(axis=1))
         if len(some):
             yield pd.DataFrame({"word": some, "row": total[some].tolist()})
 
-    summed = (docs.select("text").mapInPandas(multiply, "word long, row array<double>")
+    summed = (stored.select("ids").mapInPandas(multiply, "word long, row array<double>")
               .select("word", F.posexplode("row").alias("i", "x")).groupBy("word", "i").agg(F.sum("x").alias("x")).toPandas())
     out = np.zeros(basis.shape)
     out[summed["word"], summed["i"]] = summed["x"]
     return out
 
 
-def _fit(docs: DataFrame, benchmark: Benchmark) -> Detector:
+def _times(rows: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Each row as often as its word is there; most are there once."""
+    more = np.flatnonzero(times > 1)
+    rows[more] *= times[more, None]
+    return rows
+
+
+def _fit(docs: DataFrame, benchmark: Benchmark, stored: DataFrame | None = None) -> Detector:
     """Weights, the space of the leading right singular vectors, and the detector made of them."""
-    frequency, n = _frequencies(docs, benchmark)
+    stored = numbered(docs, benchmark) if stored is None else stored
+    frequency, n = _frequencies(stored, benchmark)
     weight = np.log((n + 1) / (frequency + 1)) + 1e-3
     rng = np.random.default_rng(42)
     size = len(weight)
     basis = np.linalg.qr(rng.standard_normal((size, min(RANK + OVERSAMPLED, size))))[0]
-    product = _gram_product(docs, benchmark, weight, basis)
+    product = _gram_product(docs, benchmark, weight, basis, stored)
     left, _, _ = np.linalg.svd(product + 1e-9 * basis, full_matrices=False)
     space = np.zeros((size + 1, min(RANK, left.shape[1])), dtype=np.float32)
     space[:-1] = weight[:, None] * left[:, :space.shape[1]]
     return Detector(benchmark, space, frequency, weight)
 
 
-def detectors(docs: DataFrame, items: DataFrame) -> Iterator[Detector]:
-    """One detector for each block of items, of ``BLOCK`` items each as expected size."""
+def detectors(docs: DataFrame, items: DataFrame) -> Iterator[tuple[Detector, DataFrame]]:
+    """One detector for each block of items, of ``BLOCK`` items each as expected size, and the documents in numbers of its words."""
     items = items.select("item_id", "text")
     blocks = -(-items.count() // BLOCK)
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).toPandas()
         benchmark = Benchmark.of(rows)
         if benchmark.items:
-            yield _fit(docs, benchmark)
+            stored = numbered(docs, benchmark)
+            yield _fit(docs, benchmark, stored), stored
 
 
 _FOUND = "cosine double, share double, answer_found boolean"
@@ -395,25 +429,25 @@ def find_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     schema = (f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, "
               f"item_id {items.schema['item_id'].dataType.simpleString()}, {_FOUND}")
     found = docs.sparkSession.createDataFrame([], schema)
-    for detector in detectors(docs, items):
+    for detector, stored in detectors(docs, items):
         shared = docs.sparkSession.sparkContext.broadcast(detector)
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            known = shared.value.benchmark.items
+            known, kind = shared.value.benchmark.items, shared.value.benchmark.stored
             for batch in batches:
                 yield pd.DataFrame(
-                    [(doc_id, known[number].item_id, *hit) for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True)
-                     for number, hit in shared.value.find(text).items()],
+                    [(doc_id, known[number].item_id, *hit) for doc_id, octets in zip(batch["doc_id"], batch["ids"], strict=True)
+                     for number, hit in shared.value.find_ids(np.frombuffer(octets, dtype=kind).astype(np.int64)).items()],
                     columns=["doc_id", "item_id", "cosine", "share", "answer_found"])
 
-        found = found.union(texts(docs).mapInPandas(search, schema))
+        found = found.union(stored.mapInPandas(search, schema))
     return found
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Drop the documents that hold an item. All columns stay as they are."""
     text = docs.columns.index("text")
-    for detector in detectors(docs, items):
+    for detector, _ in detectors(docs, items):
         shared = docs.sparkSession.sparkContext.broadcast(detector)
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
