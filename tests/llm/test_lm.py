@@ -152,3 +152,23 @@ def test_very_long_text_and_clashing_names(make_docs):
     docs = make_docs({1: text, 2: "w1 w2", 3: "w3"}, tokens="x", score="y", chunk="z", kind="k", ids="i")
     found = {r["doc_id"]: r for r in lm.score(docs).collect()}
     assert found[1]["n_tokens"] == 100_001 and found[2]["n_tokens"] == 3 and all(r["score"] < 0 for r in found.values())
+
+
+def test_places_take_four_bytes_and_are_left_out_where_only_counts_are_asked_for():
+    rng = np.random.default_rng(3)
+    hashes = rng.integers(1, 1 << 63, 50, dtype=np.uint64)
+    ends, codes = np.array([3, 4, 2000]), rng.integers(1, 50, 2000)
+    packed = lm._pack(codes.astype(np.uint32)), lm._pack(ends.astype(np.int64)), hashes.tobytes()
+    whole, counted = lm._Grams(*packed, 3), lm._Grams(*packed, 3, places=False)
+    assert not counted.history and {a.dtype.itemsize for a in (*whole.at.values(), *whole.history.values())} == {4}
+    for n in (1, 2, 3):
+        assert whole.keys[n].tolist() == counted.keys[n].tolist() and whole.counts[n].tolist() == counted.counts[n].tolist()
+    windows = {2: {}, 3: {}}
+    for first, last in zip([0, 3, 4], ends.tolist()):
+        text = codes[first:last].tolist()
+        for n in (2, 3):
+            for i in range(len(text)):
+                gram = tuple(([0] * 2 + text)[i + 3 - n:i + 3]) if i >= n - 2 else (None, *text[:i + 1])
+                windows[n][gram] = windows[n].get(gram, 0) + 1
+    for n in (2, 3):
+        assert sorted(windows[n].values()) == sorted(whole.counts[n].tolist())

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -51,6 +52,8 @@ ROUNDS = 100
 
 TEST, TUNE, FIT = 0, 1, 2
 _START, _END = b" ", b"\n"
+_ASKED = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()),
+                    ("keys", pa.list_(pa.binary())), ("counts", pa.list_(pa.binary()))])
 _CHUNK_SCHEMA = "chunk long, kind int, tokens long, ids array<{}>, ends binary, codes binary, words binary"
 
 
@@ -135,11 +138,12 @@ class _Grams:
     """The distinct n-grams of a chunk by order, sorted by key, and where its tokens are in them.
 
     ``at[n]`` has the position of the n-gram that ends with each token, ``history[n]``
-    that of its first n - 1 tokens; the history of the first token is the start.
+    that of its first n - 1 tokens; the history of the first token is the start. Without ``places`` only
+    keys and counts are kept.
     """
 
-    def __init__(self, codes: bytes, ends: bytes, hashes: bytes, order: int) -> None:
-        tokens = _unpack(codes, "<u4").astype(np.int64)
+    def __init__(self, codes: bytes, ends: bytes, hashes: bytes, order: int, places: bool = True) -> None:
+        tokens = _unpack(codes, "<u4")
         self.ends = _unpack(ends, "<i8")
         hashes = np.frombuffer(hashes, dtype="<u8")
         starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
@@ -149,7 +153,7 @@ class _Grams:
         self.at: dict[int, np.ndarray] = {}
         self.history: dict[int, np.ndarray] = {}
         sorted_words = np.argsort(hashes, kind="stable")
-        rank = np.empty(len(hashes), dtype=np.int64)
+        rank = np.empty(len(hashes), dtype=_place_type(len(hashes)))
         rank[sorted_words] = np.arange(len(hashes))
         self.keys[1] = hashes[sorted_words]
         self.at[1] = rank[tokens]
@@ -157,14 +161,21 @@ class _Grams:
         self.counts[1][rank[0]] = len(self.ends)
         self.start = rank[0]
         for n in range(2, order + 1):
-            before = np.empty(len(tokens), dtype=np.int64)
+            before = np.empty(len(tokens), dtype=_place_type(len(tokens)))
             before[1:] = self.at[n - 1][:-1]
             before[starts] = rank[0] if n == 2 else -1
             if n > 3:
                 before[_within(starts, self.ends, n - 2)] = -1
-            self.history[n] = before
-            pair = (before + 1) * len(hashes) + rank[tokens]
-            distinct, position = np.unique(pair, return_inverse=True)
+            if places:
+                self.history[n] = before
+            pair = before.astype(np.int64)
+            pair += 1
+            pair *= len(hashes)
+            pair += self.at[1]
+            if n > 2 and not places:
+                del self.at[n - 1]
+            del before
+            distinct, position = _distinct(pair)
             head, tail = distinct // len(hashes) - 1, distinct % len(hashes)
             older = np.where(head >= 0, self.keys[n - 1][head], np.uint64(0))
             with np.errstate(over="ignore"):
@@ -172,12 +183,27 @@ class _Grams:
                 mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
                 mixed ^= mixed >> np.uint64(32)
             by_key = np.argsort(mixed, kind="stable")
-            moved = np.empty(len(by_key), dtype=np.int64)
+            moved = np.empty(len(by_key), dtype=position.dtype)
             moved[by_key] = np.arange(len(by_key))
             self.keys[n] = mixed[by_key]
             self.at[n] = moved[position]
             self.counts[n] = np.bincount(self.at[n], minlength=len(by_key))
-            del pair, distinct, position, head, tail, older, mixed, by_key, moved
+            del distinct, position, head, tail, older, mixed, by_key, moved
+
+
+def _place_type(n: int) -> type:
+    """The narrowest type of places among ``n``; -1 is none."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct values, and the place of each value among them; ``values`` are sorted in place."""
+    order = np.argsort(values).astype(_place_type(len(values)))
+    values[:] = values[order]
+    new = np.diff(values, prepend=values[:1] - 1) != 0
+    position = np.empty(len(values), dtype=order.dtype)
+    position[order] = np.cumsum(new, dtype=order.dtype) - 1
+    return values[new], position
 
 
 def _within(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
@@ -194,18 +220,19 @@ def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
 def _asked(table: DataFrame, order: int, buckets: int) -> DataFrame:
     """Counts of the n-grams of every chunk by bucket."""
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples():
-                grams = _Grams(row.codes, row.ends, row.words, order)
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i] for name in ("chunk", "kind", "codes", "ends", "words")}
+                grams = _Grams(*(row[name].as_buffer() for name in ("codes", "ends", "words")), order, places=False)
                 cuts = {n: _cuts(keys, buckets) for n, keys in grams.keys.items()}
-                yield pd.DataFrame({
-                    "bucket": range(buckets), "chunk": row.chunk, "kind": row.kind,
-                    "keys": [[_pack_keys(grams.keys[n][cuts[n][b]:cuts[n][b + 1]]) for n in cuts] for b in range(buckets)],
-                    "counts": [[_pack_counts(grams.counts[n][cuts[n][b]:cuts[n][b + 1]]) for n in cuts]
-                               for b in range(buckets)]})
+                for b in range(buckets):
+                    yield pa.RecordBatch.from_pydict({
+                        "bucket": [b], "chunk": [row["chunk"].as_py()], "kind": [row["kind"].as_py()],
+                        "keys": [[_pack_keys(grams.keys[n][cuts[n][b]:cuts[n][b + 1]]) for n in cuts]],
+                        "counts": [[_pack_counts(grams.counts[n][cuts[n][b]:cuts[n][b + 1]]) for n in cuts]]}, schema=_ASKED)
 
-    return table.mapInPandas(ask, "bucket int, chunk long, kind int, keys array<binary>, counts array<binary>")
+    return table.mapInArrow(ask, "bucket int, chunk long, kind int, keys array<binary>, counts array<binary>")
 
 
 def _answers(asked: DataFrame, order: int) -> DataFrame:
