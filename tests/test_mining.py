@@ -199,3 +199,25 @@ def test_tokens_are_looked_up_once(make_corpus):
     ranks = tables.materialise(ranking.vertex_rank(corpus, ranking.min_support_count(ranking.graph_count(corpus), 0.6)), "ranks")
     plan = ranking.possibly_frequent_edges(corpus, ranking.frequent_marks(ranks))._jdf.queryExecution().executedPlan().toString()
     assert plan.split("Scan parquet")[0].count("xxhash64(") == 1
+
+
+def test_pairs_are_joined_without_being_built_in_the_row(make_corpus):
+    corpus = make_corpus(random_topics(3, 20) | {"loop": ["a a b a a", "a a", "a a b"], "one": ["x"], "none": [""]})
+    ranks = tables.materialise(ranking.vertex_rank(corpus, ranking.min_support_count(ranking.graph_count(corpus), 0.6)), "ranks")
+    pairs_found = ranking.possibly_frequent_pairs(corpus, ranking.frequent_marks(ranks))
+    assert "transform(" not in pairs_found._jdf.queryExecution().executedPlan().toString()
+    once = [tuple(r) for r in pairs_found.distinct().collect()]
+    assert sorted(once) == sorted(tuple(r) for r in ranking.possibly_frequent_edges(corpus, ranking.frequent_marks(ranks)).collect())
+
+
+def test_an_edge_repeated_in_few_documents_is_not_frequent(make_corpus):
+    corpus = make_corpus({"t": ["a b " * 50, "a x", "b x", "a c b", "b c a"]})
+    assert mined(mine_frequent_subgraphs(corpus, 0.6)) == {}
+
+
+def test_a_mining_level_is_written_once(make_corpus, monkeypatch):
+    written = []
+    plain = tables.new_path
+    monkeypatch.setattr(tables, "new_path", lambda spark, name: (written.append(name), plain(spark, name))[1])
+    mine_frequent_subgraphs(make_corpus({"t": ["a b c d e f"] * 4}), 0.5, 3)
+    assert written.count("level") == 3 and "grown" not in written and written.count("marks") == 1
