@@ -182,3 +182,16 @@ def test_graphs_of_documents_are_built_of_known_tokens_only(spark, monkeypatch):
     found = sorted((r["doc_id"], r["dim_id"]) for r in document_dimensions(docs, dictionary).collect())
     assert found == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (5, 0)]
     assert written.count("known_elements") == 1
+
+
+def test_elements_of_documents_travel_as_numbers(spark, monkeypatch):
+    from topicweave.operators import dictionary as operators
+    written = {}
+    plain = operators.materialise
+    monkeypatch.setattr(operators, "materialise", lambda df, name: (written.update({name: dict(df.dtypes)}), plain(df, name))[1])
+    dictionary = make_dictionary(spark, WORDS, GRAPHS | {"t2": [("h", [("oil", "gas"), ("gas", "x")])]})
+    docs = corpus_of(spark, ["oil gas x " * 40, "gas x oil", "oil oil gas x", "x"])
+    rows = document_dimensions(docs, dictionary).collect()
+    graph = dictionary.dimensions.where("label = 'h'").first()["dim_id"]
+    assert written["known_elements"] == {"doc_id": "bigint", "element": "bigint"}
+    assert sorted(r["doc_id"] for r in rows if r["dim_id"] == graph) == [0, 2] and len(rows) == len(set(rows))
