@@ -41,3 +41,20 @@ def test_vectors(spark):
     assert hamming.nearest_vectors(vectors.limit(0)).count() == 0
     with pytest.raises(Exception, match="at most 64"):
         hamming.nearest_vectors(spark.createDataFrame([(0, [1.0] * 65)], "vec_id long, embedding array<float>")).count()
+
+
+def test_join_with_the_index_makes_a_row_for_a_list_not_for_a_code(spark, monkeypatch):
+    """1500 codes that differ in one segment only: each probe of another segment meets all of them."""
+    rng = random.Random(3)
+    rows = [(i, code) for i, code in enumerate(rng.sample(range(1 << 12), 1500))]
+    table = spark.createDataFrame(rows, "id long, code long")
+    joined, plain = [], hamming._probes
+    monkeypatch.setattr(hamming, "_probes", lambda *a: joined.append(plain(*a)) or joined[-1])
+    lists, made = [], hamming._lists
+    monkeypatch.setattr(hamming, "_lists", lambda *a: lists.append(made(*a)) or lists[-1])
+    found = hamming.nearest(table, table.where("id % 50 = 0"), 3).collect()
+    assert sorted((r["query_id"], r["id"], r["distance"], r["place"]) for r in found) == slow(rows, 3, 50)
+    sizes = [r[0] for r in lists[0].select("segment", "value", "codes").selectExpr("size(codes)").collect()]
+    assert max(sizes) <= 2 * hamming.LIST and max(sizes) > hamming.LIST // 2
+    assert sum(p.join(lists[0], ["segment", "value"]).count() for p in joined) < 30 * 100
+    assert all(p.rdd.getNumPartitions() > 1 for p in joined)

@@ -7,6 +7,9 @@ is one segment at one radius; steps go round the segments, radius by radius. A q
 goes on step by step until its kth best distance so far is covered. A code that
 is met in several steps counts in the first one only, which its bits alone tell.
 
+The index holds the codes of a value in lists of bounded length. A step meets lists, and of a list only the codes leave
+that are no further away than the query's kth best so far; what is compared inside them still grows with the table.
+
 * Ties in distance go to the smaller id. Rows with equal codes are indexed as one code
   with its ``k`` smallest ids and the number of its rows, so a code that very many
   rows have is no hot key. A query is among its own neighbours.
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 from topicweave.plans.tables import materialise, materialise_counting
 
 BITS = 64
+#: Codes of a list of the index, on the average of the lists of a value.
+LIST = 256
 
 
 def sign_bits(vector: str) -> Column:
@@ -55,8 +60,20 @@ def index_codes(rows: DataFrame, k: int) -> DataFrame:
     return ids.join(counts, "code")
 
 
+def _lists(index: DataFrame, segments: list[tuple[int, int]]) -> DataFrame:
+    """``segment``, ``value`` and ``codes`` (code, rows, smallest id) that have it; values of many codes have several lists."""
+    entries = materialise(index.select(
+        "code", "n", F.element_at("ids", 1).alias("first"),
+        F.posexplode(F.array(*(F.shiftrightunsigned("code", shift).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+                               for shift, width in segments))).alias("segment", "value")), "code_entries")
+    sizes = materialise(entries.groupBy("segment", "value").agg(F.count("*").alias("size")), "value_sizes")
+    part = F.pmod(F.xxhash64("code"), F.ceil(F.col("size") / LIST))
+    return materialise(entries.join(sizes, ["segment", "value"]).groupBy("segment", "value", part.alias("part"))
+                       .agg(F.collect_list(F.struct("code", "n", "first")).alias("codes")).drop("part"), "code_lists")
+
+
 def _probes(queries: DataFrame, segments: list[tuple[int, int]]) -> DataFrame:
-    """For each query and step from ``done`` to ``goal``: segment, value to look up, and step."""
+    """For each query and step from ``done`` to ``goal``: segment, value to look up, step and the query's ``bound``."""
     count = len(segments)
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,12 +89,12 @@ def _probes(queries: DataFrame, segments: list[tuple[int, int]]) -> DataFrame:
                         shells[width, radius] = np.array(
                             [sum(1 << i for i in flipped) for flipped in combinations(range(width), radius)], dtype=np.int64)
                     own = (row.code % (1 << BITS) >> shift) & ((1 << width) - 1)
-                    yield pd.DataFrame({"query": row.query, "query_code": row.code, "step": step, "segment": segment,
+                    yield pd.DataFrame({"query": row.query, "query_code": row.code, "bound": row.bound, "step": step, "segment": segment,
                                         "value": own ^ shells[width, radius]})
 
     kind = queries.schema["query"].dataType.simpleString()
-    return queries.select("query", "code", "done", "goal").mapInPandas(
-        look, f"query {kind}, query_code long, step int, segment int, value long")
+    return queries.select("query", "code", "bound", "done", "goal").mapInPandas(
+        look, f"query {kind}, query_code long, bound int, step int, segment int, value long")
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -90,17 +107,19 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     n_codes, n_rows = index.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     segments = _segments(n_codes)
     wanted = min(k, n_rows)
-    entries = materialise(index.select(
-        "code", "n", F.element_at("ids", 1).alias("first"),
-        F.posexplode(F.array(*(F.shiftrightunsigned("code", shift).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-                               for shift, width in segments))).alias("segment", "value")), "code_entries")
+    lists = _lists(index, segments)
     asked = queries.where("code IS NOT NULL").select(F.col("id").alias("query"), "code").distinct()
-    todo = materialise(asked.select("query", "code", F.lit(0).alias("done"), F.lit(2 * len(segments)).alias("goal")), "queries")
+    todo = materialise(asked.select("query", "code", F.lit(BITS).alias("bound"), F.lit(0).alias("done"), F.lit(2 * len(segments)).alias("goal")), "queries")
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
     best, more = None, n_rows > 0
     while more:
-        # Written first: a few queries make very many probes, and their true size decides the join.
-        probes = materialise(_probes(todo.repartition("query"), segments), "probes")
-        met = probes.join(entries, ["segment", "value"])
+        # Written first: a few queries make very many probes, and their true size decides the join. The queries are few
+        # bytes, which one task would read if it were left to their size.
+        probes = materialise(_probes(todo.repartition(tasks, "query"), segments), "probes")
+        close = F.expr("filter(codes, c -> bit_count(c.code ^ query_code) <= bound)")
+        # explode_outer, so that no filter looks through the list a second time
+        met = (probes.join(lists, ["segment", "value"]).select("query", "query_code", "step", F.explode_outer(close).alias("c"))
+               .where("c IS NOT NULL").select("query", "query_code", "step", "c.*"))
         differs = F.col("query_code").bitwiseXOR(F.col("code"))
         earliest = F.least(*(F.bit_count(F.shiftrightunsigned(differs, shift).bitwiseAND(F.lit((1 << width) - 1).cast("long")))
                              * len(segments) + i for i, (shift, width) in enumerate(segments)))
@@ -114,7 +133,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         state = todo.join(kth, "query", "left").select("query", "code", F.col("goal").alias("done"), "kth")
         open_ = state.where(F.col("kth").isNull() | (F.col("kth") >= F.col("done")))
         todo, more = materialise_counting(open_.select(
-            "query", "code", "done", F.least(F.col("done") + len(segments), F.coalesce(F.col("kth") + 1, F.lit(1 << 30)))
+            "query", "code", F.coalesce("kth", F.lit(BITS)).cast("int").alias("bound"), "done", F.least(F.col("done") + len(segments), F.coalesce(F.col("kth") + 1, F.lit(1 << 30)))
             .cast("int").alias("goal")), "queries")
     if best is None:
         return rows.join(asked, F.lit(False)).select(F.col("query").alias("query_id"), "id", F.lit(0).alias("distance"), F.lit(0).alias("place"))
