@@ -172,3 +172,20 @@ def test_places_take_four_bytes_and_are_left_out_where_only_counts_are_asked_for
                 windows[n][gram] = windows[n].get(gram, 0) + 1
     for n in (2, 3):
         assert sorted(windows[n].values()) == sorted(whole.counts[n].tolist())
+
+
+def test_the_shuffle_of_one_turn_is_on_disk_at_a_time(spark, make_docs, monkeypatch):
+    def shuffle_files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {path for path in found.split("\n") if "/shuffle_" in path}
+
+    docs = make_docs(corpus(60))
+    plain, turns = lm._answers, []
+    monkeypatch.setattr(lm, "_answers", lambda asked, order: turns.append((shuffle_files(), asked)) or plain(asked, order))
+    monkeypatch.setattr(lm, "BUCKET", 300)
+    before = shuffle_files()
+    assert lm.score(docs).count() == 63
+    assert len(turns) == lm.PASSES and all(not files - before for files, _ in turns)
+    asked = [{r["bucket"] for r in rows.select("bucket").distinct().collect()} for _, rows in turns]
+    assert len(set().union(*asked)) == sum(map(len, asked)) > lm.PASSES
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"

@@ -13,7 +13,8 @@ Every chunk counts its distinct n-grams and sends the counts to buckets by hash,
 frequent n-gram is one entry of each chunk. A bucket adds up the counts and answers
 every chunk with the totals, in the order that it asked, so that the answers need no
 keys. Chunks then score their texts. The driver receives sums and, for the
-weights, a histogram whose size does not depend on the corpus.
+weights, a histogram whose size does not depend on the corpus. Counts are exchanged, and texts scored, in
+``PASSES`` turns, each with its share of the buckets or chunks: the shuffle of one turn is on disk at a time.
 
 * Null and blank texts have one token, the end of the text. Long texts are a chunk.
 * Repeated rows are counted and scored like any other rows.
@@ -25,6 +26,7 @@ weights, a histogram whose size does not depend on the corpus.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,13 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicweave.llm.words import id_remainder, texts, words
-from topicweave.plans.tables import materialise
+from topicweave.plans.tables import materialise, released_shuffles
 
 #: Longest n-grams.
 ORDER = 3
 #: Tokens of a chunk and of the corpus for each bucket; they bound the memory of a task.
 CHUNK = 1_000_000
 BUCKET = 2_000_000
+#: Turns in which counts are exchanged and texts scored.
+PASSES = 2
 ADDED = 0.1
 #: Classes of histories: none seen, then by powers of two.
 CLASSES = 48
@@ -217,8 +221,8 @@ def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, np.array(first, dtype=np.uint64)), [len(keys)]])
 
 
-def _asked(table: DataFrame, order: int, buckets: int) -> DataFrame:
-    """Counts of the n-grams of every chunk by bucket."""
+def _asked(table: DataFrame, order: int, buckets: int, turn: int) -> DataFrame:
+    """Counts of the n-grams of every chunk by bucket, for the buckets of a turn."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,7 +230,7 @@ def _asked(table: DataFrame, order: int, buckets: int) -> DataFrame:
                 row = {name: batch.column(name)[i] for name in ("chunk", "kind", "codes", "ends", "words")}
                 grams = _Grams(*(row[name].as_buffer() for name in ("codes", "ends", "words")), order, places=False)
                 cuts = {n: _cuts(keys, buckets) for n, keys in grams.keys.items()}
-                for b in range(buckets):
+                for b in range(turn, buckets, PASSES):
                     yield pa.RecordBatch.from_pydict({
                         "bucket": [b], "chunk": [row["chunk"].as_py()], "kind": [row["kind"].as_py()],
                         "keys": [[_pack_keys(grams.keys[n][cuts[n][b]:cuts[n][b + 1]]) for n in cuts]],
@@ -334,9 +338,16 @@ def _learned(odds: pd.DataFrame) -> np.ndarray:
 
 def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """Score every text of ``docs``: see ``op9`` for the columns."""
+    with released_shuffles(docs.sparkSession):
+        return _score(docs, order)
+
+
+def _score(docs: DataFrame, order: int) -> DataFrame:
     table = materialise(chunks(docs), "chunks")
     total = table.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    answers = materialise(_answers(_asked(table, order, max(1, total // BUCKET)), order), "answers")
+    buckets = max(1, total // BUCKET)
+    answers = reduce(DataFrame.unionByName, [
+        materialise(_answers(_asked(table, order, buckets, turn), order), "answers") for turn in range(min(PASSES, buckets))])
     fitted, tuned, types = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("fitted", "tuned", "types"))).first()
     weights: dict[int, np.ndarray] = {}
     for n in range(2, order + 1):
@@ -356,5 +367,8 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
             "base_score": summed(np.log10(model.base)), "score": summed(np.log10(model.probability(weights)))})
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return _by_chunk(table, answers, rate, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, "
-                                           "train_tokens long, base_score double, score double")
+    schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    share = F.pmod(F.xxhash64("chunk"), F.lit(min(PASSES, buckets)))
+    return reduce(DataFrame.unionByName, [
+        materialise(_by_chunk(table.where(share == turn), answers.where(share == turn), rate, schema), "scores")
+        for turn in range(min(PASSES, buckets))])
