@@ -103,3 +103,19 @@ def test_sketches_lose_no_pair():
         y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.9], rng.integers(0, 1 << 63, 40).astype(np.uint64)]))
         apart = sum(int(v).bit_count() for v in (shingle_join.sketch(x) ^ shingle_join.sketch(y)).view(np.uint64))
         assert apart <= len(np.setxor1d(x, y)) and (apart - len(np.setxor1d(x, y))) % 2 == 0
+
+
+def test_tables_of_marks_are_as_large_as_their_marks_need_and_lose_none(spark, tmp_path, monkeypatch):
+    for n in (0, 1, 1000, 10**6, 10**12):
+        assert min(8 * n, 1 << 24) <= shingle_join._table_size(n) <= 1 << 24 and shingle_join._table_size(n) % 64 == 0
+    of = spark.range(0, 6000, 3).withColumnRenamed("id", "v")
+    rows = spark.range(9000).withColumnRenamed("id", "v")
+    for most in (1 << 24, 1 << 10):
+        monkeypatch.setattr(shingle_join, "BITS", most)
+        kept = {r[0] for r in shingle_join._marked(rows, of, "v").collect()}
+        assert kept >= set(range(0, 6000, 3)) and (most == 1 << 10 or len(kept) < 4000)
+    monkeypatch.setattr(shingle_join, "BITS", 1 << 24)
+    written, plain = [], shingle_join.materialise
+    monkeypatch.setattr(shingle_join, "materialise", lambda df, name: written.append((name, plain(df, name))) or written[-1][1])
+    assert shingle_join._marked(rows, of, "v").count() < 4000
+    assert [table.selectExpr("size(marks)").first()[0] for name, table in written if name == "marks"] == [256]
