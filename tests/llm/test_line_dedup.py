@@ -67,3 +67,12 @@ def test_long_line(make_docs):
 def test_no_python_in_the_plan(make_docs):
     plan = line_dedup.label_documents(make_docs({1: "a b", 2: "a b"}))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_tables_of_the_stage_go(spark, make_docs, monkeypatch, tmp_path):
+    from topicweave.plans import tables
+
+    monkeypatch.setattr(tables, "scratch_folder", lambda spark: str(tmp_path))
+    kept = line_dedup.drop_lines(make_docs(random_docs(3, 9)))
+    assert [p.name.rsplit("-", 1)[0] for p in (tmp_path / "topicweave").iterdir()] == ["removed_lines"]
+    assert kept.count()

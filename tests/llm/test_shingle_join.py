@@ -119,3 +119,38 @@ def test_tables_of_marks_are_as_large_as_their_marks_need_and_lose_none(spark, t
     monkeypatch.setattr(shingle_join, "materialise", lambda df, name: written.append((name, plain(df, name))) or written[-1][1])
     assert shingle_join._marked(rows, of, "v").count() < 4000
     assert [table.selectExpr("size(marks)").first()[0] for name, table in written if name == "marks"] == [256]
+
+
+def test_few_pairs_of_a_group_are_compared(make_docs, monkeypatch):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(9000)}" for _ in range(700)]
+    texts = {i: " ".join([*base[:10 * i], f"x{i}", *base[10 * i:]]) for i in range(30)}
+    texts |= {100 + i: " ".join(f"v{rng.randrange(9000)}" for _ in range(50)) for i in range(5)}
+    compared, plain = [], shingle_join._similar
+    monkeypatch.setattr(shingle_join, "_similar", lambda pairs, texts: (compared.append(pairs.count()), plain(pairs, texts))[1])
+    docs = make_docs(texts)
+    found = {r["doc_id"] for r in shingle_join.later_copies(docs).collect()}
+    assert found == set(range(1, 30))
+    assert sum(compared) <= 2 * 30 < 30 * 29 // 2
+
+
+def test_pairs_in_turns_equal_brute_force(make_docs, monkeypatch):
+    monkeypatch.setattr(shingle_join, "TEXTS", 0)
+    texts = near_copies()
+    assert {r["doc_id"] for r in simhash.keep_first(make_docs(texts)).collect()} == slow_kept(texts)
+
+
+def test_sketches_of_long_texts_drop_pairs_and_lose_none(spark):
+    rng = np.random.default_rng(5)
+    sizes, pairs, rows = [900, 1100, 3000, 4090, 4200, 20_000, 150_000], [], []
+    for n in sizes:
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for share in (0.9, 0.5):  # of common elements
+            y = np.unique(np.concatenate([x[:int(len(x) * share)], rng.integers(0, 1 << 63, int(len(x) * (0.95 - share))).astype(np.uint64)]))
+            pairs.append((len(rows), len(rows) + 1, 10 * len(np.intersect1d(x, y)) >= 8 * len(np.union1d(x, y))))
+            rows += [(len(rows) + i, len(s), shingle_join.sketch(s, shingle_join.sketch_size(len(s))).tolist()) for i, s in enumerate((x, y))]
+    found = spark.createDataFrame(rows, "class long, n int, sketch array<long>")
+    assert len({len(r[2]) for r in rows}) > 4 and {p[2] for p in pairs} == {True, False}
+    asked = spark.createDataFrame([p[:2] for p in pairs], "x long, y long").union(spark.createDataFrame([p[1::-1] for p in pairs], "x long, y long"))
+    kept = {(r["x"], r["y"]) for r in shingle_join._close(asked, found).collect()}
+    assert kept == {q for x, y, similar in pairs for q in ((x, y), (y, x)) if similar or rows[x][1] > 140_000}

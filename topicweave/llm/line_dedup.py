@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicweave.plans.tables import materialise
+from topicweave.plans.tables import materialise, released_shuffles, scratch
 
 #: Slots of the word counts and of the filters on lines.
 SLOTS = 1 << 20
@@ -172,9 +172,11 @@ def label_documents(docs: DataFrame) -> DataFrame:
 def drop_lines(docs: DataFrame) -> DataFrame:
     """Documents without the lines that go; a document of which no word is left goes as a whole.
 
-    All columns stay, and ``n_chars`` is the new length where there is such a column.
+    All columns stay, and ``n_chars`` is the new length where there is such a column. Of the tables written on the way only that of
+    the lines that go stays.
     """
-    gone = materialise(removed_lines(docs), "removed_lines").select(F.col("doc_id").alias("gone_id"), "removed")
+    with scratch(docs.sparkSession) as keep, released_shuffles(docs.sparkSession):
+        gone = keep(removed_lines(docs), "removed_lines").select(F.col("doc_id").alias("gone_id"), "removed")
     whole = docs.select(F.struct(*docs.columns).alias("doc"))
     joined = whole.join(gone, F.col("doc.doc_id") == F.col("gone_id"), "left")
     whole_text, intact = F.col("doc.text"), F.col("removed").isNull()

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from topicweave.llm.components import components
 from topicweave.llm.shingle_join import later_copies, text_class
 from topicweave.llm.words import texts, words
-from topicweave.plans.tables import materialise, scratch
+from topicweave.plans.tables import materialise, released_shuffles, scratch
 
 SHINGLE = 3
 SEED = 42
@@ -144,7 +144,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     since copies of that similarity can differ in any number of bits, the exact join of ``shingle_join`` adds those that the
     fingerprints do not connect. Of repeated rows with one id all stay or go together, and rows with a null id stay.
     """
-    with scratch(docs.sparkSession) as keep:
+    with scratch(docs.sparkSession) as keep, released_shuffles(docs.sparkSession):
         with scratch(docs.sparkSession) as keep_likely:
             likely = keep_likely(likely_copies(docs), "likely_copies")
         return docs.join(keep(later_copies(docs, likely), "near_copies"), "doc_id", "left_anti")
