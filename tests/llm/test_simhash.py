@@ -5,6 +5,7 @@ import random
 import pytest
 import xxhash
 
+import corpus_pipeline
 from topicweave.llm import simhash
 from topicweave.llm.components import components
 
@@ -116,3 +117,27 @@ def test_near_copies_start_from_fingerprints(spark, make_docs, monkeypatch):
     monkeypatch.setattr(simhash, "later_copies", lambda docs, likely: (given.append(likely.count()), plain(docs, likely))[1])
     assert {r["doc_id"] for r in simhash.keep_first(docs).collect()} == {1, 5}
     assert given == [len(pairs)]
+
+
+def test_stage_drops_copies_that_the_fingerprints_link_whatever_their_sets_are(spark, make_docs):
+    rng = random.Random(2)
+    for _ in range(200):
+        base = [f"w{rng.randrange(9000)}" for _ in range(400)]
+        copy = list(base)
+        for i in range(12, 400, 30):
+            copy[i] = "other"
+        a, b = (simhash.fingerprint(" ".join(t)) for t in (base, copy))
+        if 0 < (a ^ b).bit_count() <= 2:
+            break
+    else:
+        raise AssertionError("no copy within 2 bits")
+    sets = [{tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in (base, copy)]
+    assert 5 * len(sets[0] & sets[1]) < 4 * len(sets[0] | sets[1])
+    near = [*copy[:300], *("new", "words"), *copy[300:]]  # similar to the copy, and so of its group
+    spam = ["spam"] * 400
+    texts = {3: " ".join(base), 1: " ".join(copy), 2: " ".join(near), 5: " ".join([*spam, "a", "b", "c"]), 4: " ".join([*"defghijklmnopq", *spam]),
+             6: " ".join(f"v{rng.randrange(9000)}" for _ in range(400))}
+    docs = make_docs(texts)
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == {1, 4, 6}
+    labels = {r["doc_id"]: r["component_id"] for r in simhash.label_documents(docs).collect()}
+    assert labels[3] == labels[1] == 1 and labels[5] == 4

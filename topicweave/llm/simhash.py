@@ -137,14 +137,17 @@ def likely_copies(docs: DataFrame) -> DataFrame:
     return both.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct()
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, linked: bool = False) -> DataFrame:
     """One document of each group of near copies: that with the smallest id. All columns stay.
 
     Near copies have a Jaccard similarity of 0.8 or more. The pairs come from the fingerprints first and are verified exactly;
     since copies of that similarity can differ in any number of bits, the exact join of ``shingle_join`` adds those that the
-    fingerprints do not connect. Of repeated rows with one id all stay or go together, and rows with a null id stay.
+    fingerprints do not connect. With ``linked``, documents whose fingerprints are linked, as ``near_duplicates`` links them, are near
+    copies whatever their similarity, and a group is what either rule connects. Of repeated rows with one id all stay or go
+    together, and rows with a null id stay.
     """
     with scratch(docs.sparkSession) as keep, released_shuffles(docs.sparkSession):
         with scratch(docs.sparkSession) as keep_likely:
-            likely = keep_likely(likely_copies(docs), "likely_copies")
-        return docs.join(keep(later_copies(docs, likely), "near_copies"), "doc_id", "left_anti")
+            pairs = keep_likely(likely_copies(docs), "likely_copies")
+        gone = later_copies(docs, None, pairs) if linked else later_copies(docs, pairs)
+        return docs.join(keep(gone, "near_copies"), "doc_id", "left_anti")
